@@ -17,6 +17,42 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Bytes of a shard in op7.
+SHARD_BYTES = 1 << 20
+
+
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.assign(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+OP7_SQL = f"""
+WITH r AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+                  coalesce(strlen(text), 0) AS bytes FROM documents),
+     d AS (SELECT r.*, t.d, h >> (60 - t.d) AS prefix FROM r, range(0, 61) t(d)),
+     s AS (SELECT *, sum(bytes) OVER (PARTITION BY d, prefix) AS b FROM d),
+     m AS (SELECT doc_id, min({{'d': d, 'p': prefix, 'b': b}}) AS x FROM s WHERE b <= {SHARD_BYTES} GROUP BY doc_id)
+SELECT doc_id, CASE WHEN x.d = 0 THEN '' ELSE lpad(bin(x.p), CAST(x.d AS INT), '0') END AS shard,
+       CAST(x.d AS INT) AS shard_depth, CAST(x.b AS BIGINT) AS shard_bytes FROM m
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repair
 
@@ -24,5 +60,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op10_token_ids)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_language_bitmask, op7_extendible_shards, op8_best_fit_packing, op10_token_ids)}
+ORACLE_SQL: dict[str, str] = {"op7_extendible_shards": OP7_SQL}
