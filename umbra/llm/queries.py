@@ -53,6 +53,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repair
 
@@ -60,5 +66,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_language_bitmask, op7_extendible_shards, op8_best_fit_packing, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_language_bitmask, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op7_extendible_shards": OP7_SQL}
