@@ -30,6 +30,12 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 1 << 20
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_copies(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -66,5 +72,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_language_bitmask, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_language_bitmask, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op7_extendible_shards": OP7_SQL}
