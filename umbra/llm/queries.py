@@ -62,6 +62,12 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 1 << 20
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    return merkle.edited(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -104,5 +110,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op1_template_lines": OP1_SQL, "op7_extendible_shards": OP7_SQL}
