@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import re
 
-#: Where a blank stands beside another one, the pattern's white-space alternatives look at both.
-_CLUSTERED = re.compile(r"\s\s|^\s")
+#: White space besides blank and line end; stops or commas that don't follow a plain letter or digit.
+_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_CLUSTERED = re.compile("[.,](?<=[^A-Za-z0-9À-ÖØ-öø-ÿ][.,])")
 
 
 def pieces(text: str, findall) -> list[str]:
     """Pieces of text, in order and complete, that may be encoded one by one.
 
-    A lone blank between two other characters always starts a match of the GPT-2 pattern, so a text
-    without runs of white space is cut before each blank and line end; any other text is cut by the
-    pattern itself (findall: that of the compiled pattern).
+    Where white space is single blanks and line ends, each of them starts a match of the GPT-2
+    pattern, and so does a stop or comma after a letter or digit: the text is cut before these.  Any
+    other text is cut by the pattern itself (findall: that of the compiled pattern).
     """
     if not text:
         return []
-    if _CLUSTERED.search(text):
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or (any(x in text for x in _OTHER_ASCII) if text.isascii() else _OTHER.search(text)):
         return findall(text)
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
+    cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
+    if text[0] not in ".," and not _CLUSTERED.search(text):
+        cut = cut.replace(".", "\0.").replace(",", "\0,")
+    return cut.split("\0")

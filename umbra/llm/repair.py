@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .pretokens import pieces
 from .shared import stored
 
-#: Documents a shard, ids a block (a longer document has a block of its own), entries of a worker's cache.
-SHARD_DOCS, BLOCK_IDS, CACHE = 4096, 2_000_000, 400_000
+#: Documents a shard, ids a block (a longer document has a block of its own), entries of a worker's cache
+#: (it keeps the first ones; frequent pieces come early).
+SHARD_DOCS, BLOCK_IDS, CACHE = 4096, 2_000_000, 800_000
 #: Rounds at most, rules a round at most, occurrences that a pair must have to get a rule.
 ROUNDS, ROUND_RULES, LEAST = 4, 3000, 12
 
@@ -34,13 +35,17 @@ FILES = "shard int, block int, n_docs long, n_ids long, first_symbol long, doc_i
 
 def _replaced(seq: np.ndarray, key: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
     """seq with occurrences of pairs[i] (as keys) as symbol first + i."""
-    slots = 1 << 18
-    place = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    taken, symbol = np.full(slots, np.iinfo(np.uint64).max, np.uint64), np.zeros(slots, np.uint32)
+    if key.dtype == np.uint32:
+        place = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    else:
+        place = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+    taken, symbol = np.zeros(1 << 18, key.dtype), np.zeros(1 << 18, np.uint32)
     at = place(pairs)[::-1]  # of two pairs in one slot the more frequent one wins
     taken[at], symbol[at] = pairs[::-1], np.arange(first, first + len(pairs), dtype=np.uint32)[::-1]
     where = place(key)
     hit = taken[where] == key
+    if pairs.min() > 0:
+        hit &= key > 0  # an empty slot isn't pair 0
     on = np.flatnonzero(hit)
     if not len(on):
         return seq
@@ -77,9 +82,9 @@ def compress(ids: np.ndarray, first_symbol: int, rounds: int = ROUNDS, round_rul
         if not len(frequent):
             break
         best = frequent[np.lexsort((order[edge[frequent]], -count[frequent]))][:room]
-        pairs = order[edge[best]].astype(np.uint64)
-        shift = np.uint64(16 if top == 1 << 16 else 32)
-        seq = _replaced(seq, key.astype(np.uint64), pairs, first_symbol + len(rules))
+        pairs = order[edge[best]]
+        seq = _replaced(seq, key, pairs, first_symbol + len(rules))
+        shift, pairs = np.uint64(16 if top == 1 << 16 else 32), pairs.astype(np.uint64)
         rules = np.vstack([rules, np.column_stack([pairs >> shift, pairs & ((np.uint64(1) << shift) - np.uint64(1))]).astype(np.uint32)])
     return rules, seq
 
@@ -159,14 +164,15 @@ class _Encoder:
 
     def __call__(self, text: str) -> bytes:
         parts = pieces(text, self.findall)
-        new = [x for x in set(parts) if x not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(set(parts))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, self.wide).tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        known = self.known
+        got = [known.get(x) for x in parts]
+        if None in got:
+            at = [i for i, x in enumerate(got) if x is None]
+            for i, e in zip(at, self.tokenizer.encode_batch_fast([parts[i] for i in at], add_special_tokens=False)):
+                got[i] = np.array(e.ids, self.wide).tobytes()
+                if len(known) < CACHE:
+                    known[parts[i]] = got[i]
+        return b"".join(got)
 
 
 @cache
