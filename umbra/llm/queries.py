@@ -62,6 +62,14 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 1 << 20
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    d = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(umbra_base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return d.select("doc_id", *counts, F.sha2(pii.as_text("umbra_base").cast("binary"), 256).alias("base_sha256"), pii.as_text("umbra_spans").alias("spans"))
+
+
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
@@ -110,5 +118,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op4_boosted_pii, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op1_template_lines": OP1_SQL, "op7_extendible_shards": OP7_SQL}
