@@ -46,19 +46,26 @@ def _replaced(seq: np.ndarray, key: np.ndarray, pairs: np.ndarray, first: int) -
     hit = taken[where] == key
     if pairs.min() > 0:
         hit &= key > 0  # an empty slot isn't pair 0
-    on = np.flatnonzero(hit)
-    if not len(on):
-        return seq
     # in a run of hits, those at even distance from its start
-    new_run = np.empty(len(on), bool)
-    new_run[0], new_run[1:] = True, np.diff(on) != 1
-    start = np.maximum.accumulate(np.where(new_run, np.arange(len(on)), 0))
-    on = on[(np.arange(len(on)) - start) % 2 == 0]
+    rest, chosen = hit, np.zeros(len(hit), bool)
+    for _ in range(8):
+        start = rest.copy()
+        start[1:] &= ~rest[:-1]
+        chosen |= start
+        rest = rest & ~start
+        rest[1:] &= ~start[:-1]
+        if not rest.any():
+            break
+    else:
+        on = np.flatnonzero(hit)
+        new_run = np.concatenate(([True], np.diff(on) != 1))
+        start = np.maximum.accumulate(np.where(new_run, np.arange(len(on)), 0))
+        chosen = np.zeros(len(hit), bool)
+        chosen[on[(np.arange(len(on)) - start) % 2 == 0]] = True
+    on = np.flatnonzero(chosen)
     out = seq.copy()
     out[on] = symbol[where[on]]
-    keep = np.ones(len(seq), bool)
-    keep[on + 1] = False
-    return out[keep]
+    return out[np.concatenate(([True], ~chosen))]
 
 
 def compress(ids: np.ndarray, first_symbol: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +97,14 @@ def compress(ids: np.ndarray, first_symbol: int, rounds: int = ROUNDS, round_rul
 
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
-    """Ids behind each rule; a rule refers to earlier ones alone."""
-    n = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        n[i] = (n[a - first_symbol] if a >= first_symbol else 1) + (n[b - first_symbol] if b >= first_symbol else 1)
-    return n
+    """Ids behind each rule."""
+    inner, at = rules >= first_symbol, np.where(rules >= first_symbol, rules.astype(np.int64) - first_symbol, 0)
+    n = np.full(len(rules), 2, np.int64)
+    while True:  # as many times as rules are nested
+        now = np.where(inner, n[at] if len(n) else 1, 1).sum(axis=1)
+        if (now == n).all():
+            return n
+        n = now
 
 
 class Block:
@@ -107,11 +117,14 @@ class Block:
         self.seq = np.frombuffer(row["sequence"], wide)
         self.lengths = np.frombuffer(row["expansions"], "<i4").astype(np.int64)
         self.doc_ends = np.frombuffer(row["doc_ends"], "<i8")
-        flat: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            flat.append(np.concatenate([flat[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
-        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        self.flat_at = np.concatenate(([0], np.cumsum(self.lengths)))[:-1] if flat else np.zeros(0, np.int64)
+        self.flat = self.rules.reshape(-1).astype(np.uint32)
+        while (rule := self.flat >= self.first).any():  # as many times as rules are nested
+            size = np.where(rule, 2, 1)
+            at = np.cumsum(size) - size
+            wider = np.repeat(self.flat, size)
+            wider[at[rule]], wider[at[rule] + 1] = self.rules[self.flat[rule] - self.first].T
+            self.flat = wider
+        self.flat_at = np.cumsum(self.lengths) - self.lengths
         self.ends: np.ndarray | None = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
