@@ -7,13 +7,244 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pseudonyms
+from ..operators import attacks, dp, graph, matching, metrics, policy, population, transforms
+from .sql import over
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+QIS, SENSITIVE = ("c_nationkey", "c_mktsegment"), "c_mktsegment"
+LINE = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sql(name: str, text: str, t: str, **more: str) -> None:
+    """A query whose text runs in both engines; t and more: relations as SQL over the tables."""
+    relations = {"t": t} | more
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {}
+        for key, relation in relations.items():
+            words = relation.replace("(", " ").replace(")", " ").split()
+            tables = {x for x in words if x in _TABLES}
+            frames[key] = over(f"SELECT * FROM {_spark_names(relation, tables)}", *[table(spark, sf_dir, x) for x in sorted(tables)[:1]], **{x: table(spark, sf_dir, x) for x in tables})
+        return over(text, frames["t"], **{k: v for k, v in frames.items() if k != "t"})
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = text.format(**{k: v if " " not in v else f"{v}" for k, v in relations.items()})
+
+
+_TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"}
+
+
+def _spark_names(relation: str, tables: set[str]) -> str:
+    import re
+
+    return re.sub(r"\b(" + "|".join(sorted(tables)) + r")\b(?!\.)", r"{\1} \1", relation)
+
+
+# equivalence classes and metrics
+_M = metrics.metrics(QIS[:1], SENSITIVE)
+_sql("class_sizes", metrics.classes(QIS), "customer")
+_sql("class_stats", metrics.class_stats(QIS), "customer")
+_sql("residual_singletons", metrics.residual_singletons([*QIS, "c_acctbal"]), "customer")
+_sql("privacy_metrics", metrics.metrics(QIS[:1], SENSITIVE), "customer")
+_sql("privacy_metrics_lineitem", metrics.metrics(["l_linestatus", "l_linenumber"], "l_returnflag"), "lineitem")
+for _name, _columns in {
+    "k_anonymity": ["k_anonymity", "classes"],
+    "l_diversity": ["l_diversity"],
+    "entropy_l": ["minimum_entropy_nats", "entropy_effective_l", "entropy_l_diversity"],
+    "alpha_k": ["alpha", "k_anonymity"],
+    "beta_likeness": ["basic_beta"],
+    "enhanced_beta": ["enhanced_beta"],
+    "t_closeness_tv": ["t_closeness"],
+    "delta_disclosure": ["delta_disclosure"],
+    "sensitive_entropy": ["sensitive_entropy"],
+    "avg_class_size": ["average_class_size"],
+    "discernibility": ["discernibility"],
+    "classification_metric": ["classification_metric"],
+    "reid_risk": ["average_reid_risk", "maximum_reid_risk"],
+}.items():
+    _sql(_name, metrics.only(_columns, _M), "customer")
+_sql("recursive_cl", metrics.recursive_cl(QIS[:1], SENSITIVE), "customer")
+_sql("t_closeness_emd", metrics.numeric_emd(["c_mktsegment"], "c_acctbal"), "customer")
+_sql("t_closeness_emd_events", metrics.numeric_emd(["event_type"], "value"), "(SELECT event_type, floor(value) AS value FROM events)")
+_sql("qi_numeric_stats", metrics.column_stats("c_acctbal") + " UNION ALL " + metrics.column_stats("c_nationkey"), "customer")
+_ORDERS = "(SELECT c_nationkey, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)"
+_sql("multi_sensitive", metrics.multi_sensitive(["c_nationkey"], ["o_orderstatus", "o_orderpriority"]), _ORDERS)
+_sql("multi_sensitive_conditioned", metrics.multi_sensitive(["c_nationkey"], ["o_orderstatus", "o_orderpriority"], True), _ORDERS)
+_sql("suppression_utility", metrics.utility(["c_nationkey"], "c_mktsegment"), "(SELECT * FROM customer WHERE c_nationkey % 5 <> 0)", raw="customer")
+# release and population
+_RELEASE = "(SELECT * FROM customer WHERE c_custkey % 3 = 0)"
+_sql("delta_presence", population.delta_presence(QIS), _RELEASE, population="customer")
+_sql("k_map", population.k_map(QIS, 5), _RELEASE, population="customer")
+_sql("population_reid", population.reidentification(QIS), _RELEASE, population="customer")
+# transforms
+_sql("suppress_small_classes", transforms.suppress_small_classes([*QIS], 12), "customer")
+_sql("top_bottom_code", transforms.top_bottom_code({"c_acctbal": (0.0, 5000.0)}, ["c_custkey"]), "customer")
+_sql("microaggregate", transforms.microaggregate("c_acctbal", ["c_custkey"], 5, (-500.0, 9000.0), ["c_custkey"]), "customer")
+# attacks
+_sql("singling_out", attacks.singling_out(LINE[:5], "id"), "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount FROM lineitem)")
+_sql("singling_out_small", attacks.singling_out(QIS, "c_custkey", 1), "customer")
+_EVEN, _ODD = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", "(SELECT * FROM customer WHERE c_custkey % 2 = 1)"
+_sql("attr_inference_nn", attacks.infer_nearest(["c_acctbal"], ["c_nationkey"], "c_mktsegment"), _EVEN, evaluation=_ODD)
+_sql("attr_inference_exact", attacks.infer_exact(["c_nationkey", "band"], "c_mktsegment"), "(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)", evaluation="(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = 1)")
+_sql("linkability", attacks.linkability("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey"), "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", a="(SELECT * FROM customer WHERE c_custkey % 5 = 0)", b="(SELECT * FROM customer WHERE c_custkey % 5 = 0)")
+# graph
+_SUBJECTS = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE user_id % 4 = 0)"
+_IDENTITIES = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE user_id % 4 = 1)"
+_sql("graph_shared_clues", graph.shared_clues(), _SUBJECTS, identities=_IDENTITIES)
+_sql("graph_verdicts", graph.verdicts(2), _SUBJECTS, identities=_IDENTITIES)
+_sql("wilson_calibration", graph.calibrated(3), "(SELECT l_linenumber AS shared, l_returnflag = 'R' AS reidentified FROM lineitem)")
+
+
+def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+    return graph.reachability(edges, s.select(F.concat(F.lit("s"), "s_suppkey").alias("start")), 3)
+
+
+QUERIES["graph_reachability"] = graph_reachability
+ORACLE_SQL["graph_reachability"] = """
+WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+r AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hops FROM supplier
+      UNION ALL SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 3)
+SELECT start, node, CAST(min(hops) AS INT) AS hops FROM r WHERE hops > 0 GROUP BY start, node"""
+
+
+# hierarchies: a nation, its region's number, everything
+def _hierarchies(spark: SparkSession, sf_dir: str) -> dict:
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    return {"nation": {str(r[0]): [f"region {r[1]}", "*"] for r in rows}, "segment": {s: ["*"] for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}}
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"))
+
+
+GLOBAL_K, GLOBAL_SHARE, LOCAL_K = 40, 0.05, 6
+
+
+def generalize_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.global_levels(_people(spark, sf_dir), ["nation", "segment"], _hierarchies(spark, sf_dir), GLOBAL_K, GLOBAL_SHARE)
+
+
+def generalize_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.generalize(_people(spark, sf_dir), ["nation", "segment"], _hierarchies(spark, sf_dir), GLOBAL_K, GLOBAL_SHARE)
+
+
+def generalize_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.generalize_locally(_people(spark, sf_dir), ["nation", "segment"], _hierarchies(spark, sf_dir), LOCAL_K)
+
+
+_LATTICE = f"""
+WITH x AS (SELECT c_custkey, a, b, CASE a WHEN 0 THEN CAST(c_nationkey AS VARCHAR) WHEN 1 THEN 'region ' || n_regionkey ELSE '*' END AS nation,
+                  CASE b WHEN 0 THEN c_mktsegment ELSE '*' END AS segment
+           FROM customer JOIN nation ON c_nationkey = n_nationkey, range(0, 3) u(a), range(0, 2) w(b)),
+c AS (SELECT a, b, nation, segment, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT a, b, sum(CASE WHEN n < {GLOBAL_K} THEN n ELSE 0 END) AS suppressed, sum(n) AS rows_n FROM c GROUP BY a, b),
+best AS (SELECT * FROM l WHERE suppressed < rows_n AND suppressed <= {GLOBAL_SHARE} * rows_n ORDER BY suppressed, a + b, a, b LIMIT 1)
+"""
+QUERIES |= {f.__name__: f for f in (generalize_global, generalize_applied, generalize_local)}
+ORACLE_SQL["generalize_global"] = _LATTICE + "SELECT CAST(suppressed AS BIGINT) AS suppressed, CAST(a AS INT) AS level_nation, CAST(b AS INT) AS level_segment FROM best"
+ORACLE_SQL["generalize_applied"] = _LATTICE + f"SELECT c_custkey, x.nation, x.segment FROM x JOIN best USING (a, b) JOIN c ON c.a = x.a AND c.b = x.b AND c.nation = x.nation AND c.segment = x.segment WHERE c.n >= {GLOBAL_K}"
+
+
+# literals
+def _policy(spark: SparkSession, sf_dir: str, case_sensitive: bool = True) -> policy.Policy:
+    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
+    return policy.compiled({"version": 1, "sensitive_values": [{"rule_id": f"nation-{n}", "type": "name", "value": n, "case_sensitive": case_sensitive} for n in names], "protected_values": []})
+
+
+def mask_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, n = matching.replaced(F.col("note"), _policy(spark, sf_dir))
+    return _notes(spark, sf_dir).select("s_suppkey", text.alias("masked"), n.cast("long").alias("replacements"))
+
+
+def mask_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, n = matching.replaced(F.lower("note"), _policy(spark, sf_dir, False))
+    return _notes(spark, sf_dir).select("s_suppkey", text.alias("masked"), n.cast("long").alias("replacements"))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")).select("s_suppkey", F.format_string("from <%s> to <%s>, %s", "n_name", "n_name", "s_name").alias("note"))
+
+
+def pseudonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    kinds = ("name", "email", "secret", "city")
+    return n.select("n_nationkey", *[pseudonyms.pseudonym(F.lit(k), F.col("n_name"), 1).alias(f"as_{k}") for k in kinds])
+
+
+def pseudonym_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mask_nations(spark, sf_dir)
+    found = F.flatten(F.array(*[F.regexp_extract_all("masked", F.lit(p), F.lit(0)) for p in pseudonyms.LOOKALIKES]))
+    return d.select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def residual_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _policy(spark, sf_dir)
+    d = mask_nations(spark, sf_dir)
+    return d.agg(F.coalesce(F.sum(F.size(matching.matches(F.col("masked"), p))), F.lit(0)).cast("long").alias("residual"))
+
+
+def protected_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _notes(spark, sf_dir).select("note", matching.replaced(F.col("note"), _policy(spark, sf_dir))[0].alias("masked"))
+    return d.agg(F.sum(matching.occurrences(F.col("note"), "from <")).alias("before"), F.sum(matching.occurrences(F.col("masked"), "from <")).alias("after"))
+
+
+_NOTES = "(SELECT s_suppkey, n_name, s_name, 'from <' || n_name || '> to <' || n_name || '>, ' || s_name AS note, 'Person-' || substr(sha256('pseudonym-v1:trial-v1:1:name:nation-' || n_name || ':0'), 1, 10) AS token FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+QUERIES |= {f.__name__: f for f in (mask_nations, mask_case_insensitive, pseudonym_map, pseudonym_frequency, residual_literals, protected_parity)}
+ORACLE_SQL |= {
+    "mask_nations": f"SELECT s_suppkey, replace(note, n_name, token) AS masked, CAST(2 AS BIGINT) AS replacements FROM {_NOTES}",
+    "mask_case_insensitive": f"SELECT s_suppkey, replace(lower(note), lower(n_name), token) AS masked, CAST(2 AS BIGINT) AS replacements FROM {_NOTES}",
+    "pseudonym_map": "SELECT n_nationkey, " + ", ".join(f"'{a}' || substr(sha256('pseudonym-v1:trial-v1:1:{k}:' || n_name || ':0'), 1, 10) || '{b}' AS as_{k}" for k, a, b in (("name", "Person-", ""), ("email", "user-", "@example.invalid"), ("secret", "[REDACTED-", "]"), ("city", "anon-city-", ""))) + " FROM nation",
+    "pseudonym_frequency": f"SELECT token, CAST(2 * count(*) AS BIGINT) AS n FROM {_NOTES} GROUP BY token",
+    "residual_literals": "SELECT CAST(0 AS BIGINT) AS residual",
+    "protected_parity": "SELECT count(*) AS before, count(*) AS after FROM supplier",
+}
+
+
+# inventory of documents as files
+def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.format_string("corpus/%08d.txt", "doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the sorted inventory, in two levels so that no task holds all of it: of each hundredth, then of these."""
+    d = source_inventory(spark, sf_dir).withColumn("part", F.substring("path", 8, 6))
+    entry = F.expr("array_join(transform(array_sort(collect_list(struct(path, sha256))), x -> concat(x.path, char(0), x.sha256, char(0))), '')")
+    parts = d.groupBy("part").agg(F.sha2(entry, 256).alias("sha256"))
+    return parts.agg(F.sha2(F.expr("array_join(transform(array_sort(collect_list(struct(part, sha256))), x -> concat(x.part, char(0), x.sha256, char(0))), '')"), 256).alias("digest"))
+
+
+QUERIES |= {f.__name__: f for f in (source_inventory, manifest_digest)}
+_INVENTORY = "(SELECT printf('corpus/%08d.txt', doc_id) AS path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)"
+ORACLE_SQL["source_inventory"] = f"SELECT * FROM {_INVENTORY}"
+ORACLE_SQL["manifest_digest"] = f"SELECT sha256(string_agg(part || chr(0) || d || chr(0), '' ORDER BY part)) AS digest FROM (SELECT substr(path, 8, 6) AS part, sha256(string_agg(path || chr(0) || sha256 || chr(0), '' ORDER BY path)) AS d FROM {_INVENTORY} GROUP BY part)"
+
+
+# differential privacy, with noise 0 so that rows can be compared
+def dp_counts_zero_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = [{"column": "o_orderstatus", "equals": s, "epsilon": 1} for s in ("F", "O", "P")]
+    got = dp.counts(table(spark, sf_dir, "orders"), queries, 3, draw=lambda: 0)
+    return spark.createDataFrame([(q["equals"], n) for q, n in zip(queries, got)], "status string, n long")
+
+
+def dp_histogram_zero_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}
+    return dp.histogram(table(spark, sf_dir, "orders"), domains, 1, draw=lambda: 0)
+
+
+QUERIES |= {f.__name__: f for f in (dp_counts_zero_noise, dp_histogram_zero_noise)}
+ORACLE_SQL["dp_counts_zero_noise"] = "SELECT s AS status, (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS n FROM (VALUES ('F'), ('O'), ('P')) v(s)"
+ORACLE_SQL["dp_histogram_zero_noise"] = "SELECT o_orderstatus, o_orderpriority FROM orders"
+_sql("cost_model", "SELECT n_nationkey, round(bytes / 2e7 / 200 / 3600 * 2 * 1.02, 9) AS hours FROM {t}", "(SELECT n_nationkey, (n_nationkey + 1) * 1e12 AS bytes FROM nation)")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    return QUERIES["privacy_metrics"](spark, sf_dir)
