@@ -97,12 +97,12 @@ def numeric_emd(qis: Sequence[str], sensitive: str, t: str = "{t}") -> str:
     return f"""
 WITH cell AS (SELECT {q}, TRY_CAST({sensitive} AS DOUBLE) AS v, count(*) AS n FROM {t} GROUP BY {q}, TRY_CAST({sensitive} AS DOUBLE)),
 support AS (SELECT v, sum(n) AS n FROM cell GROUP BY v),
-curve AS (SELECT v, lead(v) OVER (ORDER BY v) - v AS gap, sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER () AS g,
+curve AS (SELECT v, lead(v) OVER (ORDER BY v) - v AS gap, sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER () AS umbra_cdf,
                  max(v) OVER () - min(v) OVER () AS span, count(CASE WHEN v IS NULL THEN 1 END) OVER () AS bad FROM support),
 class AS (SELECT {q}, sum(n) AS m FROM cell GROUP BY {q}),
-grid AS (SELECT {_list(qis, "k.")}, k.m, u.v, u.gap, u.g, u.span, u.bad, coalesce(c.n, 0) AS n FROM class k CROSS JOIN curve u LEFT JOIN cell c ON {_same("k", "c", qis)} AND c.v = u.v),
-run AS (SELECT {q}, gap, g, span, bad, sum(n) OVER (PARTITION BY {q} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / m AS local FROM grid),
-dist AS (SELECT sum(abs(g - local) * coalesce(gap, 0)) / CASE WHEN max(span) > 0 THEN max(span) ELSE 1 END AS d, max(bad) AS bad FROM run GROUP BY {q})
+grid AS (SELECT {_list(qis, "k.")}, k.m, u.v, u.gap, u.umbra_cdf, u.span, u.bad, coalesce(c.n, 0) AS n FROM class k CROSS JOIN curve u LEFT JOIN cell c ON {_same("k", "c", qis)} AND c.v = u.v),
+run AS (SELECT {q}, gap, umbra_cdf, span, bad, sum(n) OVER (PARTITION BY {q} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / m AS local FROM grid),
+dist AS (SELECT sum(abs(umbra_cdf - local) * coalesce(gap, 0)) / CASE WHEN max(span) > 0 THEN max(span) ELSE 1 END AS d, max(bad) AS bad FROM run GROUP BY {q})
 SELECT CASE WHEN max(bad) = 0 THEN round(CAST(max(d) AS DOUBLE), 9) END AS numeric_emd FROM dist
 """
 
