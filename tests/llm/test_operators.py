@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from umbra.llm import bpe, langid, linededup, merkle, minhash, packing, pii, repair, sharding, vectors
+from umbra.llm import bpe, langid, linededup, merkle, minhash, packing, pii, repair, sharding, shared, vectors
 
 EXTRA = "text string, lang string, key string, h long, n long, rep long, part int, umbra string"
 LONG = "word " * 20000 + "1-2 " * 500
@@ -246,6 +246,23 @@ def test_token_files(spark, odd):
     assert repair.read_files(files).count() == 0
 
 
+def test_components(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    d = spark.createDataFrame(pairs, "u long, v long")
+    for most in (shared.ONE_TASK, 0):
+        shared.ONE_TASK, old = most, shared.ONE_TASK
+        got = {r["node"]: r["component"] for r in shared.components(d).collect()}
+        shared.ONE_TASK = old
+        assert got == want
+    assert shared.components(d.limit(0)).count() == 0
+
+
 def test_grammar():
     rng = np.random.default_rng(8)
     for n, v in ((0, 5), (1, 5), (2, 1), (5000, 3), (20000, 50), (20000, 1)):
