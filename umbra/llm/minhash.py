@@ -8,8 +8,9 @@ pairs; the others are confirmed on their full shingle sets.
 
 Documents with equal sets are one node.  Of a key's documents each is first held against the smallest
 alone; then, where a key still joins several components, members of different components are
-compared in tiles of bounded size, estimates first, so groups of any size lose no link and are never
-expanded into all pairs.  A linked pair (similarity 0.8) misses all 32 bands with probability below
+compared in tiles of bounded size: a document with the likeliest member of each other component first,
+then with those members that the exact distance to the first one doesn't rule out.  So groups of any
+size lose no link and are not expanded into all pairs.  A linked pair (similarity 0.8) misses all 32 bands with probability below
 1e-7, and the estimate may lie five standard deviations low.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.  With fewer words than a
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, mapped, stored
+from .shared import components, dropped, mapped, small_batches, stored
 
 #: Words of a shingle, similarity in percent; registers, registers of a band; documents of a tile.
 WORDS, PERCENT, REGISTERS, BAND, TILE = 5, 80, 128, 4, 512
+#: Pairs of sets that a worker takes at once (a long document's set is as large as its text).
+PAIRS = 64
 #: Words that are hashed at once, entries of a worker's word cache.
 CHUNK, CACHE = 500_000, 500_000
 #: Mantissa bits; the constant of expected collisions of two registers (Yu and Weber, HyperMinHash).
@@ -156,8 +159,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _tile_pairs(percent: int):
-    """Pairs of different components in a tile that may be similar."""
+def _likeliest(percent: int):
+    """Of a tile's documents and components, the pairs that may be similar with the best estimate, one
+    for a document and another component, from the side that has fewer documents in the tile.
+
+    Rows: key, ti, tj, id, component, size, own tile, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 3):
@@ -168,7 +174,9 @@ def _tile_pairs(percent: int):
             regs = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(n, REGISTERS)
             ti, tj = t.column(1)[0].as_py(), t.column(2)[0].as_py()
             left, right = (np.arange(n), np.arange(n)) if ti == tj else (np.flatnonzero(own == ti), np.flatnonzero(own == tj))
-            out_a, out_b = [], []
+            bands = regs.view(np.uint64)
+            key = t.column(0)[0].as_py()
+            out: list[tuple[np.ndarray, ...]] = []
             for at in range(0, len(left), 32):
                 rows = left[at : at + 32]
                 x, y = np.nonzero(comp[rows][:, None] != comp[right][None, :])
@@ -176,32 +184,79 @@ def _tile_pairs(percent: int):
                     keep = rows[x] < right[y]
                     x, y = x[keep], y[keep]
                 x, y = rows[x], right[y]
-                if len(x):
-                    ok = likely(regs[x], regs[y], size[x], size[y], percent)
-                    out_a.append(ids[x[ok]])
-                    out_b.append(ids[y[ok]])
-            if out_a and sum(map(len, out_a)):
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                for i in range(0, len(x), 4096):  # bounds what is compared at once
+                    u, v = x[i : i + 4096], y[i : i + 4096]
+                    # a pair counts under the first key that it shares
+                    shared = ((bands[u] == bands[v]) & (bands[u] > 0)).argmax(axis=1)
+                    here = _mixed(bands[u, shared] * _A + _mixed(shared.astype(np.uint64) + np.uint64(1))).view(np.int64) == key
+                    u, v = u[here], v[here]
+                    ok = likely(regs[u], regs[v], size[u], size[v], percent)
+                    u, v = u[ok], v[ok]
+                    if len(u):
+                        out.append((u, v, (regs[u] == regs[v]).sum(axis=1)))
+            if not out:
+                continue
+            x, y, score = (np.concatenate(z) for z in zip(*out))
+            at, count = np.unique(comp, return_inverse=True, return_counts=True)[1:]
+            swap = (count[at[x]] > count[at[y]]) | ((count[at[x]] == count[at[y]]) & (comp[x] > comp[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            order = np.lexsort((ids[y], -score, at[y], x))
+            x, y = x[order], y[order]
+            first = np.ones(len(x), bool)
+            first[1:] = (x[1:] != x[:-1]) | (at[y][1:] != at[y][:-1])
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Common elements of two sorted arrays of distinct ones."""
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _linked_members(percent: int):
+    """Links between a component's members and documents outside, in tiles: full sets where the
+    estimates allow a link, and no more links than it takes to connect.
+
+    Rows: component, ti, tj, whether it's a member, id, size, registers, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 3):
+            member = t.column(3).to_numpy()
+            ids, size = t.column(4).to_numpy(), t.column(5).to_numpy()
+            regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
+            inside = np.flatnonzero(member)
+            u, v = [], []
+            for x in np.flatnonzero(~member).tolist():
+                for y in inside[likely(regs[x][None, :], regs[inside], size[x], size[inside], percent)].tolist():
+                    common = _common(sets[x], sets[y])
+                    if 100 * common >= percent * (size[x] + size[y] - common):
+                        u.append(ids[x])
+                        v.append(ids[y])
+                        break  # the members are connected already
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with the distance of their full sets, and whether it is small enough to link them."""
 
     def run(batch):
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+        far, linked = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             m, n = len(x) // 8, len(y) // 8
-            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (m + n - common):
-                keep.append(i)
-        return {"u": batch.column(0).take(pa.array(keep, pa.int64())), "v": batch.column(1).take(pa.array(keep, pa.int64()))} if keep else None
+            common = _common(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            far.append(1 - common / (m + n - common))
+            linked.append(100 * common >= percent * (m + n - common))
+        return {"u": batch.column(0), "v": batch.column(1), "far": far, "linked": linked}
 
     j = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    return mapped(j, run, "u long, v long")
+    return mapped(j, run, "u long, v long, far double, linked boolean")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -255,21 +310,45 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sk = reps.select("rep", "n", "sketch")
     met = stars.join(sk.toDF("a", "na", "sa"), "a").join(sk.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
     pairs, pairs_path = stored(mapped(met, estimated, "a long, b long"), "pairs")
-    edges, edges_path = stored(_confirmed(pairs, sets, percent), "links")
+    with small_batches(spark, PAIRS):
+        seen, seen_path = stored(_compared(pairs, sets, percent), "links")
+    edges = seen.where("linked").select("u", "v")
     dropped(spark, stars_path, pairs_path)
     # then: what a key still joins across components, in tiles
-    comp, comp_path = stored(components(edges), "components")
-    labelled, labelled_path = stored(rows.select("key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")), "labelled")
+    comp, comp_path = stored(components(edges).toDF("rep", "component"), "components")
+    own_far = seen.select(F.col("u").alias("c"), F.col("v").alias("rep"), "far")
+    nodes = active.withColumnRenamed("doc_id", "rep").join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), F.col("component").isNotNull().alias("many"))
+    nodes = nodes.join(own_far, ["c", "rep"], "left").select("rep", "c", "many", F.when(F.col("rep") == F.col("c"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"))
+    nodes, nodes_path = stored(nodes, "nodes")
+
+    labelled, labelled_path = stored(rows.select("key", "rep", "n").join(nodes.select("rep", "c"), "rep"), "labelled")
     mixed, mixed_path = stored(labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
-    chunks = F.expr(f"cast(ceil(n / {tile}) as int)")
-    dealt = labelled.join(mixed, "key").withColumn("k", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
-    dealt = dealt.select("key", "rep", "c", "own", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "rep", "c", "own")
+    dealt = labelled.join(mixed, "key").withColumn("k", F.expr(f"cast(ceil(n / {tile}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
     dealt = dealt.join(sk.withColumnRenamed("n", "size"), "rep").select("key", "ti", "tj", "rep", "c", "size", "own", "sketch")
-    found = dealt.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
-    pairs, pairs_path = stored(found, "pairs")
-    more, more_path = stored(edges.union(_confirmed(pairs, sets, percent)), "links")
-    dropped(spark, labelled_path, mixed_path, rows_path, sets_path, pairs_path, edges_path, comp_path)
+    pairs, pairs_path = stored(dealt.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(_likeliest(percent), "a long, b long").distinct(), "pairs")
+    with small_batches(spark, PAIRS):
+        met, met_path = stored(_compared(pairs, sets, percent), "links")
+    linked = edges.union(met.where("linked").select("u", "v"))
+    newer, newer_path = stored(components(linked).toDF("rep", "new"), "components")
+    # d(x, m) >= d(x, m') - d(m', s) - d(s, m): one exact distance d(x, m') rules out a component
+    # whose members m lie near its smallest, s; against all others x is held in full
+    both = seen.union(met).select("u", "v", F.col("far").alias("d"))
+    both = both.union(both.select("v", "u", "d")).toDF("x", "rep", "d").join(nodes.where("many"), "rep")
+    open_ = both.groupBy("x", "c").agg(F.max(F.when(F.isnan("far"), F.lit(-1.0)).otherwise(F.col("d") - F.col("far"))).alias("d"))
+    widest = nodes.where("many").groupBy("c").agg(F.max("far").alias("widest"), F.count("*").alias("members"))  # NaN is the largest
+    open_ = open_.join(widest, "c").where(f"isnan(widest) or d - widest <= {1 - percent / 100 + 1e-9}").drop("d", "widest")
+    open_ = open_.join(newer.toDF("x", "new_x"), "x", "left").join(newer.toDF("c", "new_c"), "c", "left").where("coalesce(new_x, x) <> coalesce(new_c, c)").select("x", "c", "members")
+    open_, open_path = stored(open_, "open")
+    count = open_.groupBy("c").agg(F.count("*").alias("outside"), F.first("members").alias("members"))
+    count, count_path = stored(count.select("c", F.expr(f"cast(ceil(outside / {tile}) as int)").alias("kx"), F.expr(f"cast(ceil(members / {tile}) as int)").alias("km")), "counts")
+    outside = open_.select("x", "c").join(count, "c").select("c", F.expr("cast(pmod(xxhash64(x), kx) as int)").alias("ti"), F.explode(F.expr("sequence(0, km - 1)")).alias("tj"), F.lit(False).alias("member"), F.col("x").alias("rep"))
+    inside = nodes.where("many").select("c", "rep").join(count, "c").select("c", F.explode(F.expr("sequence(0, kx - 1)")).alias("ti"), F.expr("cast(pmod(xxhash64(rep), km) as int)").alias("tj"), F.lit(True).alias("member"), "rep")
+    dealt = outside.union(inside).join(sk.withColumnRenamed("n", "size"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("c", "ti", "tj", "member", "rep", "size", "sketch", "set")
+    last = dealt.repartition("c", "ti", "tj").sortWithinPartitions("c", "ti", "tj").mapInArrow(_linked_members(percent), "u long, v long")
+    with small_batches(spark, PAIRS):
+        more, more_path = stored(linked.union(last), "links")
+    dropped(spark, labelled_path, mixed_path, rows_path, sets_path, pairs_path, seen_path, comp_path, nodes_path, met_path, newer_path, open_path, count_path)
     by_set, _ = stored(reps.select("digest", "rep").join(components(more).withColumnRenamed("node", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("component")), "by-set")
     dropped(spark, reps_path, more_path)
     out = feats.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(by_set, "digest", "left")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, plans hand Python at most so many rows at once: for rows of large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -57,16 +71,43 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+#: Links (16 bytes each) up to which one task joins them; beyond it, rounds over all executors do.
+ONE_TASK = 1_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links (u, v): least labels, halved paths."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): each node of an edge with the smallest node that it reaches.
 
     Alternates large-star and small-star steps, each a minimum by node (combined before the
     shuffle) and an equi-join of two stored tables, whose skewed keys Spark can split.  Rounds grow
-    with the logarithm of the longest path; only a count and a checksum reach the driver.
+    with the logarithm of the longest path; only a count and a checksum reach the driver.  Up to
+    ONE_TASK links, one task does the same at once.
     """
     spark = edges.sparkSession
     e, path = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
     mark = _mark(e)
+    if mark[0] <= ONE_TASK:
+        return e.coalesce(1).mapInArrow(_united, "node long, component long")
     while mark[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low, low_path = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, stored
+from .shared import components, dropped, small_batches, stored
 
 #: Least cosine; grid dimensions; vectors of a block; intervals under one; vectors that fit the axes, on average.
 COSINE, DIMENSIONS, BLOCK, FAN, SAMPLE = 0.95, 8, 4096, 8, 4096
@@ -194,12 +194,8 @@ def _one_length(d: DataFrame, width: int, kind: str, least: float, block: int, s
 
     content = blocks.select("block", "ids", "copies", "vectors")
     tiles = pairs.join(content.toDF("x", "ix", "cx", "vx"), "x").join(content.toDF("y", "iy", "cy", "vy"), "y").select("x", "ix", "cx", "vx", "y", "iy", "cy", "vy")
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is two blocks
-    try:
+    with small_batches(spark, 8):  # a row is two blocks
         found, _ = stored(tiles.mapInArrow(compared, "rep long, n long, root long"), "links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     dropped(spark, pairs_path, blocks_path)
     return found.groupBy("rep").agg(F.sum("n").alias("n")), found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
