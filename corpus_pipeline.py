@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring line templates, and documents of which nothing but blanks is left."""
-    d = linededup.clean(docs.select(*COLUMNS))
+    """Drops recurring line templates and recurring short lines, and documents of which nothing but blanks is left."""
+    d = linededup.clean(docs.select(*COLUMNS), short=True)
     d = d.where("umbra_dropped = 0 or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
     return d.withColumn("n_chars", F.when(F.col("umbra_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -34,3 +34,10 @@ def test_no_rows(spark):
         out = stage(spark, d, "")
         assert out.count() == 0
         d = out if out.columns == NAMES else d
+
+
+def test_short_lines(spark):
+    rows = [(1, "Les.\nthe first"), (2, "Les.\n\n12\nthe second"), (3, " 全部没有空格的一行3 \nthe third\n13"), (4, "全部没有空格的一行3\n全部没有空格的一行4\n\nthe fourth"), (5, "Les. \n \t"), (6, "again\nagain")]
+    got = {r["doc_id"]: r["text"] for r in p.lines(spark, docs(spark, rows), "").collect()}
+    # exact lines alone: other digits are other lines, a document's own repeats and blank lines stay
+    assert got == {1: rows[0][1], 2: "\n12\nthe second", 3: rows[2][1], 4: "全部没有空格的一行4\n\nthe fourth", 6: "again\nagain"}
