@@ -131,6 +131,19 @@ def test_merkle(spark, odd):
     assert merkle.edited(odd).count() == 10 and merkle.edited(none(odd)).count() == 0 and merkle.edited(d.limit(1)).first()["near_next"] == 1.0
 
 
+def test_merkle_cuts_any_line():
+    rng = random.Random(11)
+    for line in ("word " * 1000, "a" * 3000, "一二三四五六七八九十" * 300, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "xyz" * 1000):
+        segments = [*merkle._segments(line)]
+        assert len(segments) == 1 and "".join(segments[0]) == line
+        assert all(merkle.LEAST <= len(x) <= merkle.MOST for x in segments[0][:-1]) and len(segments[0]) >= len(line) / merkle.MOST
+        # neither another end nor three characters in front move the cuts of the rest
+        mark = str(merkle.Tree(line))
+        assert merkle.likeness(mark, str(merkle.Tree(line[:-700] + "another end of it"))) > 0.7 and merkle.likeness(mark, str(merkle.Tree("new" + line))) > 0.9
+    text = "ab\n\n" + "some words of a line that is cut, " * 20 + "\n" + "é日" * 200 + "\n"
+    assert [x for x in merkle._segments(text)] == [y for line in text.split("\n") for y in merkle._segments(line)]
+
+
 # 6
 def near(texts, words):
     sets = {}

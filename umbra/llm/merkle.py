@@ -1,7 +1,10 @@
 """Document fingerprints as Merkle trees: segments, paragraphs, sections, root.
 
-A paragraph is a line; it is cut into segments of about four words at blanks that its own characters
-pick, so an edit moves no cut but those beside it.  A segment's hash covers its characters, a
+A paragraph is a line; it is cut into segments of about 24 characters wherever a hash of the WINDOW
+characters before says so, so an edit moves no cut but those near it.  A segment has LEAST to MOST
+characters (a line's last one may have fewer); where no hash fires in time, the cut is after the least
+hash in reach, which the characters pick as well: repeated words and scripts without blanks are cut, too.
+A segment's hash covers its characters, a
 paragraph's its segments' hashes, a section's its paragraphs'; a section ends after a paragraph whose
 hash says so.  The root is the hash of the sections' hashes, so equal texts, and only they (but for
 collisions of 128 bits), have equal roots.  Trees are compared from the root down; only differing
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import mapped
 
-#: Of so many blanks one is a cut; of so many paragraphs one ends a section; hex digits of a segment.
-CUT, SECTION, SHORT = 4, 4, 8
+#: Of so many places one is a cut; of so many paragraphs one ends a section; hex digits of a segment.
+CUT, SECTION, SHORT = 16, 4, 8
+#: Characters that a cut depends on; least (at least WINDOW) and largest length of a segment.
+WINDOW, LEAST, MOST = 6, 8, 64
 #: Documents of a range of ids; what a null id counts as.
 RANGE, LOW = 4096, -(2**63)
 
@@ -38,14 +43,31 @@ def _h(data: bytes, size: int = 16) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
-def _segments(paragraph: str) -> list[str]:
-    """Consecutive segments that make up the paragraph."""
-    if len(paragraph) < 2:
-        return [paragraph]
-    code = np.frombuffer(paragraph.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.flatnonzero(code[2:] == 32) + 2
-    at = at[(code[at - 1] * np.uint32(31) + code[at - 2] * np.uint32(17)) % CUT == 0].tolist()
-    return [paragraph[i:j] for i, j in zip([0, *at], [*at, len(paragraph)])]
+def _segments(text: str) -> Iterator[list[str]]:
+    """By line, consecutive segments that make it up; no hash that is looked at reaches into another line."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(max(0, len(code) - WINDOW + 1), np.uint32)  # h[i]: of the characters before i + WINDOW
+    for k in range(WINDOW):
+        h = (h + code[k : k + len(h)]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    places = [*(np.flatnonzero(h % CUT == 0) + WINDOW).tolist(), len(text) + 1]
+    i = end = 0
+    for line in text.split("\n"):
+        at, end = end, end + len(line)
+        out = []
+        while end - at > LEAST:
+            while places[i] < at + LEAST:
+                i += 1
+            cut = places[i]
+            if cut > at + MOST:
+                cut = at + LEAST + int(h[at + LEAST - WINDOW : min(at + MOST, end) - WINDOW + 1].argmin()) if end - at > MOST else end
+            if cut >= end:
+                break
+            out.append(text[at:cut])
+            at = cut
+        out.append(text[at:end])
+        end += 1
+        yield out
 
 
 class Tree:
@@ -54,8 +76,8 @@ class Tree:
     def __init__(self, text: str):
         self.sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]] = []
         held: list[tuple[bytes, list[bytes]]] = []
-        for line in text.split("\n"):
-            leaves = [_h(s.encode("utf-8", "surrogatepass")) for s in _segments(line)]
+        for segments in _segments(text):
+            leaves = [_h(s.encode("utf-8", "surrogatepass")) for s in segments]
             held.append((_h(b"p" + b"".join(leaves)), leaves))
             if held[-1][0][0] % SECTION == 0:
                 self.sections.append((_h(b"s" + b"".join(x for x, _ in held)), held))
