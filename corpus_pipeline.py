@@ -16,9 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text or no letter in it.  Texts in any learned language stay."""
-    found = langid.predict(docs.withColumn("row", F.struct(*COLUMNS)), langid.fit(docs.where(~langid.held_out())), id_col="row")
-    return found.where("lang_pred <> 'und'").select("row.*")
+    """Drops documents without a language: no text, no letter in it, or n-grams that the learned languages
+    lack (no support, or less than held-out labelled texts have).  Texts in any learned language stay."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    least = langid.least_support(docs.where(langid.held_out()), model)
+    found = langid.predict(docs.withColumn("row", F.struct(*COLUMNS)), model, id_col="row", support=True)
+    return found.where(f"lang_pred <> 'und' and support > 0 and support >= {least!r}D").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,17 @@ def test_languages(spark, odd):
     assert whole[0] == chunked[0]
 
 
+def test_support(spark):
+    docs = [(i, "the quick brown fox jumps over the lazy dog and runs away", "en") for i in range(60)] + [(100, "ελληνικό κείμενο χωρίς γνωστά γράμματα", None), (101, "中文文本", None), (102, "the dog runs", None), (103, "12", None), (104, "a ελληνικό κείμενο χωρίς γνωστά γράμματα", None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(d.where(~langid.held_out()))
+    got = by_id(langid.predict(d, model, support=True))
+    assert got[100]["support"] == got[101]["support"] == got[103]["support"] == 0 and got[100]["lang_pred"] == "en" and got[103]["lang_pred"] == "und"
+    least = langid.least_support(d.where(langid.held_out()), model)
+    assert 0 < got[104]["support"] < least < got[102]["support"] and langid.least_support(none(d), model) == 0
+    assert langid.predict(d, model).columns == ["doc_id", "lang_pred", "score"]
+
+
 # 4
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -41,3 +41,9 @@ def test_short_lines(spark):
     got = {r["doc_id"]: r["text"] for r in p.lines(spark, docs(spark, rows), "").collect()}
     # exact lines alone: other digits are other lines, a document's own repeats and blank lines stay
     assert got == {1: rows[0][1], 2: "\n12\nthe second", 3: rows[2][1], 4: "全部没有空格的一行4\n\nthe fourth", 6: "again\nagain"}
+
+
+def test_unlearned_language(spark):
+    rows = [(i, f"the house that jack built stood on the hill for {w} years") for i, w in enumerate("many ten two some four more all few six most".split() * 3)]
+    d = docs(spark, [*rows, (100, "ένα κείμενο σε γλώσσα που δεν έχει διδαχθεί"), (101, "没有学过的语言"), (102, "the hill")]).selectExpr("doc_id", "text", "if(doc_id < 100, 'en', null) as lang", "source", "n_chars")
+    assert {r["doc_id"] for r in p.language(spark, d, "").collect()} == {*range(len(rows)), 102}

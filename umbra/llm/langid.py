@@ -9,6 +9,10 @@ Training: a language contains an n-gram if its relative frequency there is at le
 largest over all languages.  Frequencies come from a sample, bounded by PER_LANGUAGE documents of
 each language on average, drawn by a hash of the id, so that it is the same on every run.
 
+A text's support is the largest corrected count over all its n-grams: 0 where none occurs in a learned
+language.  least_support() says from labelled rows, best not those of the training, how much a text of
+a learned language has.
+
 Nulls and texts without a letter get `und` and score 0; so does everything if nothing is labelled.
 Ties go to the language that sorts first.  Repeated rows are judged one by one, an empty table gives
 no rows; other columns are ignored.
@@ -31,6 +35,8 @@ PER_LANGUAGE = 2000
 ORDERS, SLOTS, PROBES = (1, 3), 1 << 18, 3
 #: An n-gram counts from this share of a language's n-grams on; a language contains it from this share of the largest on.
 FLOOR, KEEP = 2e-5, 0.5
+#: Labelled texts of less than SLACK of the support that all but a share of RARE of them have are of no learned language.
+RARE, SLACK = 0.01, 0.5
 #: Characters that are looked up at once.
 CHUNK = 1_000_000
 
@@ -108,6 +114,10 @@ class Filter:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and support of each text."""
         count = np.zeros((len(texts), max(1, len(self.languages))))
         total = np.zeros(len(texts))
         whole = [x or "" for x in texts]
@@ -119,13 +129,13 @@ class Filter:
                 hit = (found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
                 np.add.at(count[:, i], to, np.bincount(owner[hit], minlength=len(part)))
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         right = np.maximum(0, (count - total[:, None] * self.false) / (1 - self.false))
         best, high = right.argmax(1), right.max(1)
         second = np.partition(right, -2, axis=1)[:, -2] if right.shape[1] > 1 else np.zeros(len(texts))
         score = np.where(high > 0, 1 - second / np.where(high > 0, high, 1), 0.0)
         known = [has_letter(x) for x in texts]
-        return [self.languages[b] if k else "und" for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
+        return [self.languages[b] if k else "und" for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)], (high / np.maximum(1, total)).tolist()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -133,15 +143,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Filter:
-    """Learns from labelled rows of docs; the caller leaves out what is held out."""
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[DataFrame | None, list[str]]:
+    """(id, text, lang) of labelled rows, about per_language of each language, and the languages; None if there are none."""
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    if not languages:
+    if not sizes:
+        return None, []
+    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1 << 20, -(-(per_language << 20) // sizes[k])))])
+    return labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")]), sorted(sizes)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Filter:
+    """Learns from labelled rows of docs; the caller leaves out what is held out."""
+    sample, languages = _sample(docs, id_col, text_col, lang_col, per_language)
+    if sample is None:
         return Filter([], np.zeros((SLOTS, 1), np.uint64))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1 << 20, -(-(per_language << 20) // sizes[k])))])
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")])
 
     def run(batch):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -173,14 +189,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Filter(languages, masks)
 
 
-def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) for each row; only the text is looked at."""
+def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", support: bool = False) -> DataFrame:
+    """(id_col, lang_pred, score) and, if asked for, support for each row; only the text is looked at."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((model.languages, model.masks))  # SLOTS x 8 bytes a 64 languages
     d = docs.select(F.col(id_col), F.col(text_col))
 
     def run(batch):
-        lang, score = Filter(*shipped.value).predict(batch.column(1).to_pylist())
-        return {id_col: batch.column(0), "lang_pred": lang, "score": score}
+        lang, score, found = Filter(*shipped.value).judged(batch.column(1).to_pylist())
+        return {id_col: batch.column(0), "lang_pred": lang, "score": score, "support": found}
+
+    return mapped(d, run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, lang_pred string, score double" + (", support double" if support else ""))
+
 
-    return mapped(d, run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, lang_pred string, score double")
+def least_support(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> float:
+    """The support that a text of a learned language has at least, from labelled rows of docs; 0 if there are none."""
+    sample, _ = _sample(docs, id_col, text_col, lang_col, per_language)
+    if sample is None:
+        return 0.0
+    found = predict(sample.where(F.col("lang").isin(model.languages)), model, "id", "text", support=True).where("lang_pred <> 'und'")
+    return SLACK * (found.agg(F.percentile("support", F.lit(RARE))).first()[0] or 0.0)
