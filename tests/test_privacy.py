@@ -152,3 +152,23 @@ def test_histogram(spark):
     assert sorted(map(tuple, got.collect())) == [("rural", "B"), ("urban", "A"), ("urban", "A")]
     with pytest.raises(ValueError):
         dp.histogram(d, {"region": ["urban"], "condition": ["A", "B"]}, 1)
+
+
+def test_queries_of_all_rows(spark, tmp_path):
+    from collections import Counter
+
+    from umbra.plans.catalogue import QUERIES
+
+    people = [(i, float(i * 37 % 50), i % 3, "AB"[i % 2] if i else "C") for i in range(60)]
+    spark.createDataFrame(people, "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    clues = [(i % 13, "tu"[i % 2], i * 7 % 11 + 0.5) for i in range(90)]
+    spark.createDataFrame(clues, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["linkability_all"](spark, str(tmp_path)).first()
+    # the nearest row is a subject's own, unless another one is equal
+    a, b = Counter(p[1:3] for p in people), Counter(p[2:] for p in people)
+    assert (got["subjects"], got["links"]) == (60, sum(a[p[1:3]] == b[p[2:]] == 1 for p in people))
+    held = {u: {(t, int(v)) for w, t, v in clues if w == u} for u in range(13)}
+    pairs = {(s, i): len(held[s] & held[i]) for s in range(0, 13, 2) for i in range(1, 13, 2) if held[s] & held[i]}
+    assert {(r["subject"], r["identity"]): r["shared"] for r in QUERIES["graph_shared_clues_all"](spark, str(tmp_path)).collect()} == pairs
+    best = {s: max((n for (x, _), n in pairs.items() if x == s), default=0) for s in range(0, 13, 2)}
+    assert {r["subject"]: r["best_shared"] for r in QUERIES["graph_verdicts_all"](spark, str(tmp_path)).collect()} == best

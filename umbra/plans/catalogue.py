@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(name: str, text: str, t: str, **more: str) -> None:
-    """A query whose text runs in both engines; t and more: relations as SQL over the tables."""
+def _sql(name: str, text: str, t: str, *, oracle: bool = True, **more: str) -> None:
+    """A query whose text runs in both engines (oracle: DuckDB too); t and more: relations as SQL over the tables."""
     relations = {"t": t} | more
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def _sql(name: str, text: str, t: str, **more: str) -> None:
         return over(text, frames["t"], **{k: v for k, v in frames.items() if k != "t"})
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = text.format(**{k: v if " " not in v else f"{v}" for k, v in relations.items()})
+    if oracle:
+        ORACLE_SQL[name] = text.format(**{k: v if " " not in v else f"{v}" for k, v in relations.items()})
 
 
 _TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"}
@@ -99,6 +100,11 @@ _SUBJECTS = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIG
 _IDENTITIES = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE user_id % 4 = 1)"
 _sql("graph_shared_clues", graph.shared_clues(), _SUBJECTS, identities=_IDENTITIES)
 _sql("graph_verdicts", graph.verdicts(2), _SUBJECTS, identities=_IDENTITIES)
+# over all rows: every customer released and in both views, every user a subject or an identity; no SQL, as all pairs are compared
+_sql("linkability_all", attacks.linkability("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey"), "customer", oracle=False, a="customer", b="customer")
+_ALL_SUBJECTS, _ALL_IDENTITIES = (f"(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE coalesce(user_id % 2, 0) {x} 0)" for x in ("=", "<>"))
+_sql("graph_shared_clues_all", graph.shared_clues(), _ALL_SUBJECTS, oracle=False, identities=_ALL_IDENTITIES)
+_sql("graph_verdicts_all", graph.verdicts(2), _ALL_SUBJECTS, oracle=False, identities=_ALL_IDENTITIES)
 _sql("wilson_calibration", graph.calibrated(3), "(SELECT l_linenumber AS shared, l_returnflag = 'R' AS reidentified FROM lineitem)")
 
 
