@@ -78,6 +78,20 @@ def test_global_recoding(spark):
         transforms.enforce(d, ["zip", "age"], "condition", h, 2, {"alpha": 0.4})
 
 
+def test_more_bounds(spark):
+    rows = [("a", "1")] * 3 + [("a", "9")] + [("b", "1")] * 4
+    d = frame(spark, "zip v", rows)
+    h = {"zip": {z: ["*"] for z in "ab"}}
+    # 9: share 1/8, in class a 1/4, increase 1 <= -ln(1/8); 1: increase 1/7 in b, but -ln(7/8) = 0.1335
+    for bounds in ({"beta": 50}, {"recursive_cl": (2.9, 2)}, {"recursive_cl": (100, 3)}, {"numeric_emd": 0.1}):
+        with pytest.raises(transforms.PrivacyViolation, match=next(iter(bounds))):
+            transforms.enforce(d, ["zip"], "v", h, 4, bounds)
+    x = d.where("zip = 'a'")
+    assert transforms.violations(x, ["zip"], "v", {"recursive_cl": (3, 2), "numeric_emd": 0.0, "beta": 0.5}) == []
+    assert transforms.violations(x, ["zip"], "v", {"recursive_cl": (2.9, 2)}) == ["recursive_cl"]
+    assert transforms.violations(frame(spark, "zip v", [("a", "x")]), ["zip"], "v", {"numeric_emd": 1.0}) == ["numeric_emd"]
+
+
 def test_local_recoding(spark):
     d = frame(spark, "zip condition", [("10001", "A"), ("10001", "B"), ("20001", "A"), ("20002", "B")])
     h = {"zip": {z: [z[:3] + "**"] for z in ("10001", "20001", "20002")}}

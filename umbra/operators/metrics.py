@@ -59,6 +59,19 @@ FROM summary CROSS JOIN far CROSS JOIN spread
 """
 
 
+def beta_excess(qis: Sequence[str], sensitive: str, beta: float, t: str = "{t}") -> str:
+    """By how much a value's relative increase in a class exceeds min(beta, -ln of its share), at most; not rounded."""
+    q = _list(qis)
+    return f"""
+WITH cell AS (SELECT {q}, {sensitive} AS v, count(*) AS n FROM {t} GROUP BY {q}, {sensitive}),
+total AS (SELECT sum(n) AS rows_n FROM cell),
+share AS (SELECT v, sum(n) / max(rows_n) AS q FROM cell CROSS JOIN total GROUP BY v),
+class AS (SELECT {q}, sum(n) AS m FROM cell GROUP BY {q})
+SELECT max(greatest(0, c.n / k.m / s.q - 1) - least({float(beta)!r}D, -ln(s.q))) AS excess
+FROM cell c JOIN class k ON {_same("c", "k", qis)} JOIN share s ON c.v IS NOT DISTINCT FROM s.v
+"""
+
+
 def only(columns: Sequence[str], text: str) -> str:
     return f"SELECT {_list(columns)} FROM ({text})"
 

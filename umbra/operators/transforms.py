@@ -113,17 +113,32 @@ def generalize_locally(df: DataFrame, qis: Sequence[str], hierarchies: Mapping[s
     return out.select(*[F.col(f"umbra_new_{c}").alias(c) if c in qis else F.col(c) for c in df.columns])
 
 
-#: Bounds that a table can be held to: the metric's column, and whether it is a lower bound.
-BOUNDS = {"k": ("k_anonymity", True), "alpha": ("alpha", False), "beta": ("basic_beta", False), "t": ("t_closeness", False), "entropy_l": ("entropy_effective_l", True), "delta": ("delta_disclosure", False)}
+#: Bounds that a table can be held to: the metric's column, and whether it is a lower bound.  Besides these:
+#: beta (each increase up to min(beta, -ln share)), recursive_cl (the pair c, l) and numeric_emd.
+BOUNDS = {"k": ("k_anonymity", True), "alpha": ("alpha", False), "t": ("t_closeness", False), "entropy_l": ("entropy_effective_l", True), "delta": ("delta_disclosure", False)}
 
 
-def violations(df: DataFrame, qis: Sequence[str], sensitive: str, bounds: Mapping[str, float]) -> list[str]:
+def _missed(df: DataFrame, qis: Sequence[str], sensitive: str, bound: str, limit) -> bool:
+    if bound == "beta":
+        return over(metrics.beta_excess(qis, sensitive, limit), df).first()[0] > 1e-9
+    if bound == "numeric_emd":
+        found = over(metrics.numeric_emd(qis, sensitive), df).first()[0]
+        return found is None or found > limit + 1e-9
+    c, least = limit
+    if least < 2:
+        raise ValueError("recursive_cl: l is at least 2")
+    found = next((r["recursive_c"] for r in over(metrics.recursive_cl(qis, sensitive), df).where(F.col("l") == least).collect()), None)
+    return found is None or found > c + 1e-9
+
+
+def violations(df: DataFrame, qis: Sequence[str], sensitive: str, bounds: Mapping[str, float | tuple[float, int]]) -> list[str]:
     """Names of the bounds that df misses."""
     row = over(metrics.metrics(qis, sensitive), df).first()
-    return [b for b, limit in bounds.items() if (row[BOUNDS[b][0]] < limit - 1e-9 if BOUNDS[b][1] else row[BOUNDS[b][0]] > limit + 1e-9)]
+    other = ("beta", "recursive_cl", "numeric_emd")
+    return [b for b, limit in bounds.items() if (_missed(df, qis, sensitive, b, limit) if b in other else row[BOUNDS[b][0]] < limit - 1e-9 if BOUNDS[b][1] else row[BOUNDS[b][0]] > limit + 1e-9)]
 
 
-def enforce(df: DataFrame, qis: Sequence[str], sensitive: str, hierarchies: Mapping[str, Mapping[str, Sequence[str]]], k: int, bounds: Mapping[str, float], max_suppression: float = 0.0) -> DataFrame:
+def enforce(df: DataFrame, qis: Sequence[str], sensitive: str, hierarchies: Mapping[str, Mapping[str, Sequence[str]]], k: int, bounds: Mapping[str, float | tuple[float, int]], max_suppression: float = 0.0) -> DataFrame:
     """generalize(), but only if the result keeps all bounds."""
     out = generalize(df, qis, hierarchies, k, max_suppression)
     missed = violations(out, qis, sensitive, {"k": k, **bounds})
