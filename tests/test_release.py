@@ -67,3 +67,25 @@ def test_csv_table(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x,x\n1,2\n")
     with pytest.raises(Refused):
         tables.read_csv(spark, str(tmp_path / "b.csv"))
+
+
+@pytest.mark.parametrize("change", ["UPDATE u SET phone = 7 WHERE id = 2", "UPDATE u SET name = 'y' WHERE id = 2", "UPDATE u SET phone = '3' WHERE id = 3", "DELETE FROM u WHERE id = 2", "INSERT INTO u VALUES (9, 'z', 1)", "UPDATE u SET id = 8 WHERE id = 2", "ALTER TABLE u ADD COLUMN more", "CREATE INDEX i ON u (name)"])
+def test_verifier_sees_sqlite_changes(change):
+    p, db = policy.compiled(RULES), sqlite3.connect(":memory:")
+    db.executescript("CREATE TABLE u (id INTEGER PRIMARY KEY, name TEXT NOT NULL, phone); INSERT INTO u VALUES (1, 'Mara Ellison, Northwind', 5551234567), (2, 'x', NULL), (3, 'w', 3);")
+    source = {"e.sqlite": db.serialize()}
+    good, _, _ = formats.sqlite_file(source["e.sqlite"], formats.Matcher(p))
+    assert release.verified(source, {"e.sqlite": good}, p) == []
+    db.deserialize(good)
+    db.executescript(change)
+    assert "content-differs" in release.verified(source, {"e.sqlite": db.serialize()}, p)
+    db.deserialize(good)
+    db.executescript("UPDATE u SET name = replace(name, 'Northwind', 'N')")
+    assert "protected-changed" in release.verified(source, {"e.sqlite": db.serialize()}, p)
+
+
+def test_graph_gate_is_not_ignored(spark, bundle, tmp_path):
+    (bundle / "policy.json").write_text(json.dumps(RULES | {"release_risk": {"contextual_graph_min_shared_clues": 2}}))
+    with pytest.raises(Refused, match="contextual-graph-gate"):
+        release.run(spark, str(bundle), str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "report.json").exists()

@@ -10,8 +10,10 @@ import hashlib
 import json
 import os
 import shutil
+import sqlite3
 import tempfile
 from collections import Counter
+from itertools import zip_longest
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import SparkSession
 from .errors import Refused, reference
 from .operators import policy as policies
 from .functions.pseudonyms import LOOKALIKES
-from .sources.formats import ADAPTERS, Matcher, strings
+from .sources.formats import ADAPTERS, Matcher, replaced_number, sqlite_tables, strings
 
 
 def preflight(source: Path, target: Path, m: Matcher) -> list[str]:
@@ -68,6 +70,35 @@ def transformed(spark: SparkSession, corpus: Path, policy: policies.Policy):
     return files.mapInPandas(run, "path string, content binary, records long, replacements long, code string")
 
 
+def sqlite_differs(source: bytes, out: bytes, m: Matcher) -> bool:
+    """Whether schema, row ids or typed cells are anything but the source's with its literals replaced."""
+    a, b = sqlite3.connect(":memory:"), sqlite3.connect(":memory:")
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    typed = lambda row: [(type(x), repr(x)) for x in row]
+    try:
+        a.deserialize(source)
+        b.deserialize(out)
+        same = ["SELECT type, name, tbl_name, sql FROM sqlite_master ORDER BY type, name, tbl_name"]
+        tables = [t for t, _ in sqlite_tables(a)]
+        same += [f"PRAGMA {p}({quoted(t)})" for t in tables for p in ("table_xinfo", "foreign_key_list")]
+        if any(a.execute(x).fetchall() != b.execute(x).fetchall() for x in same):
+            return True
+        for t in tables:
+            rows = f"SELECT rowid, * FROM {quoted(t)} ORDER BY rowid"
+            for x, y in zip_longest(a.execute(rows), b.execute(rows)):
+                if x is None or y is None:
+                    return True
+                new = [m.replace(v)[0] if isinstance(v, str) else v if v is None or isinstance(v, bytes) else replaced_number(v, m)[0] for v in x[1:]]
+                if typed([x[0], *new]) != typed(y):
+                    return True
+        return False
+    except sqlite3.Error:
+        return True
+    finally:
+        a.close()
+        b.close()
+
+
 def verified(source: dict[str, bytes], out: dict[str, bytes], policy: policies.Policy) -> list[str]:
     """Codes of what is wrong with a staged corpus: files, literals left, protected values lost, tokens missing."""
     m, wrong = Matcher(policy), []
@@ -80,10 +111,10 @@ def verified(source: dict[str, bytes], out: dict[str, bytes], policy: policies.P
         before, after = strings(source[path], suffix), strings(data, suffix)
         if any(map(m.holds, after)):
             wrong.append("literal-left")
-        if any(sum(x.count(p) for x in before) != sum(x.count(p) for x in after) for p in policy.protected) and suffix != ".sqlite":
+        cells = 1 if suffix == ".sqlite" else 0  # the first of its strings is the file, which is laid out anew
+        if any(sum(x.count(p) for x in before[cells:]) != sum(x.count(p) for x in after[cells:]) for p in policy.protected):
             wrong.append("protected-changed")
-        again, _, _ = ADAPTERS[suffix](source[path], m)
-        if again != data and suffix != ".sqlite":
+        if sqlite_differs(source[path], data, m) if suffix == ".sqlite" else ADAPTERS[suffix](source[path], m)[0] != data:
             wrong.append("content-differs")
         if m.pattern is not None:
             for x in before:
@@ -106,6 +137,8 @@ def run(spark: SparkSession, source: str, target: str) -> dict:
     """Releases the bundle `source` (policy.json, corpus/) to `target`; returns the report."""
     root, to = Path(source), Path(target)
     policy = policies.load(str(root / "policy.json"))
+    if "contextual_graph_min_shared_clues" in policy.risk:
+        raise Refused("contextual-graph-gate")  # not built yet: publishing without it would ignore the policy
     m = Matcher(policy)
     names = preflight(root, to, m)
     corpus = root / "corpus"
