@@ -2,8 +2,8 @@
 
 A block of a shard holds the ids of consecutive documents as one sequence.  Each round counts all
 adjacent pairs, gives the most frequent ones a nonterminal each and replaces their occurrences, from
-left to right in a run of overlapping ones; rounds repeat until no pair pays or the symbols are used
-up.  A block stores its rules, each rule's expansion length and the sequence, so that any range of
+left to right in a run of overlapping ones; rounds repeat until no pair occurs LEAST times, the symbols
+are used up or ROUNDS are over, so that a symbol stands for 2 ** ROUNDS ids at most.  A block stores its rules, each rule's expansion length and the sequence, so that any range of
 ids is decoded without the rest.  Spark's writer commits the files, so a lost task leaves none behind.
 
 Nulls count as empty texts (their ids are the end id alone).  Rows with the same id, equal ones too,
