@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -131,13 +132,19 @@ def test_merkle(spark, odd):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abc de\n") for _ in range(rng.randint(0, 400))) for _ in range(60)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    merkle.RANGE, old = 7, merkle.RANGE
-    got = by_id(merkle.edited(d))
-    merkle.RANGE = old
+    got = by_id(merkle.edited(d, ranges=9))
     for i, t in enumerate(texts):
         n, after = len(t) // 4, texts[(i + 1) % len(texts)]
         new = t[: len(t) - n] + after[:n]
         assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["fingerprint"] == str(merkle.Tree(t)) and got[i]["edited_fingerprint"] == str(merkle.Tree(new))
+        # a plain comparison: all segments, without the tree
+        leaves = [Counter(hashlib.blake2b(y.encode(), digest_size=16).hexdigest()[:8] for line in merkle._segments(x) for y in line) for x in (t, new, after)]
+        for near, other in (("near_edited", 1), ("near_next", 2)):
+            plain = 2 * (leaves[0] & leaves[other]).total() / (leaves[0].total() + leaves[other].total())
+            assert got[i][near] == (1.0 if (t, new, after)[other] == t else min(plain, 1 - 1e-9))
+        there = {(p, k) for p, line in enumerate(merkle._segments(new)) for k in range(len(line))}
+        found = [(int(p), k) for x in filter(None, got[i]["edits"].split(",")) for p, _, ks in [x.partition(":")] for k in range(int(ks.split("-")[0]), int(ks.split("-")[1]) + 1)]
+        assert len(set(found)) == len(found) == leaves[1].total() - (leaves[0] & leaves[1]).total() and set(found) <= there
     assert merkle.edits("a b\nc d", "a b\nc d") == [] and merkle.edits("one\ntwo\nthree", "one\n2\nthree") == [("gone", 1, 0), ("new", 1, 0)]
     assert merkle.edited(odd).count() == 10 and merkle.edited(none(odd)).count() == 0 and merkle.edited(d.limit(1)).first()["near_next"] == 1.0
 
@@ -255,7 +262,7 @@ def test_token_files(spark, odd):
     rng = random.Random(7)
     texts = ["".join(rng.choice(["the ", "cat", ". ", "\n", "é", "  ", ", "]) for _ in range(rng.randint(0, 200))) for _ in range(50)] + [LONG]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    files, _ = repair.encode_files(d, path, 2, shard_docs=9)
+    files, _ = repair.encode_files(d, path, 2, shards=6)
     got, at = by_id(repair.read_files(files)), 0
     for i, t in enumerate(texts):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
@@ -279,11 +286,9 @@ def test_components(spark):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     d = spark.createDataFrame(pairs, "u long, v long")
-    for most in (shared.ONE_TASK, 0):
-        shared.ONE_TASK, old = most, shared.ONE_TASK
-        got = {r["node"]: r["component"] for r in shared.components(d).collect()}
-        shared.ONE_TASK = old
-        assert got == want
+    # one task sees all links, or seven see some each
+    for links in (d.coalesce(1), d.repartition(7)):
+        assert {r["node"]: r["component"] for r in shared.components(links).collect()} == want
     assert shared.components(d.limit(0)).count() == 0
 
 

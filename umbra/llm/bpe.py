@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .pretokens import pieces
 from .shared import mapped
 
-#: Entries of a Python worker's cache, which keeps the first ones (frequent pieces come early).
-CACHE = 800_000
+#: Entries of a Python worker's cache, which keeps the first ones (frequent pieces come early); characters of one at most.
+CACHE, SHORT = 800_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -95,7 +95,7 @@ class Codec:
         for x, ps in zip(new, cut):
             ids = tuple([rank_of[i] for _ in ps for i in next(found)])
             out.append(ids)
-            if len(known) < CACHE:
+            if len(known) < CACHE and len(x) <= SHORT:
                 known[x] = ids
         return out
 

@@ -6,17 +6,19 @@ bits a register.  Bands of four registers are the keys under which documents mee
 similarity, estimated from the registers and corrected for chance collisions, drops clearly different
 pairs; the others are confirmed on their full shingle sets.
 
-Documents with equal sets are one node.  Of a key's documents each is first held against the smallest
-alone; then, where a key still joins several components, members of different components are
-compared in tiles of bounded size: a document with the likeliest member of each other component first,
+Documents with equal sets are one node.  Of a key's nodes each is first held against the smallest
+alone; then, where a key still joins several components, those outside the key's largest one are
+compared with one another and with its members, in tiles of bounded size (members of the largest
+component never with one another): a document with the likeliest member of each other component first,
 then with those members that the exact distance to the first one doesn't rule out.  So groups of any
-size lose no link and are not expanded into all pairs.  A linked pair (similarity 0.8) misses all 32 bands with probability below
-1e-7, and the estimate may lie five standard deviations low.
+size lose no link and are not expanded into all pairs.  A linked pair (similarity 0.8) misses all 32
+bands with probability below 1e-7, and the estimate may lie five standard deviations low.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.  With fewer words than a
 shingle has, the whole sequence is the one shingle; without words (or text) the set is empty and
 linked with nothing.  A row with a null id is linked with nothing (component null, kept).  Rows with
-one id are one node.  An empty table gives no rows.
+one id are one document: whatever links with one of its texts is linked with all of them, a text without
+words too (n_shingles is each row's own).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .shared import components, dropped, mapped, small_batches, stored
 
-#: Words of a shingle, similarity in percent; registers, registers of a band; documents of a tile.
-WORDS, PERCENT, REGISTERS, BAND, TILE = 5, 80, 128, 4, 512
+#: Words of a shingle, similarity in percent; registers, registers of a band; documents of a tile's side.
+WORDS, PERCENT, REGISTERS, BAND, TILE = 5, 80, 128, 4, 256
 #: Pairs of sets that a worker takes at once (a long document's set is as large as its text).
 PAIRS = 64
-#: Words that are hashed at once, entries of a worker's word cache.
-CHUNK, CACHE = 500_000, 500_000
+#: Words that are hashed at once; entries of a worker's word cache, bytes of a word that it takes at most.
+CHUNK, CACHE, SHORT = 500_000, 500_000, 64
 #: Mantissa bits; the constant of expected collisions of two registers (Yu and Weber, HyperMinHash).
 MANTISSA, COLLISIONS = 10, 0.169919487159739093975315012348630288992889
 
@@ -54,7 +56,9 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= SHORT:
+            self[word] = h
         return h
 
 
@@ -140,7 +144,7 @@ def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows that agree in the first `keys` columns (all integers)."""
+    """Consecutive rows that agree in the first `keys` columns (all whole numbers)."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -163,24 +167,30 @@ def _likeliest(percent: int):
     """Of a tile's documents and components, the pairs that may be similar with the best estimate, one
     for a document and another component, from the side that has fewer documents in the tile.
 
-    Rows: key, ti, tj, id, component, size, own tile, registers."""
+    Rows: key, whether the largest component's members are the right side, ti, tj, id, component, size,
+    own block, whether it's such a member, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3):
+        for t in _grouped(batches, 4):
             n = t.num_rows
             if n < 2:
                 continue
-            ids, comp, size, own = (t.column(i).to_numpy() for i in range(3, 7))
-            regs = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(n, REGISTERS)
-            ti, tj = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-            left, right = (np.arange(n), np.arange(n)) if ti == tj else (np.flatnonzero(own == ti), np.flatnonzero(own == tj))
+            ids, comp, size, own = (t.column(i).to_numpy() for i in range(4, 8))
+            major = t.column(8).to_numpy().astype(bool)
+            regs = np.frombuffer(b"".join(t.column(9).to_pylist()), np.uint16).reshape(n, REGISTERS)
+            against, ti, tj = (t.column(i)[0].as_py() for i in (1, 2, 3))
+            both = not against and ti == tj
+            if against:
+                left, right = np.flatnonzero(~major), np.flatnonzero(major)
+            else:
+                left, right = (np.arange(n), np.arange(n)) if both else (np.flatnonzero(own == ti), np.flatnonzero(own == tj))
             bands = regs.view(np.uint64)
             key = t.column(0)[0].as_py()
             out: list[tuple[np.ndarray, ...]] = []
             for at in range(0, len(left), 32):
                 rows = left[at : at + 32]
                 x, y = np.nonzero(comp[rows][:, None] != comp[right][None, :])
-                if ti == tj:
+                if both:
                     keep = rows[x] < right[y]
                     x, y = x[keep], y[keep]
                 x, y = rows[x], right[y]
@@ -259,13 +269,16 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(j, run, "u long, v long, far double, linked boolean")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, tile: int = TILE, by_text: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row: the size of its set, the smallest id that
-    links reach, and whether that is its own."""
+    links reach, and whether that is its own.
+
+    With by_text, rows of one id with other texts are other documents: there is one more column,
+    text_hash (xxhash64 of the text), and of a component only the smallest (id, text_hash) is kept."""
     import xxhash
 
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def featured(batch):
         n, digest, regs = [], [], []
@@ -278,10 +291,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 regs += [x.tobytes() for x in sketch(held)]
                 held = []
         regs += [x.tobytes() for x in sketch(held)]
-        return {"doc_id": batch.column(0), "n": n, "digest": digest, "sketch": regs}
+        return {"doc_id": batch.column(0), "th": batch.column(2), "n": n, "digest": digest, "sketch": regs}
 
-    feats, feats_path = stored(mapped(d, featured, "doc_id long, n long, digest binary, sketch binary"), "features")
-    reps, reps_path = stored(feats.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sketches")
+    feats, feats_path = stored(mapped(d, featured, "doc_id long, th long, n long, digest binary, sketch binary"), "features")
+    # nodes are numbered, as ids may repeat with other texts; the numbers are final once the table is written
+    valid = feats.where("n > 0 and doc_id is not null")
+    reps = valid.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("who"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    reps, reps_path = stored(reps.select(F.monotonically_increasing_id().alias("rep"), "digest", "who.doc_id", "who.th", "n", "sketch"), "sketches")
+    several = valid.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("doc_id")
+    several, several_path = stored(valid.select("doc_id", "digest").join(several, "doc_id").distinct().join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "ids")
+    same_id = several.groupBy("doc_id").agg(F.min("rep").alias("u")).join(several, "doc_id").select("u", F.col("rep").alias("v"))
 
     def banded(batch):
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -293,12 +312,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared, shared_path = stored(shared, "keys")
     rows, rows_path = stored(bands.join(shared, "key"), "buckets")
     dropped(spark, shared_path)
-    active = rows.select(F.col("rep").alias("doc_id")).distinct()
+    active = rows.select("rep").distinct()
 
     def as_sets(batch):
-        return {"doc_id": batch.column(0), "set": [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words)]}
+        return {"rep": batch.column(0), "set": [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words)]}
 
-    sets, sets_path = stored(mapped(d.join(active, "doc_id", "left_semi"), as_sets, "doc_id long, set binary"), "sets")
+    texts = d.join(reps.join(active, "rep").select("doc_id", "th", "rep"), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
+    sets, sets_path = stored(mapped(texts.select("rep", "text"), as_sets, "rep long, set binary"), "sets")
 
     # first: each document of a key with the key's smallest
     def estimated(batch):
@@ -310,25 +330,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sk = reps.select("rep", "n", "sketch")
     met = stars.join(sk.toDF("a", "na", "sa"), "a").join(sk.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
     pairs, pairs_path = stored(mapped(met, estimated, "a long, b long"), "pairs")
-    with small_batches(spark, PAIRS):
-        seen, seen_path = stored(_compared(pairs, sets, percent), "links")
+    few_sets = small_batches(sets, sets_path, PAIRS)
+    seen, seen_path = stored(_compared(small_batches(pairs, pairs_path, PAIRS), few_sets, percent), "links")
+    seen = spark.read.schema(seen.schema).parquet(seen_path)
     edges = seen.where("linked").select("u", "v")
     dropped(spark, stars_path, pairs_path)
     # then: what a key still joins across components, in tiles
     comp, comp_path = stored(components(edges).toDF("rep", "component"), "components")
     own_far = seen.select(F.col("u").alias("c"), F.col("v").alias("rep"), "far")
-    nodes = active.withColumnRenamed("doc_id", "rep").join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), F.col("component").isNotNull().alias("many"))
+    nodes = active.join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), F.col("component").isNotNull().alias("many"))
     nodes = nodes.join(own_far, ["c", "rep"], "left").select("rep", "c", "many", F.when(F.col("rep") == F.col("c"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"))
     nodes, nodes_path = stored(nodes, "nodes")
 
     labelled, labelled_path = stored(rows.select("key", "rep", "n").join(nodes.select("rep", "c"), "rep"), "labelled")
-    mixed, mixed_path = stored(labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
-    dealt = labelled.join(mixed, "key").withColumn("k", F.expr(f"cast(ceil(n / {tile}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
-    dealt = dealt.join(sk.withColumnRenamed("n", "size"), "rep").select("key", "ti", "tj", "rep", "c", "size", "own", "sketch")
-    pairs, pairs_path = stored(dealt.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(_likeliest(percent), "a long, b long").distinct(), "pairs")
-    with small_batches(spark, PAIRS):
-        met, met_path = stored(_compared(pairs, sets, percent), "links")
+    sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("parts"))
+    sizes = sizes.where("parts > 1").select("key", F.col("top.c").alias("top"), F.expr(f"cast(ceil(top.m / {tile}) as int)").alias("kt"), F.expr(f"cast(ceil((n - top.m) / {tile}) as int)").alias("ko"))
+    mixed, mixed_path = stored(sizes, "mixed")
+    dealt = labelled.join(mixed, "key").withColumn("major", F.expr("c = top")).withColumn("own", F.expr("cast(pmod(xxhash64(rep), if(major, kt, ko)) as int)"))
+    among = "if(major, array(), transform(sequence(0, ko - 1), i -> named_struct('against', 0, 'ti', least(i, own), 'tj', greatest(i, own))))"
+    against = "if(major, transform(sequence(0, ko - 1), i -> named_struct('against', 1, 'ti', i, 'tj', own)), transform(sequence(0, kt - 1), j -> named_struct('against', 1, 'ti', own, 'tj', j)))"
+    dealt = dealt.withColumn("at", F.explode(F.expr(f"concat({among}, {against})"))).join(sk.withColumnRenamed("n", "size"), "rep")
+    dealt = dealt.select("key", "at.against", "at.ti", "at.tj", "rep", "c", "size", "own", F.col("major").cast("int").alias("major"), "sketch")
+    pairs, pairs_path = stored(dealt.repartition("key", "against", "ti", "tj").sortWithinPartitions("key", "against", "ti", "tj").mapInArrow(_likeliest(percent), "a long, b long").distinct(), "pairs")
+    met, met_path = stored(_compared(small_batches(pairs, pairs_path, PAIRS), few_sets, percent), "links")
+    met = spark.read.schema(met.schema).parquet(met_path)
     linked = edges.union(met.where("linked").select("u", "v"))
     newer, newer_path = stored(components(linked).toDF("rep", "new"), "components")
     # d(x, m) >= d(x, m') - d(m', s) - d(s, m): one exact distance d(x, m') rules out a component
@@ -344,13 +369,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count, count_path = stored(count.select("c", F.expr(f"cast(ceil(outside / {tile}) as int)").alias("kx"), F.expr(f"cast(ceil(members / {tile}) as int)").alias("km")), "counts")
     outside = open_.select("x", "c").join(count, "c").select("c", F.expr("cast(pmod(xxhash64(x), kx) as int)").alias("ti"), F.explode(F.expr("sequence(0, km - 1)")).alias("tj"), F.lit(False).alias("member"), F.col("x").alias("rep"))
     inside = nodes.where("many").select("c", "rep").join(count, "c").select("c", F.explode(F.expr("sequence(0, kx - 1)")).alias("ti"), F.expr("cast(pmod(xxhash64(rep), km) as int)").alias("tj"), F.lit(True).alias("member"), "rep")
-    dealt = outside.union(inside).join(sk.withColumnRenamed("n", "size"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("c", "ti", "tj", "member", "rep", "size", "sketch", "set")
-    last = dealt.repartition("c", "ti", "tj").sortWithinPartitions("c", "ti", "tj").mapInArrow(_linked_members(percent), "u long, v long")
-    with small_batches(spark, PAIRS):
-        more, more_path = stored(linked.union(last), "links")
-    dropped(spark, labelled_path, mixed_path, rows_path, sets_path, pairs_path, seen_path, comp_path, nodes_path, met_path, newer_path, open_path, count_path)
-    by_set, _ = stored(reps.select("digest", "rep").join(components(more).withColumnRenamed("node", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("component")), "by-set")
-    dropped(spark, reps_path, more_path)
-    out = feats.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(by_set, "digest", "left")
-    out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+    dealt, dealt_path = stored(outside.union(inside), "dealt")
+    dealt = small_batches(dealt, dealt_path, PAIRS).join(small_batches(reps, reps_path, PAIRS).select("rep", F.col("n").alias("size"), "sketch"), "rep").join(few_sets, "rep").select("c", "ti", "tj", "member", "rep", "size", "sketch", "set")
+    last, last_path = stored(dealt.repartition("c", "ti", "tj").sortWithinPartitions("c", "ti", "tj").mapInArrow(_linked_members(percent), "u long, v long"), "links")
+    last = spark.read.schema(last.schema).parquet(last_path)
+    more = components(linked.union(last) if by_text else linked.union(last).union(same_id)).toDF("rep", "c")
+    # numbers give way to ids: the smallest of a component
+    named, named_path = stored(reps.select("digest", "rep", "doc_id", "th").join(more, "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"), "doc_id", "th"), "named")
+    least, least_path = stored(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("least")), "least")
+    by_set, _ = stored(named.join(least, "c").select("digest", "least"), "by-set")
+    dropped(spark, several_path, labelled_path, mixed_path, rows_path, sets_path, pairs_path, seen_path, comp_path, nodes_path, met_path, newer_path, open_path, count_path, dealt_path, last_path, reps_path, named_path, least_path)
+    out = feats.where("n > 0 and doc_id is not null").join(by_set, "digest").select("doc_id", "th", "n", "least")
+    bare = feats.where("not (n > 0 and doc_id is not null)").select("doc_id", "th", "n")
+    alone = F.struct("doc_id", "th")
+    if by_text:
+        bare = bare.select("doc_id", "th", "n", alone.alias("least"))
+    else:  # a text without words goes with the other texts of its id, if there are any
+        kin = valid.select("doc_id", "digest").join(bare.where("doc_id is not null").select("doc_id").distinct(), "doc_id").join(by_set, "digest").groupBy("doc_id").agg(F.min("least").alias("least"))
+        bare = bare.join(kin, "doc_id", "left").select("doc_id", "th", "n", F.coalesce("least", alone))
+    kept = F.col("doc_id").isNull() | ((alone == F.col("least")) if by_text else (F.col("doc_id") == F.col("least.doc_id")))
+    return out.union(bare).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), *([F.col("th").alias("text_hash")] if by_text else []), kept.alias("kept"))

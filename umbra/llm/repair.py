@@ -1,13 +1,20 @@
 """Token-id shards under Re-Pair grammars: frequent id pairs become nonterminals, again and again.
 
 A block of a shard holds the ids of consecutive documents as one sequence.  Each round counts all
-adjacent pairs, gives the most frequent ones a nonterminal each and replaces their occurrences, from
-left to right in a run of overlapping ones; rounds repeat until no pair occurs LEAST times, the symbols
-are used up or ROUNDS are over, so that a symbol stands for 2 ** ROUNDS ids at most.  A block stores its rules, each rule's expansion length and the sequence, so that any range of
-ids is decoded without the rest.  Spark's writer commits the files, so a lost task leaves none behind.
+adjacent pairs, gives the most frequent ones (RULES at most) a nonterminal each and replaces their
+occurrences, from left to right in a run of overlapping ones; a pair that this leaves with under WORTH
+occurrences, or whose place another one has taken, gets no rule in this round.  Rounds go on, however
+many, until none shortens the sequence by a share of GAIN, no pair occurs LEAST times or the symbols are
+used up: sequences of copies fold up to single symbols, others end when rules cease to pay.  A block
+stores its rules, each rule's expansion length and the sequence, so that any range of ids is decoded
+without the rest.  Spark's writer commits the files, so a lost task leaves none behind.
+
+A text that holds one of the vocabulary's added tokens is encoded as a whole by the tokenizers library,
+any other in pieces that give the same ids.
 
 Nulls count as empty texts (their ids are the end id alone).  Rows with the same id, equal ones too,
-each keep their place, ordered by text.  A null id sorts first.  An empty table gives no rows.
+each keep their place, ordered by a hash of their text.  A null id sorts first.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -24,24 +31,25 @@ from pyspark.sql import functions as F
 from .pretokens import pieces
 from .shared import stored
 
-#: Documents a shard, ids a block (a longer document has a block of its own), entries of a worker's cache
-#: (it keeps the first ones; frequent pieces come early).
-SHARD_DOCS, BLOCK_IDS, CACHE = 4096, 2_000_000, 800_000
-#: Rounds at most, rules a round at most, occurrences that a pair must have to get a rule.
-ROUNDS, ROUND_RULES, LEAST = 4, 3000, 12
+#: Ids a block (a longer document has a block of its own).
+BLOCK_IDS = 2_000_000
+#: Entries of a worker's cache (it keeps the first ones; frequent pieces come early), characters of one at most.
+CACHE, SHORT = 800_000, 64
+#: Rules a round at most, occurrences that a pair must have to be looked at, and to get a rule; least gain of a round.
+RULES, LEAST, WORTH, GAIN = 3000, 12, 6, 1 / 256
 
 FILES = "shard int, block int, n_docs long, n_ids long, first_symbol long, doc_ids binary, doc_ends binary, rules binary, expansions binary, sequence binary"
 
 
-def _replaced(seq: np.ndarray, key: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
-    """seq with occurrences of pairs[i] (as keys) as symbol first + i."""
+def _occurrences(key: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, index of the pair) of the pairs' occurrences in key, without overlaps."""
     if key.dtype == np.uint32:
         place = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
     else:
         place = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-    taken, symbol = np.zeros(1 << 18, key.dtype), np.zeros(1 << 18, np.uint32)
+    taken, index = np.zeros(1 << 18, key.dtype), np.zeros(1 << 18, np.int32)
     at = place(pairs)[::-1]  # of two pairs in one slot the more frequent one wins
-    taken[at], symbol[at] = pairs[::-1], np.arange(first, first + len(pairs), dtype=np.uint32)[::-1]
+    taken[at], index[at] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
     where = place(key)
     hit = taken[where] == key
     if pairs.min() > 0:
@@ -63,25 +71,18 @@ def _replaced(seq: np.ndarray, key: np.ndarray, pairs: np.ndarray, first: int) -
         chosen = np.zeros(len(hit), bool)
         chosen[on[(np.arange(len(on)) - start) % 2 == 0]] = True
     on = np.flatnonzero(chosen)
-    out = seq.copy()
-    out[on] = symbol[where[on]]
-    return out[np.concatenate(([True], ~chosen))]
+    return on, index[where[on]]
 
 
-def compress(ids: np.ndarray, first_symbol: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_symbol: int, most: int = RULES, least: int = LEAST, worth: int = WORTH, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): row i of rules holds the two symbols behind symbol first_symbol + i.
 
     Symbols stay below 65536 where first_symbol does, so that they are stored in two bytes."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     top = 1 << 16 if first_symbol < 1 << 16 else 1 << 32
-    for _ in range(rounds):
-        room = min(round_rules, top - first_symbol - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
-        if top == 1 << 16:
-            key = seq[:-1] << np.uint32(16) | seq[1:]
-        else:
-            key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    bits = 16 if top == 1 << 16 else 32
+    while (room := min(most, top - first_symbol - len(rules))) > 0 and len(seq) > 1:
+        key = seq[:-1] << np.uint32(16) | seq[1:] if bits == 16 else seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         order = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         count = np.diff(np.append(edge, len(order)))
@@ -90,9 +91,20 @@ def compress(ids: np.ndarray, first_symbol: int, rounds: int = ROUNDS, round_rul
             break
         best = frequent[np.lexsort((order[edge[frequent]], -count[frequent]))][:room]
         pairs = order[edge[best]]
-        seq = _replaced(seq, key, pairs, first_symbol + len(rules))
-        shift, pairs = np.uint64(16 if top == 1 << 16 else 32), pairs.astype(np.uint64)
-        rules = np.vstack([rules, np.column_stack([pairs >> shift, pairs & ((np.uint64(1) << shift) - np.uint64(1))]).astype(np.uint32)])
+        on, pair = _occurrences(key, pairs)
+        used = np.bincount(pair, minlength=len(pairs)) >= min(worth, least)
+        on, pair = on[used[pair]], pair[used[pair]]
+        if not len(on):
+            break
+        number = np.cumsum(used) - 1
+        before = len(seq)
+        seq[on] = (first_symbol + len(rules) + number[pair]).astype(np.uint32)
+        keep = np.ones(before, bool)
+        keep[on + 1] = False
+        seq, pairs = seq[keep], pairs[used].astype(np.uint64)
+        rules = np.vstack([rules, np.column_stack([pairs >> np.uint64(bits), pairs & np.uint64((1 << bits) - 1)]).astype(np.uint32)])
+        if before - len(seq) < gain * before:
+            break
     return rules, seq
 
 
@@ -169,13 +181,16 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: tokens that the library finds in a text before all else
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.wide = np.uint16 if self.size < 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        if any(map(text.__contains__, self.added)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
         parts = pieces(text, self.findall)
         known = self.known
         got = [known.get(x) for x in parts]
@@ -183,7 +198,7 @@ class _Encoder:
             at = [i for i, x in enumerate(got) if x is None]
             for i, e in zip(at, self.tokenizer.encode_batch_fast([parts[i] for i in at], add_special_tokens=False)):
                 got[i] = np.array(e.ids, self.wide).tobytes()
-                if len(known) < CACHE:
+                if len(known) < CACHE and len(parts[i]) <= SHORT:
                     known[parts[i]] = got[i]
         return b"".join(got)
 
@@ -196,15 +211,22 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, str]:
+def token_bytes(path: str):
+    """A function of this worker from text to its ids' little-endian bytes, two or four an id."""
+    return _encoder(path)
+
+
+def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> tuple[DataFrame, str]:
     """Encodes every text, appends end_id, writes the ids in ascending order of id_col as compressed
     blocks to the shared folder; returns them as read back, and their place.
 
-    Shards are ranges of ids; the texts move once, and a shard is as many blocks as its size asks for.
+    Shards are ranges of ids (and of texts' hashes, so that one id may fill several), as many as the
+    session has shuffle partitions; the texts move once, and a shard is as many blocks as its size asks for.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    count = max(1, -(-docs.count() // shard_docs))
-    dealt = d.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.withColumn("th", F.xxhash64("text"))
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = d.repartitionByRange(shards, "doc_id", "th").sortWithinPartitions("doc_id", "th")
 
     def run(batches):
         encode = _encoder(path)

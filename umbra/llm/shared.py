@@ -14,34 +14,72 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a single machine (tests) gets a temporary one; a cluster is refused, as its
+    executors would not find a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="umbra-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: Paths written within each open scratch(), innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost
-    executor costs a reread, not a recomputation."""
+    executor costs a reread, not a recomputation.  keep: beyond the end of the scratch() around it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, plans hand Python at most so many rows at once: for rows of large values."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that were stored within: their readers must be done by then."""
+    _SCOPES.append([])
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        dropped(spark, *_SCOPES.pop())
+
+
+def small_batches(df: DataFrame, path: str, rows: int) -> DataFrame:
+    """The table at path, of df's columns, in a session of its own, whose plans hand Python at most so many
+    rows at once: for rows of large values.  Other queries of df's session keep their setting."""
+    spark = df.sparkSession
+    key = f"umbra-small-batches-{rows}"
+    own = _SESSIONS.get((spark, key))
+    if own is None:
+        own = _SESSIONS[spark, key] = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return own.read.schema(df.schema).parquet(path)
+
+
+_SESSIONS: dict = {}
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -71,51 +109,60 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-#: Links (16 bytes each) up to which one task joins them; beyond it, rounds over all executors do.
-ONE_TASK = 1_000_000
+#: Links that a task joins at once before the rounds.
+CHUNK = 1 << 20
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all links (u, v): least labels, halved paths."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label[label] != label).any():
-            label = label[label]
-        differ = label[a] != label[b]
-        a, b = a[differ], b[differ]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+    """Links (u, v) chunk by chunk as links (node, least node that the chunk's links reach)."""
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        label = np.arange(len(nodes))
+        while len(a):
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            while (label[label] != label).any():
+                label = label[label]
+            differ = label[a] != label[b]
+            a, b = a[differ], b[differ]
+        on = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(nodes[label[on]])], names=["u", "v"])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= CHUNK:
+            yield one(held)
+            held, size = [], 0
+    if held:
+        yield one(held)
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): each node of an edge with the smallest node that it reaches.
 
-    Alternates large-star and small-star steps, each a minimum by node (combined before the
+    First each task replaces the links that it reads, chunk by chunk, by those to the least node they
+    reach.  Then large-star and small-star steps alternate, each a minimum by node (combined before the
     shuffle) and an equi-join of two stored tables, whose skewed keys Spark can split.  Rounds grow
-    with the logarithm of the longest path; only a count and a checksum reach the driver.  Up to
-    ONE_TASK links, one task does the same at once.
+    with the logarithm of the longest path; only a count and a checksum reach the driver.
     """
     spark = edges.sparkSession
-    e, path = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
+    links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    e, path = stored(links.mapInArrow(_united, "u long, v long"), "edges")
     mark = _mark(e)
-    if mark[0] <= ONE_TASK:
-        return e.coalesce(1).mapInArrow(_united, "node long, component long")
     while mark[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low, low_path = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large, large_path = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2, low2_path = stored(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-        linked = down.join(low2, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low2, low2_path = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        linked = large.join(low2, "u")
+        small = linked.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e, new_path = stored(small, "edges")
         now = _mark(e)
         dropped(spark, path, low_path, large_path, low2_path)
