@@ -56,8 +56,11 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.assign(docs)
+    """Where each piece of each document goes, by its token ids.  Null and empty texts are an end mark each;
+    repeated rows are packed each on its own, null ids like any other."""
+    import public_tokenizers
+
+    return packing.assign(docs, path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_copies), ("PII", redacted), ("packing", packed)]

@@ -1,6 +1,8 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, no rows, clashing names."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -213,6 +215,9 @@ def test_shards(spark, odd):
         parents[s[:-1]] = parents.get(s[:-1], 0) + n
     assert all(n > 300 or len([s for s in size if s[:-1] == p]) == 1 for p, n in parents.items())
     assert sharding.assign(odd, limit=10).count() == 10 and sharding.assign(none(odd)).count() == 0
+    # null keys are spread as well
+    nulls = spark.createDataFrame([(None, f"{i:0100}") for i in range(200)], "doc_id long, text string")
+    assert {r["shard_bytes"] <= 1000 for r in sharding.assign(nulls, limit=1000).collect()} == {True}
 
 
 # 8
@@ -232,7 +237,80 @@ def test_packing(spark, odd):
             assert r["bin_offset"] == at
             at += r["piece_tokens"]
     assert sum(total.values()) / sum(held[0]["bin_length"] for held in bins.values()) > 0.9
-    assert packing.assign(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and packing.assign(none(odd)).count() == 0
+    # the rows' layout decides nothing
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, packing.assign(d.repartition(7), lengths=lengths, group_tokens=5000).collect()))
+    got = packing.assign(odd).groupBy("doc_id").agg(F.countDistinct("text_hash", "copy").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1, None: 1} and packing.assign(none(odd)).count() == 0
+
+
+def best_cost(sizes, lengths, price):
+    """The least cost of any partition into bins."""
+    if not sizes:
+        return 0.0
+    first, rest = sizes[0], sizes[1:]
+    found = math.inf
+    for r in range(len(rest) + 1):
+        for more in itertools.combinations(range(len(rest)), r):
+            used = first + sum(rest[i] for i in more)
+            if used <= max(lengths):
+                left = [x for i, x in enumerate(rest) if i not in more]
+                found = min(found, price(min(c for c in lengths if c >= used)) + best_cost(left, lengths, price))
+    return found
+
+
+def plain_pack(sizes, lengths, price):
+    """The bins that the definition asks for, item by item."""
+    left, out = sorted(sizes, reverse=True), []
+    while left:
+        best = None
+        for c in sorted(lengths):
+            if c >= left[0]:
+                rest, held = left[1:], [left[0]]
+                while fits := [x for x in rest if x <= c - sum(held)]:
+                    held.append(max(fits))
+                    rest.remove(max(fits))
+                length = min(x for x in lengths if x >= sum(held))
+                found = (price(length) / sum(held), length, held, rest)
+                if best is None or found[:2] < best[:2]:
+                    best = found
+        out.append((best[1], sorted(best[2])))
+        left = best[3]
+    return sorted(out)
+
+
+def test_joint_lengths():
+    rng = random.Random(12)
+    lengths, price = (8, 16, 32), lambda c: c * (1 + c / 64) + 3
+    spent = least = 0.0
+    for _ in range(60):
+        sizes = [rng.randint(1, 32) for _ in range(rng.randint(1, 6))]
+        kind, length, used, offset = packing.pack(np.array(sizes), lengths, price)
+        bins = {}
+        for b, c, n in zip(kind.tolist(), length.tolist(), sizes):
+            bins.setdefault(b, (c, []))[1].append(n)
+        assert sorted((c, sorted(held)) for c, held in bins.values()) == plain_pack(sizes, lengths, price)
+        spent += sum(price(c) for c, _ in bins.values())
+        least += best_cost(sizes, lengths, price)
+    assert least <= spent <= 1.1 * least
+    many = [rng.randint(1, 20) for _ in range(500)]
+    kind, length, *_ = packing.pack(np.array(many), lengths, price)
+    assert sorted(c for c, _ in plain_pack(many, lengths, price)) == sorted({b: c for b, c in zip(kind.tolist(), length.tolist())}.values())
+    # short items under attention that costs: small bins; without it, large ones
+    small, large = (packing.pack(np.full(64, 4), lengths, p)[1] for p in (price, lambda c: c + 3))
+    assert set(small.tolist()) == {16} and set(large.tolist()) == {32}
+
+
+def test_packed_sequences(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    want = sorted([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in odd.collect() if r["doc_id"] != 3)
+    got = []
+    for r in packing.sequences(odd.where("coalesce(doc_id, 0) <> 3"), path, 2, lengths=(64, 128)).collect():
+        assert len(r["ids"]) <= r["bin_length"]
+        got += [r["ids"][i:j] for i, j in zip([0, *r["doc_ends"]], r["doc_ends"])]
+    assert sorted(got) == want
 
 
 # 9

@@ -1,102 +1,195 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Items are taken longest first.  An item goes to the open bin that it fills best; if none has room, a
-bin of the least-cost size opens: among the permitted lengths that hold the item, the one with the
-lowest cost for each token that it can be expected to hold, given what is still to come.  In the end
-each bin shrinks to the smallest permitted length that holds its contents.  A document longer than the
-largest length is cut into full pieces and a rest; nothing is dropped.
-
-Packing is sequential, so documents are dealt by a hash of the id into groups of about GROUP tokens
-that are packed alone; the loss is at most the last, half-filled bins of each group.  A group is a
-few numbers a document.
-
-Nulls and empty texts are items of OVERHEAD tokens (an end mark).  Repeated rows are packed each on
-its own.  A null id is packed like any other.  An empty table gives no rows.
+A sequence of length c costs c * (1 + c / ATTENTION) + SEQUENCE_COST: its tokens, attention that grows
+with the square of its length, and an overhead of its own.  All permitted lengths are weighed against
+each other for each bin: it takes the largest item that is left and, under each length that holds it,
+what best-fit would fill it with, the largest item that still has room, again and again.  The length
+whose contents cost least a token is opened, its cost being that of the smallest permitted length
+that holds these contents, to which the bin is downsized.  So a long length opens only where what is
+left fills it well enough to make up for its attention.  A document longer than the largest length
+is cut into full pieces and a rest; nothing is dropped.
+
+Packing is sequential, so items are dealt by a hash of id, text and copy into groups of about GROUP
+tokens that are packed alone; the loss is at most the last bins of each group.  A group is a few numbers
+a document; equal sizes are packed at once, as often as their pattern repeats.
+
+Nulls and empty texts are items of OVERHEAD tokens (an end mark).  Repeated rows are packed each on its
+own, numbered by `copy`; a null id is packed like any other.  Equal sizes go in the order of id, text
+hash and copy, so the outcome doesn't depend on how the rows lie.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted lengths, a sequence's own cost in tokens, tokens of a group, end marks a document.
-LENGTHS, SEQUENCE_COST, GROUP, OVERHEAD = (512, 1024, 2048, 4096), 32, 4_000_000, 1
+from .shared import mapped, stored
 
-SCHEMA = "doc_id long, piece int, piece_tokens int, bin string, bin_length int, bin_tokens int, bin_offset int"
+#: Permitted lengths, a sequence's own cost in tokens, the length whose attention costs as much as its tokens,
+#: tokens of a group, end marks a document.
+LENGTHS, SEQUENCE_COST, ATTENTION, GROUP, OVERHEAD = (512, 1024, 2048, 4096), 32, 24_576, 4_000_000, 1
 
+SCHEMA = "doc_id long, text_hash long, copy long, piece int, piece_tokens int, bin string, bin_length int, bin_tokens int, bin_offset int"
 
-def pack(items: list[tuple[int, object]], lengths: tuple[int, ...] = LENGTHS, sequence_cost: int = SEQUENCE_COST) -> list[tuple[list[tuple[int, object]], int]]:
-    """Bins [(items, length)] of (size, label) items, each of at most the largest length.
 
-    Items are taken in the given order of sizes, largest first; equal sizes in the order of the list."""
+def cost(length: int) -> float:
+    return length * (1 + length / ATTENTION) + SEQUENCE_COST
+
+
+def patterns(counts: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> Iterator[tuple[dict[int, int], int, int]]:
+    """(contents, times, length) of bins for counts[n] items of size n: contents says how many of each size."""
     lengths = tuple(sorted(lengths))
-    rest = sum(n for n, _ in items)
-    bins: list[list[tuple[int, object]]] = []
-    by_room: dict[int, list[int]] = {}
-    rooms: list[int] = []
-    for n, label in sorted(items, key=lambda x: -x[0]):
-        k = bisect_left(rooms, n)
-        if k < len(rooms):
-            room = rooms[k]
-            at = by_room[room].pop()
-            if not by_room[room]:
-                rooms.pop(k)
-        else:
-            # least cost a token: what is left can't fill a large bin near the end
-            room = min((c for c in lengths if c >= n), key=lambda c: ((c + sequence_cost) / min(c, rest), c))
-            at = len(bins)
-            bins.append([])
-        bins[at].append((n, label))
-        rest -= n
-        room -= n
-        if room:
-            held = by_room.setdefault(room, [])
-            if not held:
-                insort(rooms, room)
-            held.append(at)
-    return [(b, lengths[bisect_left(lengths, sum(n for n, _ in b))]) for b in bins]
+    fitting = {used: next(c for c in lengths if c >= used) for used in range(1, lengths[-1] + 1)}
+    left = counts.tolist()
+    #: below[n]: the largest size up to n that is left, or a hint that leads there
+    below = list(range(len(left)))
+
+    def largest(n: int) -> int:
+        path = []
+        while n > 0 and (below[n] != n or not left[n]):
+            path.append(n)
+            if below[n] == n:
+                below[n] = n - 1
+            n = below[n]
+        for x in path:
+            below[x] = n
+        return n
+
+    def filled(first: int, length: int) -> tuple[dict[int, int], int]:
+        held, used, top = {first: 1}, first, length
+        while True:
+            n = largest(min(length - used, top))
+            while n > 0 and left[n] == held.get(n, 0):
+                n = largest(n - 1)
+            if n == 0:
+                return held, used
+            k = min((length - used) // n, left[n] - held.get(n, 0))
+            held[n] = held.get(n, 0) + k
+            used += k * n
+            top = n
+
+    while first := largest(len(left) - 1):
+        best = None
+        for c in lengths:
+            if c >= first:
+                held, used = filled(first, c)
+                found = (price(fitting[used]) / used, fitting[used], held)
+                if best is None or found[:2] < best[:2]:
+                    best = found
+        _, length, held = best
+        times = min(left[n] // k for n, k in held.items())
+        for n, k in held.items():
+            left[n] -= k * times
+        yield held, times, length
+
+
+def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> tuple[np.ndarray, ...]:
+    """(bin, length, tokens, offset) of each item; sizes: at most the largest length each.
+
+    Of equal sizes the earlier ones go to the earlier bins."""
+    kind, times, size, length, used = ([] for _ in range(5))
+    first = 0
+    for held, n, c in patterns(np.bincount(sizes, minlength=max(lengths) + 1), lengths, price):
+        contents = np.repeat(np.array(list(held), np.int64), list(held.values()))
+        bins = np.arange(first, first + n)
+        kind.append(np.repeat(bins, len(contents)))
+        size.append(np.tile(contents, n))
+        times.append(np.tile(np.cumsum(contents) - contents, n))
+        length.append(np.full(n * len(contents), c))
+        used.append(np.full(n * len(contents), contents.sum()))
+        first += n
+    if not kind:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    slot_size = np.concatenate(size)
+    slots, items = np.argsort(slot_size, kind="stable"), np.argsort(sizes, kind="stable")
+    out = []
+    for column in (kind, length, used, times):
+        to = np.empty(len(sizes), np.int64)
+        to[items] = np.concatenate(column)[slots]
+        out.append(to)
+    return tuple(out)
 
 
 def token_count(text: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
+    """Runs of characters other than ASCII white space, for packing without a tokenizer."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, sequence_cost: int = SEQUENCE_COST, group_tokens: int = GROUP) -> DataFrame:
-    """A row for each piece of each row of docs: doc_id, piece, piece_tokens, bin, bin_length (after
-    shrinking), bin_tokens (its contents) and bin_offset (where the piece starts in the bin)."""
-    from .shared import stored
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, group_tokens: int = GROUP) -> DataFrame:
+    """A row for each piece of each row of docs: doc_id, text_hash (xxhash64 of the text), copy (which of the
+    rows of this id and text), piece, piece_tokens, bin, bin_length (after downsizing), bin_tokens (its
+    contents) and bin_offset (where the piece starts in the bin).
+
+    Tokens are the ids of the tokenizer file at `path`, or what `tokens` counts (else words)."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), (token_count(F.col(text_col)) if tokens is None else tokens).cast("long").alias("n"))
+    if path is not None:
+        from .repair import token_bytes
 
-    tokens = token_count(F.col("text")) if tokens is None else tokens
-    sized, _ = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), (tokens + OVERHEAD).cast("long").alias("n")), "lengths")
-    total = sized.agg(F.sum("n")).first()[0] or 0
+        def counted(batch):
+            encode = token_bytes(path)
+            return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [len(encode(x)) // encode.wide().itemsize if x else 0 for x in batch.column(1).to_pylist()]}
+
+        d = mapped(d.select("doc_id", "text", "text_hash"), counted, "doc_id long, text_hash long, n long")
+    sized, _ = stored(d.select("doc_id", "text_hash", (F.col("n") + OVERHEAD).alias("n")).groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "lengths")
+    total = sized.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
     top = max(lengths)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
-        items, full, rows = [], 0, []
-        group = int(pdf["g"].iloc[0])
-        for row, (doc, n) in enumerate(zip(pdf["doc_id"].tolist(), pdf["n"].tolist())):
-            doc = None if doc != doc else int(doc)
-            whole, part = divmod(n, top)
-            for k in range(whole):
-                rows.append((doc, k, top, f"{group}-f{full}", top, top, 0))
-                full += 1
-            if part:
-                items.append((int(part), (doc, whole)))
-        for b, (held, length) in enumerate(pack(items, lengths, sequence_cost)):
-            used = sum(n for n, _ in held)
-            at = 0
-            for n, (doc, piece) in held:
-                rows.append((doc, piece, n, f"{group}-{b}", length, used, at))
-                at += n
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-        return out.astype({"doc_id": "Int64"})
-
-    # the row's place in the stored table keeps copies of one id apart
-    dealt = sized.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    return dealt.groupBy("g").applyInPandas(run, SCHEMA)
+        pdf = pdf.sort_values(["n", "doc_id", "text_hash", "copy"], kind="stable", na_position="first")
+        n, group = pdf["n"].to_numpy(np.int64), int(pdf["g"].iloc[0])
+        whole, rest = n // top, n % top
+        row = np.concatenate([np.repeat(np.arange(len(n)), whole), np.flatnonzero(rest)])
+        full = int(whole.sum())
+        bins, length, used, offset = pack(rest[rest > 0], lengths)
+        begin = np.cumsum(whole) - whole
+        out = pdf[["doc_id", "text_hash", "copy"]].iloc[row].reset_index(drop=True).astype({"doc_id": "Int64"})
+        out["piece"] = np.concatenate([np.arange(full) - np.repeat(begin, whole), whole[rest > 0]]).astype(np.int32)
+        out["piece_tokens"] = np.concatenate([np.full(full, top), rest[rest > 0]]).astype(np.int32)
+        out["bin"] = [f"{group}-{i}" for i in np.concatenate([np.arange(full), bins + full]).tolist()]
+        for name, values, alone in (("bin_length", length, top), ("bin_tokens", used, top), ("bin_offset", offset, 0)):
+            out[name] = np.concatenate([np.full(full, alone), values]).astype(np.int32)
+        return out
+
+    dealt = sized.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).withColumn("g", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(groups)).cast("long"))
+    return dealt.select("doc_id", "text_hash", "copy", "n", "g").groupBy("g").applyInPandas(run, SCHEMA)
+
+
+def sequences(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, group_tokens: int = GROUP) -> DataFrame:
+    """The packed sequences themselves: bin, bin_length, ids array<int> (not padded: bin_tokens of them) and
+    doc_ends array<int>, where in ids each piece ends."""
+    places, _ = stored(assign(docs, id_col, text_col, path, None, lengths, group_tokens), "places")
+    top = max(lengths)
+
+    def cut(batch):
+        from .repair import token_bytes
+
+        encode, end = token_bytes(path), np.array([end_id], np.uint32)
+        rows: tuple[list, ...] = ([], [], [], [])
+        for doc, text, th in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ids = np.concatenate([np.frombuffer(encode(text or ""), encode.wide).astype(np.uint32), end])
+            for k in range(0, len(ids), top):
+                for column, x in zip(rows, (doc, th, k // top, ids[k : k + top].astype("<u4").tobytes())):
+                    column.append(x)
+        return dict(zip(("doc_id", "text_hash", "piece", "ids"), (pa.array(rows[0], pa.int64()), rows[1], rows[2], rows[3])))
+
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
+    pieces = mapped(d, cut, "doc_id long, text_hash long, piece int, ids binary").withColumnRenamed("doc_id", "of")
+    held = places.join(pieces, F.col("doc_id").eqNullSafe(F.col("of")) & (places["text_hash"] == pieces["text_hash"]) & (places["piece"] == pieces["piece"])).select("bin", "bin_length", "bin_offset", "ids")
+
+    def joined(batch):
+        ids, ends = [], []
+        for parts in batch.column(2).to_pylist():
+            whole = [np.frombuffer(x["ids"], "<u4") for x in parts]
+            ids.append(np.concatenate(whole).astype(np.int32))
+            ends.append(np.cumsum([len(x) for x in whole]).astype(np.int32))
+        return {"bin": batch.column(0), "bin_length": batch.column(1), "ids": pa.array(ids, pa.list_(pa.int32())), "doc_ends": pa.array(ends, pa.list_(pa.int32()))}
+
+    # a bin holds the largest length at most
+    bins = held.groupBy("bin", "bin_length").agg(F.array_sort(F.collect_list(F.struct("bin_offset", "ids"))).alias("parts"))
+    return mapped(bins, joined, "bin string, bin_length int, ids array<int>, doc_ends array<int>")

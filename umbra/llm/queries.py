@@ -101,9 +101,11 @@ SELECT doc_id, CASE WHEN x.d = 0 THEN '' ELSE lpad(bin(x.p), CAST(x.d AS INT), '
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from . import packing
 
-    return packing.assign(table(spark, sf_dir, "documents"))
+    return packing.assign(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
