@@ -196,6 +196,11 @@ def test_near_copies(spark, odd):
     for k in (2, 5):
         got = by_id(minhash.near_copies(d, words=k, tile=4))
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == near(texts, k)
+    # rows with one id are one document; by text they are several
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta eta", "completely other words stand here for once")
+    few = spark.createDataFrame([(4, a), (5, a), (5, b), (6, b), (7, c), (7, ""), (9, c), (9, c)], "doc_id long, text string")
+    got = minhash.near_copies(few).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(4, 4, True), (5, 4, False), (5, 4, False), (6, 4, False), (7, 7, True), (7, 7, True), (9, 7, False), (9, 7, False)]
     rows = minhash.near_copies(odd).collect()
     assert len(rows) == 10 and [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
     assert minhash.near_copies(none(odd)).count() == 0
@@ -328,6 +333,10 @@ def test_vectors(spark):
     for _ in comp:
         comp = np.array([min(comp[i], comp[hit[i]].min(initial=10**6)) for i in range(len(x))])
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == list(zip(hit.sum(1).tolist(), comp.tolist()))
+    # the lone vector of a repeated id has no links; ids reach each other through one id
+    few = [(1, [1.0, 0.0]), (2, [0.99, 0.01]), (1, [0.0, 1.0]), (7, [0.01, 0.99]), (7, None), (8, [-1.0, 0.0]), (8, [-1.0, 0.0])]
+    far = vectors.near_copies(spark.createDataFrame(few, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in far) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (7, 0, 1, False), (7, 1, 1, False), (8, 1, 8, True), (8, 1, 8, True)]
     assert len(got) == len(rows) and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906)) and vectors.near_copies(none(d)).count() == 0
 
 

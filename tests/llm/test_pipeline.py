@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 
 NAMES = list(p.COLUMNS)
@@ -47,3 +49,16 @@ def test_unlearned_language(spark):
     rows = [(i, f"the house that jack built stood on the hill for {w} years") for i, w in enumerate("many ten two some four more all few six most".split() * 3)]
     d = docs(spark, [*rows, (100, "ένα κείμενο σε γλώσσα που δεν έχει διδαχθεί"), (101, "没有学过的语言"), (102, "the hill")]).selectExpr("doc_id", "text", "if(doc_id < 100, 'en', null) as lang", "source", "n_chars")
     assert {r["doc_id"] for r in p.language(spark, d, "").collect()} == {*range(len(rows)), 102}
+
+
+def test_repeated_ids(spark):
+    a, b = "the house that jack built stood on the hill for many years", "nobody knew why the old mill was left there by its owner after the war"
+    rows = [(4, a), (5, a), (5, b), (6, b), (7, a + " now"), (8, "x"), (8, "x"), (None, a), (None, a), (9, None), (9, "")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in p.near_copies(spark, docs(spark, rows).withColumn("umbra_th", F.lit("mine")), "").collect())
+    # a stays in 4, b in 5, equal rows once; null ids, null and empty texts stay
+    assert got == sorted([(4, a), (5, b), (8, "x"), (0, a), (0, a), (9, ""), (9, "")])
+
+
+def test_unlabelled_gets_its_language(spark):
+    d = docs(spark, [(i, "the house that jack built stood on the hill for many years") for i in range(30)]).selectExpr("doc_id", "text", "if(doc_id = 3, null, lang) as lang", "source", "n_chars")
+    assert {r["lang"] for r in p.language(spark, d, "").collect()} <= {"en", "de"}

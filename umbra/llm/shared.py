@@ -105,8 +105,11 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: st
     return df.mapInArrow(run, schema)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _unsettled(links: DataFrame) -> bool:
+    """Whether a node is at both ends of links, or at the larger end of links to several."""
+    ends = links.select(F.col("u").alias("x"), "v").union(links.select("v", F.lit(None).cast("long")))
+    seen = ends.groupBy("x").agg(F.count("*").alias("n"), F.count("v").alias("larger"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return not seen.where("larger > 0 and (n > larger or a < b)").isEmpty()
 
 
 #: Links that a task joins at once before the rounds.
@@ -149,14 +152,14 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
 
     First each task replaces the links that it reads, chunk by chunk, by those to the least node they
     reach.  Then large-star and small-star steps alternate, each a minimum by node (combined before the
-    shuffle) and an equi-join of two stored tables, whose skewed keys Spark can split.  Rounds grow
-    with the logarithm of the longest path; only a count and a checksum reach the driver.
+    shuffle) and an equi-join of two stored tables, whose skewed keys Spark can split, until each node
+    has one link, to a node that has none to smaller ones.  Rounds grow with the logarithm of the longest
+    path; only whether they are done reaches the driver.
     """
     spark = edges.sparkSession
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e, path = stored(links.mapInArrow(_united, "u long, v long"), "edges")
-    mark = _mark(e)
-    while mark[0]:
+    while _unsettled(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low, low_path = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large, large_path = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
@@ -164,10 +167,6 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         linked = large.join(low2, "u")
         small = linked.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e, new_path = stored(small, "edges")
-        now = _mark(e)
         dropped(spark, path, low_path, large_path, low2_path)
         path = new_path
-        if now == mark:
-            break
-        mark = now
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,16 +4,19 @@ Unit vectors whose cosine is at least T lie at most epsilon = sqrt(2 - 2 T) apar
 by the cells of a grid of that width on their leading principal dimensions and cut into blocks of
 consecutive ones.  Intervals of the sequence are joined recursively: a pair of intervals whose boxes on
 those dimensions (with the length of the rest as one more dimension) are provably more than epsilon
-apart is skipped, all other pairs split until they are pairs of blocks, which are compared in full, in
-double precision.  So no pair is missed, whatever the axes; they are fitted on a bounded sample and
-decide speed alone.  On vectors without structure in few dimensions little can be skipped.
+apart is skipped, all other pairs split until they are pairs of blocks; a task goes on with these, down
+to pairs of LEAF vectors and with more dimensions.  What is left is compared in single precision first,
+with a margin for its rounding, and decided in double precision.  So no pair is missed, whatever the
+axes; they are fitted on a bounded sample and decide speed alone.  On vectors without structure in few
+dimensions little can be skipped.
 
 Equal vectors are joined once, as one, and counted.  A pair of blocks yields a count and a link to the
 smallest member of its group in these blocks for each vector, never its pairs.
 
 A vector that is null, empty, zero or holds a null or non-finite component links with nothing; so does
 a row with a null id (component null, kept).  Vectors of different lengths don't link.  Repeated rows
-count as other vectors; rows with one id are one node.  An empty table gives no rows.
+count as other vectors; n_links is each row's own, but rows with one id are one node: what links with
+one of its vectors is in one component with all of them.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from .shared import components, dropped, small_batches, stored
 
 #: Least cosine; grid dimensions; vectors of a block; intervals under one; vectors that fit the axes, on average.
 COSINE, DIMENSIONS, BLOCK, FAN, SAMPLE = 0.95, 8, 4096, 8, 4096
-STRIP = 256
+#: Vectors of the smallest interval within a task, dimensions of its box.
+LEAF, FINE = 64, 24
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -79,26 +83,47 @@ class _Groups:
                 label[:] = label[label]
 
 
-def join_blocks(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links by node, label by node) over x's rows, then y's (none if y is None: x with itself)."""
+def _boxes(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest coordinates of each leaf."""
+    at = np.arange(0, len(p), LEAF)
+    return np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)
+
+
+def join_blocks(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float, axis: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(links by node, label by node, pairs compared) over x's rows, then y's (none if y is None: x with itself)."""
     same = y is None
-    u = unit(x)
-    v = u if same else unit(y)
+    u, p = unit(x), places(x, axis)
+    v, q = (u, p) if same else (unit(y), places(y, axis))
     shift = 0 if same else len(u)
-    links = np.zeros(len(u) + (0 if same else len(v)), np.int64)
-    groups = _Groups(len(links))
-    for at in range(0, len(u), STRIP):
-        hit = u[at : at + STRIP] @ v.T >= least
+    n = len(u) + (0 if same else len(v))
+    weight = weight_x if same else np.concatenate([weight_x, weight_y])
+    links, groups, compared = np.zeros(n), _Groups(n), 0
+    u4, v4 = u.astype(np.float32), v.astype(np.float32)
+    rough = np.float32(least - 1e-6 - 2.4e-7 * u.shape[1])
+    (lo, hi), (lo_y, hi_y) = _boxes(p), _boxes(q)
+    for i in range(len(lo)):
+        gap = np.maximum(0, np.maximum(lo[i] - hi_y, lo_y - hi[i]))
+        near = (gap * gap).sum(axis=1) <= 2 - 2 * least + 1e-9
         if same:
-            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
-        if not hit.any():
+            near[:i] = False
+        if not near.any():
             continue
-        links[at : at + len(hit)] += hit @ weight_y
-        if not same:
-            links[shift:] += weight_x[at : at + len(hit)] @ hit
-        i, j = np.nonzero(hit)
-        groups.link(i + at, j + shift)
-    return links, groups.label
+        at = i * LEAF
+        rows = np.flatnonzero(np.repeat(near, LEAF)[: len(v)])
+        compared += len(rows) * min(LEAF, len(u) - at)
+        a, b = np.nonzero(u4[at : at + LEAF] @ v4[rows].T >= rough)
+        a, b = a + at, rows[b]
+        if same:
+            above = a < b
+            a, b = a[above], b[above]
+        for k in range(0, len(a), 65536):  # bounds what is decided at once
+            c, d = a[k : k + 65536], b[k : k + 65536]
+            hit = (u[c] * v[d]).sum(axis=1) >= least
+            c, d = c[hit], d[hit] + shift
+            if len(c):
+                links += np.bincount(c, weight[d], n) + np.bincount(d, weight[c], n)
+                groups.link(c, d)
+    return links.astype(np.int64), groups.label, compared
 
 
 def _one_length(d: DataFrame, width: int, kind: str, least: float, block: int, sample: int) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +134,8 @@ def _one_length(d: DataFrame, width: int, kind: str, least: float, block: int, s
     drawn = d.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1 << 30, math.ceil((sample << 30) / max(1, n)))).select("embedding").toArrow()
     fitted = drawn.column(0).combine_chunks() if drawn.num_rows else pa.array([], drawn.schema[0].type)
     k = min(DIMENSIONS, width)
-    axis = axes(_matrix(fitted, width), k) if drawn.num_rows > 1 else np.eye(width)[:, :k]
+    fine = axes(_matrix(fitted, width), min(FINE, width)) if drawn.num_rows > 1 else np.eye(width)[:, : min(FINE, width)]
+    axis = fine[:, :k]
     cell = math.sqrt(eps2)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +209,20 @@ def _one_length(d: DataFrame, width: int, kind: str, least: float, block: int, s
                 mx = np.frombuffer(r["vx"], wide).reshape(-1, width)
                 ids, wx = np.frombuffer(r["ix"], "<i8"), np.frombuffer(r["cx"], "<i8")
                 if r["x"] == r["y"]:
-                    links, label = join_blocks(mx, None, wx, wx, least)
+                    links, label, _ = join_blocks(mx, None, wx, wx, least, fine)
                 else:
                     iy, wy = np.frombuffer(r["iy"], "<i8"), np.frombuffer(r["cy"], "<i8")
-                    links, label = join_blocks(mx, np.frombuffer(r["vy"], wide).reshape(-1, width), wx, wy, least)
+                    links, label, _ = join_blocks(mx, np.frombuffer(r["vy"], wide).reshape(-1, width), wx, wy, least, fine)
                     ids = np.concatenate([ids, iy])
                 on = np.flatnonzero(links)
                 if len(on):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(ids[label[on]])], names=["rep", "n", "root"])
 
-    content = blocks.select("block", "ids", "copies", "vectors")
-    tiles = pairs.join(content.toDF("x", "ix", "cx", "vx"), "x").join(content.toDF("y", "iy", "cy", "vy"), "y").select("x", "ix", "cx", "vx", "y", "iy", "cy", "vy")
-    with small_batches(spark, 8):  # a row is two blocks
-        found, _ = stored(tiles.mapInArrow(compared, "rep long, n long, root long"), "links")
+    # a row is two blocks: few of them at once
+    content = small_batches(blocks, blocks_path, 8).select("block", "ids", "copies", "vectors")
+    tiles = small_batches(pairs, pairs_path, 8).join(content.toDF("x", "ix", "cx", "vx"), "x").join(content.toDF("y", "iy", "cy", "vy"), "y").select("x", "ix", "cx", "vx", "y", "iy", "cy", "vy")
+    found, path = stored(tiles.mapInArrow(compared, "rep long, n long, root long"), "links")
+    found = spark.read.schema(found.schema).parquet(path)
     dropped(spark, pairs_path, blocks_path)
     return found.groupBy("rep").agg(F.sum("n").alias("n")), found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
@@ -206,16 +233,27 @@ def near_copies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     kind = "array<double>" if "double" in vectors.schema[vector_col].dataType.simpleString() else "array<float>"
     d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     right = "id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    reps, _ = stored(d.where(right).groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
     spark = d.sparkSession
+    # nodes are numbered, as ids may repeat with other vectors; the numbers are final once the table is written
+    reps = d.where(right).groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    reps, reps_path = stored(reps.select(F.monotonically_increasing_id().alias("rep"), "id", "copies", "embedding"), "vectors")
     counts = spark.createDataFrame([], "rep long, n long")
     edges = spark.createDataFrame([], "u long, v long")
     for (width,) in reps.select(F.size("embedding").alias("w")).distinct().orderBy("w").collect():
         n, e = _one_length(reps.where(F.size("embedding") == width).select("rep", "copies", "embedding"), width, kind, least, block, sample)
         counts, edges = counts.unionByName(n), edges.unionByName(e)
-    member = components(edges)
-    per_rep = reps.join(counts.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(member.withColumnRenamed("node", "rep"), "rep", "left")
-    per_rep, _ = stored(per_rep.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "by-vector")
-    good = d.where(right).join(per_rep, "embedding").select("id", "n_links", "component_id")
-    rest = d.where(f"not coalesce({right}, false)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    several = d.where(right).groupBy("id").agg(F.min(F.xxhash64("embedding")).alias("x"), F.max(F.xxhash64("embedding")).alias("y")).where("x <> y").select("id")
+    several, several_path = stored(d.where(right).join(several, "id").distinct().join(reps.select("embedding", "rep"), "embedding").select("id", "rep"), "ids")
+    same_id = several.groupBy("id").agg(F.min("rep").alias("u")).join(several, "id").select("u", F.col("rep").alias("v"))
+    member = components(edges.union(same_id)).withColumnRenamed("node", "rep")
+    per_rep = reps.join(counts.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(member, "rep", "left")
+    named, named_path = stored(per_rep.select("embedding", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")), "named")
+    smallest, smallest_path = stored(named.groupBy("c").agg(F.min("id").alias("component_id")), "least")
+    by_vector, _ = stored(named.join(smallest, "c").select("embedding", "n_links", "component_id"), "by-vector")
+    dropped(spark, reps_path, several_path, named_path, smallest_path)
+    good = d.where(right).join(by_vector, "embedding").select("id", "n_links", "component_id")
+    # a row without a vector goes with the other vectors of its id, if there are any
+    rest = d.where(f"not coalesce({right}, false)").select("id")
+    kin = good.join(rest.where("id is not null").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    rest = rest.join(kin, "id", "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return good.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id").isNull() | F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
