@@ -125,6 +125,15 @@ def test_pii(spark, odd):
     assert got[6]["spans"] == "phone:8:22" and got[8]["spans"] == "card:0:16,card:17:33" and got[11]["spans"] == "email:0:26"
     assert all(set(filter(None, r["base"].split(","))) <= set(r["spans"].split(",")) for r in got.values())
     assert by_id(pii.redact(d))[8]["text"] == "[CARD] [CARD]"
+    clash = odd.withColumn("umbra_text", F.lit("mine")).withColumn("umbra_t", F.lit("too"))
+    rows = pii.redact(clash)
+    assert rows.columns == clash.columns and rows.first()["umbra_text"] == "mine"
+    many = spark.createDataFrame([(1, "mail a.b@c.de now " * 20000)], "doc_id long, text string")
+    model = pii.fit(none(odd))
+    assert pii.redact(many, model=model).first()["text"] == "mail [EMAIL] now " * 20000
+    got = pii.find(many, model=model).first()["umbra_base"]
+    assert [(x["start"], x["end"]) for x in got] == [(18 * i + 5, 18 * i + 13) for i in range(20000)]
+    assert all(precision >= 0.95 and recall > 0.3 for _, precision, recall in pii.measured(model))
     rows = pii.redact(odd)
     assert rows.columns == odd.columns and rows.count() == 10 and by_id(rows)[0]["text"] is None and pii.find(none(odd)).count() == 0
 
