@@ -78,6 +78,23 @@ def test_languages(spark, odd):
     got = by_id(langid.predict(d, model))
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert len(held) > 20 and np.mean([got[i]["lang_pred"] == k for i, _, k in held]) > 0.98
+    # the same with exact sets of n-grams in place of the filters
+    def grams(text):
+        low = re.sub(r"[^\W\d_]|.", lambda m: m.group() if m.group().isalpha() else " ", f" {text.lower()} ", flags=re.S)
+        low = re.sub(" +", " ", low)
+        return [c for c in low if c != " "] + [low[i : i + 3] for i in range(len(low) - 2)]
+
+    counts = {k: Counter() for k in words}
+    for i, t, k in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            counts[k].update(grams(t))
+    share = {k: {g: n / c.total() for g, n in c.items() if n / c.total() >= langid.FLOOR} for k, c in counts.items()}
+    sets = {k: {g for g, f in share[k].items() if f >= langid.KEEP * max(s.get(g, 0) for s in share.values())} for k in words}
+    for i, t, _ in rows:
+        hits = {k: sum(g in sets[k] for g in grams(t)) for k in words}
+        best = max(sorted(hits), key=hits.get)
+        second = sorted(hits.values())[-2]
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - (1 - second / hits[best])) < 0.02
     rows = langid.predict(odd, model).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows) and {r["doc_id"]: r["lang_pred"] for r in rows}[2] == "und"
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(none(odd))).collect()} == {"und"}

@@ -83,6 +83,28 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"), words=2)
 
 
+def _reached(links: str, nodes: str) -> str:
+    """CTEs after which `low` holds (id, component): the smallest id that links (u, v) reach from each node."""
+    return f"""
+ends AS (SELECT u, v FROM {links} UNION SELECT v, u FROM {links}),
+reach AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT reach.a, ends.v FROM reach JOIN ends ON reach.b = ends.u),
+low AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) > 1 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT s.doc_id, s.shingle, n.n FROM s JOIN n ON s.doc_id = n.doc_id),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM k a JOIN k b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
+{_reached("links", "nodes")}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(low.component AS BIGINT) AS component_id, d.doc_id = low.component AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN low ON d.doc_id = low.id
+"""
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -114,6 +136,18 @@ def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+OP9_SQL = f"""
+WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM x WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+{_reached("links", "nodes")},
+degree AS (SELECT u, count(*) AS n FROM ends GROUP BY u)
+SELECT CAST(x.vec_id AS BIGINT) AS vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, CAST(low.component AS BIGINT) AS component_id, x.vec_id = low.component AS kept
+FROM x JOIN low ON x.vec_id = low.id LEFT JOIN degree ON degree.u = x.vec_id
+"""
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,4 +158,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op4_boosted_pii, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
-ORACLE_SQL: dict[str, str] = {"op1_template_lines": OP1_SQL, "op7_extendible_shards": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_template_lines": OP1_SQL, "op6_hyperminhash": OP6_SQL, "op7_extendible_shards": OP7_SQL, "op9_epsilon_grid": OP9_SQL}
