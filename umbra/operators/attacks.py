@@ -21,14 +21,14 @@ def wilson(successes: str, trials: str, z: float = Z) -> tuple[str, str]:
 
 def singling_out(qis: Sequence[str], row_id: str, size: int | None = None, t: str = "{t}") -> str:
     """All predicates on up to `size` quasi-identifiers at once, by GROUPING SETS: how many there are,
-    how many hold for one row alone, and how many rows such a predicate exposes."""
+    how many hold for one row alone, how many rows such a predicate exposes, and their share."""
     sets = [c for n in range(1, (size or len(qis)) + 1) for c in combinations(qis, n)]
-    low, high = wilson("successes", "predicates")
+    low, high = wilson("exposed", "rows_n")
     return f"""
 WITH g AS (SELECT count(*) AS n, min({row_id}) AS first FROM {t} GROUP BY GROUPING SETS ({", ".join("(" + _list(s) + ")" for s in sets)})),
 a AS (SELECT count(*) AS predicates, count(CASE WHEN n = 1 THEN 1 END) AS successes, count(DISTINCT CASE WHEN n = 1 THEN first END) AS exposed FROM g),
 r AS (SELECT count(*) AS rows_n FROM {t})
-SELECT predicates, successes, exposed, round(CAST(successes / predicates AS DOUBLE), 9) AS rate, round(CAST(1.0 / rows_n AS DOUBLE), 9) AS baseline,
+SELECT predicates, successes, exposed, round(CAST(exposed / rows_n AS DOUBLE), 9) AS rate, round(CAST(1.0 / rows_n AS DOUBLE), 9) AS baseline,
        round(CAST({low} AS DOUBLE), 9) AS low, round(CAST({high} AS DOUBLE), 9) AS high FROM a CROSS JOIN r
 """
 
@@ -46,9 +46,8 @@ def _spans(numeric: Sequence[str], *tables: str) -> str:
     return "SELECT " + ", ".join(f"max({c}) - min({c}) AS span_{c}" for c in numeric) + " FROM (" + " UNION ALL ".join(f"SELECT {_list(numeric)} FROM {x}" for x in tables) + ")"
 
 
-def infer_nearest(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
-    """Labels of all nearest released rows; a guess only if they agree.  Both sides are cut down to
-    distinct tuples first, so the comparison grows with tuples, not with rows."""
+def infer_nearest_plain(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
+    """infer_nearest() by comparing all distinct tuples with all: for several numeric columns, and to test by."""
     q = [*numeric, *nominal]
     return f"""
 WITH s AS ({_spans(numeric, t, evaluation)}),
@@ -62,6 +61,76 @@ labels AS (SELECT {_list(q, "d.")}, min(d.lo) AS lo, max(d.hi) AS hi FROM d JOIN
 """
 
 
+#: Stretches of the numeric column's range, each sorted by itself.
+STRETCHES = 256
+
+
+def _nearest(name: str, numeric: Sequence[str], nominal: Sequence[str], low: str, high: str, t: str, points: str) -> str:
+    """CTEs up to near_{name}: for each distinct tuple of `points` (a relation with the columns), over all
+    nearest rows of t: lo, hi (least `low`, largest `high`) and rows_n.  At most one numeric column.
+
+    The nearest row agrees with the point on some set of nominal columns and is, among rows that do, next to
+    it in the numeric column.  So every set of nominal columns is a group-by and a look at the neighbours in
+    sorted order, instead of a comparison of all with all.  An order is cut into STRETCHES of the range, whose
+    outermost rows serve as neighbours to the others, so that no task sorts a whole table."""
+    q, sets = [*numeric, *nominal], range(1 << len(nominal))
+    x = numeric[0] if numeric else "0"
+    within = lambda i: [c for k, c in enumerate(nominal) if i >> k & 1]
+    key = lambda i: "".join(f"CAST({c if i >> k & 1 else 'NULL'} AS STRING) AS k{k}, " for k, c in enumerate(nominal))
+    cut = f"CAST(CASE WHEN s.span > 0 THEN least({STRETCHES - 1}, floor((x - s.base) / s.span * {STRETCHES})) ELSE 0 END AS INT)"
+    ks = _list([f"k{k}" for k in range(len(nominal))])
+    known = lambda i: " AND ".join(f"{c} IS NOT NULL" for c in within(i)) or "true"
+    rel = " UNION ALL ".join(f"SELECT {i} AS mask, {key(i)}x, min(lo) AS lo, max(hi) AS hi, sum(n) AS n FROM r_{name} WHERE {known(i)} GROUP BY {_list(within(i) + ['x'])}" for i in sets)
+    pts = " UNION ALL ".join(f"SELECT {i} AS mask, {key(i)}x, pid FROM p_{name} WHERE {known(i)}" for i in sets)
+    group = f"mask, {ks}" if nominal else "mask"
+    ks = f"{ks}, " if nominal else ""
+    neighbour = "named_struct('x', x, 'lo', lo, 'hi', hi, 'n', n)"
+    differ = f"({len(nominal)} - bit_count(mask))"
+    return f"""
+s_{name} AS (SELECT min(x) AS base, max(x) - min(x) AS span FROM (SELECT CAST({x} AS DOUBLE) AS x FROM {t} UNION ALL SELECT CAST({x} AS DOUBLE) FROM {points})),
+r_{name} AS (SELECT {_list(nominal) + ", " if nominal else ""}CAST({x} AS DOUBLE) AS x, min({low}) AS lo, max({high}) AS hi, count(*) AS n FROM {t} GROUP BY {_list(list(nominal) + ([x] if numeric else []) or ["1"])}),
+p_{name} AS (SELECT {_list(q)}, CAST({x} AS DOUBLE) AS x, struct({_list(q)}) AS pid FROM (SELECT DISTINCT {_list(q)} FROM {points})),
+u_{name} AS (SELECT mask, {ks}x, {cut} AS cut, pid, CASE WHEN n IS NOT NULL THEN {neighbour} END AS row
+             FROM (SELECT mask, {ks}x, lo, hi, n, NULL AS pid FROM ({rel}) UNION ALL SELECT mask, {ks}x, NULL, NULL, NULL, pid FROM ({pts})) CROSS JOIN s_{name} s),
+e_{name} AS (SELECT *, last_value(last, true) OVER (PARTITION BY {group} ORDER BY cut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below,
+                    first_value(first, true) OVER (PARTITION BY {group} ORDER BY cut ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above
+             FROM (SELECT mask, {ks}cut, min_by(row, row.x) AS first, max_by(row, row.x) AS last FROM u_{name} GROUP BY mask, {ks}cut)),
+w_{name} AS (SELECT mask, {ks}x, cut, pid, row, last_value(row, true) OVER (PARTITION BY {group}, cut ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev,
+                    first_value(row, true) OVER (PARTITION BY {group}, cut ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM u_{name}),
+c_{name} AS (SELECT w.pid, w.x, w.mask, explode(array(coalesce(w.prev, e.below), coalesce(w.next, e.above))) AS row FROM w_{name} w JOIN e_{name} e
+             ON w.mask = e.mask AND w.cut = e.cut{"".join(f" AND w.k{k} <=> e.k{k}" for k in range(len(nominal)))} WHERE w.pid IS NOT NULL),
+d_{name} AS (SELECT pid, row, ({differ} + {"CASE WHEN s.span > 0 THEN abs(x - row.x) / s.span ELSE 0 END" if numeric else "0"}) / {len(q)} AS d FROM c_{name} CROSS JOIN s_{name} s WHERE row IS NOT NULL),
+m_{name} AS (SELECT pid AS pid_m, min(d) AS least FROM d_{name} GROUP BY pid),
+near_{name} AS (SELECT {_list(q, "pid.")}, min(row.lo) AS lo, max(row.hi) AS hi, sum(row.n) AS rows_n FROM d_{name} JOIN m_{name} ON pid = pid_m
+                WHERE abs(d - least) <= 1e-9 * greatest(abs(d), abs(least)) GROUP BY pid)"""
+
+
+def infer_nearest(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
+    """Labels of all nearest released rows; a guess only if they agree.  Both sides are cut down to
+    distinct tuples first.  With several numeric columns all tuples are compared with all."""
+    if len(numeric) > 1:
+        return infer_nearest_plain(numeric, nominal, sensitive, t, evaluation)
+    q = [*numeric, *nominal]
+    return f"""
+WITH ev AS (SELECT {_list(q)}, {sensitive} AS truth, count(*) AS n FROM {evaluation} GROUP BY {_list(q)}, {sensitive}),
+{_nearest("ev", numeric, nominal, sensitive, sensitive, t, evaluation)},
+labels AS (SELECT * FROM near_ev),
+{_scored(q, sensitive, t)}
+"""
+
+
+def inference_groups(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, group: str, t: str = "{t}", evaluation: str = "{evaluation}", plain: bool = False) -> str:
+    """Least and largest accuracy of infer_nearest() over the groups of evaluated rows."""
+    q = [*numeric, *nominal]
+    whole = (infer_nearest_plain if plain or len(numeric) > 1 else infer_nearest)(numeric, nominal, sensitive, t, evaluation)
+    labels = whole[: whole.index("majority AS")].rstrip().rstrip(",")
+    return f"""{labels},
+umbra_e AS (SELECT {_list(q)}, {sensitive} AS truth, {group} AS umbra_group, count(*) AS n FROM {evaluation} GROUP BY {_list(q)}, {sensitive}, {group}),
+umbra_g AS (SELECT e.umbra_group, sum(CASE WHEN l.lo = l.hi AND l.lo = e.truth THEN e.n ELSE 0 END) / sum(e.n) AS accuracy FROM umbra_e e LEFT JOIN labels l ON {_same("e", "l", q)} GROUP BY e.umbra_group)
+SELECT count(*) AS group_count, round(CAST(min(accuracy) AS DOUBLE), 9) AS minimum_accuracy, round(CAST(max(accuracy) AS DOUBLE), 9) AS maximum_accuracy FROM umbra_g
+"""
+
+
 def infer_exact(qis: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
     """Labels of released rows with the same quasi-identifiers; a guess only if they agree."""
     return f"""
@@ -81,9 +150,8 @@ SELECT CAST(sum(n) AS BIGINT) AS evaluated, CAST(coalesce(sum(CASE WHEN guess IS
        coalesce(sum(CASE WHEN guess = truth THEN n END), 0) > coalesce(sum(CASE WHEN label = truth THEN n END), 0) AS risk FROM g"""
 
 
-def linkability(subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str, t: str = "{t}", a: str = "{a}", b: str = "{b}") -> str:
-    """Each view's subjects are matched to their nearest released row, if it is the only one; a link
-    succeeds where both views lead to the same row."""
+def linkability_plain(subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str, t: str = "{t}", a: str = "{a}", b: str = "{b}") -> str:
+    """linkability() by comparing all subjects with all rows: for several numeric columns, and to test by."""
 
     def nearest(name: str, numeric: Sequence[str], nominal: Sequence[str], x: str) -> str:
         q = [*numeric, *nominal]
@@ -95,11 +163,37 @@ m_{name} AS (SELECT subject, min(d) AS d FROM d_{name} GROUP BY subject),
 n_{name} AS (SELECT d.subject, CASE WHEN count(*) = 1 THEN min(d.row_id) END AS row_id FROM d_{name} d JOIN m_{name} m ON d.subject = m.subject
              WHERE abs(d.d - m.d) <= 1e-9 * greatest(abs(d.d), abs(m.d)) GROUP BY d.subject)"""
 
-    low, high = wilson("links", "subjects")
     return f"""
 WITH {nearest("a", numeric_a, nominal_a, a)}, {nearest("b", numeric_b, nominal_b, b)},
-z AS (SELECT count(*) AS subjects, count(CASE WHEN x.row_id = y.row_id THEN 1 END) AS links FROM n_a x JOIN n_b y ON x.subject = y.subject),
+{_linked(t)}
+"""
+
+
+def _linked(t: str) -> str:
+    low, high = wilson("links", "subjects")
+    return f"""z AS (SELECT count(*) AS subjects, count(CASE WHEN x.row_id = y.row_id THEN 1 END) AS links FROM n_a x JOIN n_b y ON x.subject = y.subject),
 r AS (SELECT count(*) AS rows_n FROM {t})
 SELECT subjects, links, round(CAST(links / subjects AS DOUBLE), 9) AS rate, round(CAST(1.0 / rows_n AS DOUBLE), 9) AS baseline,
-       round(CAST({low} AS DOUBLE), 9) AS low, round(CAST({high} AS DOUBLE), 9) AS high FROM z CROSS JOIN r
+       round(CAST({low} AS DOUBLE), 9) AS low, round(CAST({high} AS DOUBLE), 9) AS high FROM z CROSS JOIN r"""
+
+
+def linkability(subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str, t: str = "{t}", a: str = "{a}", b: str = "{b}") -> str:
+    """Each view's subjects are matched to their nearest released row, if it is the only one; a link
+    succeeds where both views lead to the same row."""
+    if len(numeric_a) > 1 or len(numeric_b) > 1:
+        return linkability_plain(subject, numeric_a, nominal_a, numeric_b, nominal_b, row_id, t, a, b)
+    views = []
+    for name, numeric, nominal, x in (("a", numeric_a, nominal_a, a), ("b", numeric_b, nominal_b, b)):
+        q = [*numeric, *nominal]
+        views.append(f"""{_nearest(name, numeric, nominal, row_id, row_id, t, x)},
+n_{name} AS (SELECT v.{subject} AS subject, CASE WHEN n.rows_n = 1 THEN n.lo END AS row_id FROM {x} v JOIN near_{name} n ON {_same("v", "n", q)})""")
+    return f"""
+WITH {", ".join(views)},
+{_linked(t)}
 """
+
+
+def against_control(attack: str, control: str) -> str:
+    """An attack's rate against that of the same attack on a control that holds none of its subjects; a
+    risk if it is higher."""
+    return f"SELECT a.rate AS rate, c.rate AS control_rate, round(CAST(a.rate - c.rate AS DOUBLE), 9) AS excess, a.rate > c.rate AS risk FROM ({attack}) a CROSS JOIN ({control}) c"

@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(name: str, text: str, t: str, *, oracle: bool = True, **more: str) -> None:
-    """A query whose text runs in both engines (oracle: DuckDB too); t and more: relations as SQL over the tables."""
+def _sql(name: str, text: str, t: str, *, sql: str | None = None, **more: str) -> None:
+    """A query whose text runs in both engines, unless DuckDB has its own (sql); t and more: relations as SQL
+    over the tables."""
     relations = {"t": t} | more
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def _sql(name: str, text: str, t: str, *, oracle: bool = True, **more: str) -> N
         return over(text, frames["t"], **{k: v for k, v in frames.items() if k != "t"})
 
     QUERIES[name] = run
-    if oracle:
-        ORACLE_SQL[name] = text.format(**{k: v if " " not in v else f"{v}" for k, v in relations.items()})
+    if name not in ORACLE_SQL:
+        ORACLE_SQL[name] = (sql or text).format(**{k: v if " " not in v else f"{v}" for k, v in relations.items()})
 
 
 _TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"}
@@ -92,19 +93,24 @@ _sql("microaggregate", transforms.microaggregate("c_acctbal", ["c_custkey"], 5,
 _sql("singling_out", attacks.singling_out(LINE[:5], "id"), "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount FROM lineitem)")
 _sql("singling_out_small", attacks.singling_out(QIS, "c_custkey", 1), "customer")
 _EVEN, _ODD = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", "(SELECT * FROM customer WHERE c_custkey % 2 = 1)"
-_sql("attr_inference_nn", attacks.infer_nearest(["c_acctbal"], ["c_nationkey"], "c_mktsegment"), _EVEN, evaluation=_ODD)
-_sql("attr_inference_exact", attacks.infer_exact(["c_nationkey", "band"], "c_mktsegment"), "(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)", evaluation="(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = 1)")
-_sql("linkability", attacks.linkability("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey"), "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", a="(SELECT * FROM customer WHERE c_custkey % 5 = 0)", b="(SELECT * FROM customer WHERE c_custkey % 5 = 0)")
-# graph
-_SUBJECTS = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE user_id % 4 = 0)"
-_IDENTITIES = "(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE user_id % 4 = 1)"
-_sql("graph_shared_clues", graph.shared_clues(), _SUBJECTS, identities=_IDENTITIES)
-_sql("graph_verdicts", graph.verdicts(2), _SUBJECTS, identities=_IDENTITIES)
-# over all rows: every customer released and in both views, every user a subject or an identity; no SQL, as all pairs are compared
-_sql("linkability_all", attacks.linkability("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey"), "customer", oracle=False, a="customer", b="customer")
-_ALL_SUBJECTS, _ALL_IDENTITIES = (f"(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE coalesce(user_id % 2, 0) {x} 0)" for x in ("=", "<>"))
-_sql("graph_shared_clues_all", graph.shared_clues(), _ALL_SUBJECTS, oracle=False, identities=_ALL_IDENTITIES)
-_sql("graph_verdicts_all", graph.verdicts(2), _ALL_SUBJECTS, oracle=False, identities=_ALL_IDENTITIES)
+_sql("singling_out_control", attacks.against_control(attacks.singling_out(QIS, "c_custkey", t="{t}"), attacks.singling_out(QIS, "c_custkey", t="{control}")), _EVEN, control=_ODD)
+# the nearest by neighbours in sorted order, in SQL by comparing all with all
+_NN = (["c_acctbal"], ["c_nationkey"], "c_mktsegment")
+_sql("attr_inference_nn", attacks.infer_nearest(*_NN), _EVEN, sql=attacks.infer_nearest_plain(*_NN), evaluation=_ODD)
+_sql("attr_inference_groups", attacks.inference_groups(*_NN, "c_nationkey"), _EVEN, sql=attacks.inference_groups(*_NN, "c_nationkey", plain=True), evaluation=_ODD)
+_BANDED = "(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = {})"
+_sql("attr_inference_exact", attacks.infer_exact(["c_nationkey", "band"], "c_mktsegment"), _BANDED.format(0), evaluation=_BANDED.format(1))
+# every customer in both views, and released: all of them, or the even ones against the odd ones as control
+_VIEWS = ("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey")
+for _name in ("linkability", "linkability_all"):
+    _sql(_name, attacks.linkability(*_VIEWS), "customer", sql=attacks.linkability_plain(*_VIEWS), a="customer", b="customer")
+_sql("linkability_control", attacks.against_control(attacks.linkability(*_VIEWS), attacks.linkability(*_VIEWS, t="{control}")), _EVEN,
+     sql=attacks.against_control(attacks.linkability_plain(*_VIEWS), attacks.linkability_plain(*_VIEWS, t="{control}")), control=_ODD, a="customer", b="customer")
+# graph: every user a subject or an identity
+_SUBJECTS, _IDENTITIES = (f"(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE coalesce(user_id % 2, 0) {x} 0)" for x in ("=", "<>"))
+for _end in ("", "_all"):
+    _sql("graph_shared_clues" + _end, graph.shared_clues(), _SUBJECTS, identities=_IDENTITIES)
+    _sql("graph_verdicts" + _end, graph.verdicts(2), _SUBJECTS, identities=_IDENTITIES)
 _sql("wilson_calibration", graph.calibrated(3), "(SELECT l_linenumber AS shared, l_returnflag = 'R' AS reidentified FROM lineitem)")
 
 
