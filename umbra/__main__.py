@@ -6,11 +6,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import release
 from .errors import Refused
-from .operators import attacks, metrics, policy, population, transforms
+from .operators import attacks, dp, graph, metrics, policy, population, transforms
 from .plans.sql import over
 from .sources.tables import read_csv
 
@@ -27,42 +30,173 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--qi", action="append", required=True)
         return c
 
+    def optional(c: argparse.ArgumentParser, **kinds: type) -> argparse.ArgumentParser:
+        for name, kind in kinds.items():
+            c.add_argument("--" + name.replace("_", "-"), type=kind)
+        return c
+
+    def required(c: argparse.ArgumentParser, **kinds: type) -> argparse.ArgumentParser:
+        for name, kind in kinds.items():
+            c.add_argument("--" + name.replace("_", "-"), type=kind, required=True)
+        return c
+
     command("run", "input", "output", qis=False)
+    command("preflight", "input", qis=False)
+    command("verify", "input", "output", qis=False)
     command("inspect", "policy", qis=False)
-    command("tabular-risk", "table").add_argument("--sensitive", required=True)
-    command("tabular-suppress", "table", "output").add_argument("--k", type=int, required=True)
+    required(command("risk-audit", "output", qis=False)).add_argument("--min-frequency", type=int, default=2)
+    command("contextual-graph-risk", "input", qis=False).add_argument("--min-shared-clues", type=int, default=2)
+    required(command("tabular-risk", "table"), sensitive=str)
+    required(command("tabular-suppress", "table", "output"), k=int)
+    optional(required(command("tabular-generalize", "table", "output"), hierarchy=str, sensitive=str, k=int), max_suppression=float)
+    required(command("tabular-local", "table", "output"), hierarchy=str, sensitive=str, k=int)
+    c = required(command("tabular-advanced", "table", "output"), hierarchy=str, sensitive=str, k=int, alpha=float, recursive_l=int, recursive_c=float, beta=float, t=float)
+    optional(c, numeric_emd=float, entropy_l=float, delta=float, max_suppression=float)
+    required(command("tabular-microaggregate", "table", "output"), bounds=str, sensitive=str, k=int).add_argument("--numeric", action="append", required=True)
     command("delta-presence-risk", "table", "population")
     command("population-reidentification-risk", "table", "population")
-    command("population-k-map", "table", "population").add_argument("--k", type=int, required=True)
-    c = command("singling-out-risk", "table")
-    c.add_argument("--row-id", required=True)
-    c.add_argument("--size", type=int)
-    command("attribute-inference-risk", "table", "evaluation").add_argument("--sensitive", required=True)
+    required(command("population-k-map", "table", "population"), k=int)
+    optional(required(command("singling-out-risk", "table"), row_id=str), size=int, control=str)
+    c = optional(required(command("attribute-inference-risk", "table", "evaluation"), sensitive=str), group_by=str)
+    c.add_argument("--predictor", choices=("nearest_neighbor", "exact_match"), default="nearest_neighbor")
+    c = optional(required(command("two-view-linkability", "table", "view_a", "view_b", qis=False), subject=str), control=str)
+    c.add_argument("--column-a", action="append", required=True)
+    c.add_argument("--column-b", action="append", required=True)
+    optional(required(command("dp-count", "table", qis=False), column=str, epsilon=str), equals=str, equals_sha256=str)
+    optional(required(command("dp-count-batch", "table", qis=False), query_plan=str, maximum_epsilon=str), budget_ledger=str, budget_id=str)
+    optional(required(command("dp-synthesize", "table", "output", qis=False), domain=str, epsilon=str), budget_ledger=str, budget_id=str, maximum_epsilon=str)
     return p
 
 
+def _loaded(path: str):
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _columns(t: DataFrame, *names: str | None) -> None:
+    if set(filter(None, names)) - set(t.columns):
+        raise Refused("column-missing")
+
+
+def numeric_columns(names: list[str], *tables: DataFrame) -> list[str]:
+    """Of the columns, those in which every value of all tables is a number."""
+    other = set()
+    for t in tables:
+        row = t.agg(*[F.count_if(F.expr(f"{metrics.number(c)} is null")).alias(c) for c in names]).first()
+        other |= {c for c in names if row[c]}
+    return [c for c in names if c not in other]
+
+
+def _numbers(t: DataFrame, numeric: list[str]) -> DataFrame:
+    return t.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in t.columns])
+
+
+def _written(out: DataFrame, t: DataFrame, a: argparse.Namespace) -> tuple[dict, bool]:
+    """Writes a transformed table, reads it back and states its metrics."""
+    out.write.mode("errorifexists").csv(a.output, header=True)
+    kept = out.limit(1).count() and read_csv(t.sparkSession, a.output)
+    receipt = {"rows": t.count(), "kept": kept.count() if kept else 0}
+    if kept and getattr(a, "sensitive", None):
+        receipt |= over(metrics.metrics(a.qi, a.sensitive), kept).first().asDict()
+        if receipt["k_anonymity"] < a.k:
+            raise transforms.PrivacyViolation("classes below k remain")
+    return receipt, False
+
+
+def _budgeted(a: argparse.Namespace, epsilon, produce):
+    """produce(), charged to the ledger if one is named."""
+    if a.budget_ledger is None:
+        return produce()
+    if a.budget_id is None or a.maximum_epsilon is None:
+        raise Refused("budget-incomplete")
+    return dp.spend(a.budget_ledger, a.budget_id, a.maximum_epsilon, epsilon, produce)
+
+
 def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
     """(receipt, whether a risk was found)."""
     if a.command == "run":
         return release.run(spark, a.input, a.output), False
+    if a.command == "preflight":
+        return {"files": release.counts_by_type(a.input)}, False
+    if a.command == "verify":
+        wrong = release.reverified(a.input, a.output)
+        if wrong:
+            raise Refused(wrong[0])
+        return {"status": "verified"}, False
     if a.command == "inspect":
         p = policy.load(a.policy)
         return {"rules": len(p.rules), "identities": len(p.replacements), "protected": len(p.protected)}, False
+    if a.command == "risk-audit":
+        most = release.most_frequent_token(a.output)
+        return {"max_pseudonym_frequency": most, "verdict": "linkage_risk" if most >= a.min_frequency else "clear"}, most >= a.min_frequency
+    if a.command == "contextual-graph-risk":
+        found = graph.summary(graph.attack(spark, a.input, a.min_shared_clues))
+        return found, found["verdict"] == "block"
     t = read_csv(spark, a.table)
-    missing = set(a.qi) - set(t.columns)
-    if missing:
-        raise Refused("column-missing")
+    if a.command == "dp-count":
+        _columns(t, a.column)
+        query = {"column": a.column, "epsilon": a.epsilon} | {k: v for k, v in (("equals", a.equals), ("equals_sha256", a.equals_sha256)) if v is not None}
+        return {"count": dp.counts(t, [query], a.epsilon)[0], "epsilon": a.epsilon}, False
+    if a.command == "dp-count-batch":
+        queries = _loaded(a.query_plan)["queries"]
+        _columns(t, *(q["column"] for q in queries))
+        spent = str(sum((Decimal(str(q["epsilon"])) for q in queries), Decimal(0)))
+        return {"counts": _budgeted(a, spent, lambda: dp.counts(t, queries, a.maximum_epsilon)), "epsilon": spent}, False
+    if a.command == "dp-synthesize":
+        domains = _loaded(a.domain)
+        _columns(t, *domains)
+        rows = _budgeted(a, a.epsilon, lambda: dp.histogram(t, domains, a.epsilon))
+        rows.write.mode("errorifexists").csv(a.output, header=True)
+        return {"dimensions": list(domains), "epsilon": a.epsilon, "rows": rows.count()}, False
+    if a.command == "two-view-linkability":
+        va, vb = read_csv(spark, a.view_a), read_csv(spark, a.view_b)
+        released = [t] + ([read_csv(spark, a.control)] if a.control else [])
+        if any(a.subject in x.columns for x in released):
+            raise Refused("subject-in-release")
+        _columns(va, a.subject, *a.column_a)
+        _columns(vb, a.subject, *a.column_b)
+        for x in released:
+            _columns(x, *a.column_a, *a.column_b)
+        ids = [v.groupBy(a.subject).agg(F.count("*").alias("n")) for v in (va, vb)]
+        if any(not i.where("n > 1").isEmpty() for i in ids) or not ids[0].join(ids[1], a.subject, "full").where(ids[0]["n"].isNull() | ids[1]["n"].isNull()).isEmpty():
+            raise Refused("subjects-differ")
+
+        def linked(x: DataFrame) -> dict:
+            na, nb = numeric_columns(a.column_a, x, va), numeric_columns(a.column_b, x, vb)
+            rows = _numbers(x.withColumn("umbra_row", F.monotonically_increasing_id()), sorted({*na, *nb}))
+            text = attacks.linkability(a.subject, na, [c for c in a.column_a if c not in na], nb, [c for c in a.column_b if c not in nb], "umbra_row")
+            return over(text, rows, a=_numbers(va, na), b=_numbers(vb, nb)).first().asDict()
+
+        return _against(linked, released)
+    _columns(t, *a.qi, getattr(a, "sensitive", None))
     if a.command == "tabular-risk":
         return over(metrics.metrics(a.qi, a.sensitive), t).first().asDict(), False
     if a.command == "tabular-suppress":
-        out = over(transforms.suppress_small_classes(a.qi, a.k), t)
-        out.write.mode("errorifexists").csv(a.output, header=True)
-        return {"rows": t.count(), "kept": read_csv(spark, a.output, allow_empty=True).count() if out.limit(1).count() else 0}, False
+        return _written(over(transforms.suppress_small_classes(a.qi, a.k), t), t, a)
+    if a.command == "tabular-generalize":
+        return _written(transforms.generalize(t, a.qi, _loaded(a.hierarchy), a.k, a.max_suppression or 0.0), t, a)
+    if a.command == "tabular-local":
+        return _written(transforms.generalize_locally(t, a.qi, _loaded(a.hierarchy), a.k), t, a)
+    if a.command == "tabular-advanced":
+        bounds = {"alpha": a.alpha, "recursive_cl": (a.recursive_c, a.recursive_l), "beta": a.beta, "t": a.t, "numeric_emd": a.numeric_emd, "entropy_l": a.entropy_l, "delta": a.delta}
+        return _written(transforms.enforce(t, a.qi, a.sensitive, _loaded(a.hierarchy), a.k, {k: v for k, v in bounds.items() if v is not None}, a.max_suppression or 0.0), t, a)
+    if a.command == "tabular-microaggregate":
+        bounds = {c: tuple(x) for c, x in _loaded(a.bounds).items()}
+        return _written(transforms.microaggregated(t, a.qi, a.numeric, a.k, bounds), t, a)
     if a.command == "singling-out-risk":
-        row = over(attacks.singling_out(a.qi, a.row_id, a.size), t).first().asDict()
-        return row, row["rate"] > row["baseline"]
+        _columns(t, a.row_id)
+        released = [t] + ([read_csv(spark, a.control)] if a.control else [])
+        return _against(lambda x: over(attacks.singling_out(a.qi, a.row_id, a.size), x).first().asDict(), released)
     if a.command == "attribute-inference-risk":
-        row = over(attacks.infer_exact(a.qi, a.sensitive), t, evaluation=read_csv(spark, a.evaluation)).first().asDict()
+        known = read_csv(spark, a.evaluation)
+        _columns(known, *a.qi, a.sensitive, a.group_by)
+        numeric = numeric_columns(a.qi, t, known) if a.predictor == "nearest_neighbor" else []
+        nominal = [c for c in a.qi if c not in numeric]
+        t, known = _numbers(t, numeric), _numbers(known, numeric)
+        text = attacks.infer_exact(a.qi, a.sensitive) if a.predictor == "exact_match" else attacks.infer_nearest(numeric, nominal, a.sensitive)
+        row = over(text, t, evaluation=known).first().asDict()
+        if a.group_by:
+            row |= over(attacks.inference_groups(numeric, nominal, a.sensitive, a.group_by), t, evaluation=known).first().asDict()
         return row, row["risk"]
     people = read_csv(spark, a.population)
     if a.command == "population-k-map":
@@ -72,6 +206,14 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
     return over(text, t, population=people).first().asDict(), False
 
 
+def _against(attack, released: list[DataFrame]) -> tuple[dict, bool]:
+    """An attack's row on a release and, if there is one, its rate on a control; a risk if above that or chance."""
+    row, *control = [attack(x) for x in released]
+    limit = control[0]["rate"] if control else row["baseline"]
+    more = {"control_rate": limit, "excess": round(row["rate"] - limit, 9)} if control else {}
+    return row | more, row["rate"] > limit
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(arguments)
     try:

@@ -7,6 +7,7 @@ import fcntl
 import json
 import os
 import secrets
+import stat
 from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 from fractions import Fraction
@@ -59,8 +60,10 @@ def histogram(df: DataFrame, domains: Mapping[str, Sequence[str]], epsilon, draw
     """Synthetic rows: each cell of the domains' product as often as its noisy count says."""
     checked_epsilon(epsilon)
     spark, names = df.sparkSession, list(domains)
-    inside = df.where(~F.coalesce(F.expr(" and ".join(f"cast(`{c}` as string) in ({', '.join(repr(str(v)) for v in vs)})" for c, vs in domains.items())), F.lit(False)))
-    if inside.limit(1).count():
+    inside = F.lit(True)
+    for c, values in domains.items():
+        inside = inside & F.col(f"`{c}`").cast("string").isin([str(v) for v in values])
+    if not df.where(~F.coalesce(inside, F.lit(False))).isEmpty():
         raise ValueError("a value lies outside its domain")
     cells = None
     for i, (c, values) in enumerate(domains.items()):
@@ -75,7 +78,10 @@ def histogram(df: DataFrame, domains: Mapping[str, Sequence[str]], epsilon, draw
 def spend(ledger: str, identity: str, maximum, epsilon, produce: Callable[[], object]) -> object:
     """produce(), after epsilon was added to the ledger file under a lock; it stays spent if that fails."""
     amount, most = checked_epsilon(epsilon), Fraction(Decimal(str(maximum)))
-    handle = os.open(ledger, os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW, 0o600)
+    handle = os.open(ledger, os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW | os.O_NONBLOCK, 0o600)
+    if not stat.S_ISREG(os.fstat(handle).st_mode):
+        os.close(handle)
+        raise ValueError("the ledger isn't a regular file")
     with os.fdopen(handle, "r+") as f:
         fcntl.flock(f, fcntl.LOCK_EX)
         text = f.read()

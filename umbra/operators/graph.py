@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Refused
+
 #: Quantile behind the interval of a calibrated rate; controls that it takes.
 Z, CONTROLS = 1.959963984540054, 10
 
@@ -27,19 +31,117 @@ FROM s LEFT JOIN w ON s.id = w.subject
 """
 
 
-def reachability(edges: DataFrame, starts: DataFrame, most_hops: int) -> DataFrame:
+def reachability(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
     """(start, node, hops): nodes that start reaches along src -> dst, by the fewest hops.
 
-    A frontier joins the edges hop by hop; nodes already seen from a start are left out by an anti-join."""
+    A frontier joins the edges hop by hop; nodes already seen from a start are left out by an anti-join.
+    Without a bound it goes on while there is a frontier, each hop's rows being checkpointed where the
+    session names a folder, else persisted."""
+    held = (lambda d: d.checkpoint()) if starts.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    seen = frontier
-    for hop in range(1, most_hops + 1):
+    seen, hop = frontier, 0
+    while most_hops is None or hop < most_hops:
+        hop += 1
         frontier = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
         frontier = frontier.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        if most_hops is None:
+            frontier = held(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.union(frontier)
     return seen.where("hops > 0")
 
 
+_CLUES = "array<struct<type: string, value: string>>"
+MANIFEST = f"authorized boolean, subjects array<struct<subject_id: string, clues: {_CLUES}>>, auxiliary_identities array<struct<identity_id: string, clues: {_CLUES}>>, relationship_edges array<struct<`from`: string, `to`: string, type: string>>, clue_catalog {_CLUES}, subject_sources array<struct<subject_id: string, files: array<string>>>"
+
+
+def _need(right: bool, code: str) -> None:
+    if not right:
+        raise Refused(code)
+
+
+def _people(rows: DataFrame, column: str, id_name: str) -> DataFrame:
+    """(id, type, value) of an array of people with clues; ids are unique, clues and their parts not empty."""
+    people = rows.select(F.explode(column).alias("p")).select(F.col(f"p.{id_name}").alias("id"), "p.clues")
+    wrong = "coalesce(id, '') = '' or coalesce(size(clues), 0) <= 0 or exists(clues, c -> coalesce(c.type, '') = '' or coalesce(c.value, '') = '')"
+    found = people.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.expr(wrong)).alias("wrong")).first()
+    _need(found["n"] > 0 and found["wrong"] == 0 and found["ids"] == found["n"], f"graph-{column.replace('_', '-')}")
+    return people.select("id", F.explode("clues").alias("c")).select("id", "c.type", "c.value")
+
+
+def _from_carriers(rows: DataFrame, folder: Path) -> tuple[DataFrame, DataFrame]:
+    """(subject ids, their clues): the catalogue's terms, as whole words in any case, that a subject's files hold."""
+    from ..sources.formats import ADAPTERS, strings
+
+    catalog = rows.select(F.explode("clue_catalog").alias("c")).select("c.type", "c.value")
+    found = catalog.agg(F.count("*").alias("n"), F.count_if(F.expr("coalesce(type, '') = '' or coalesce(value, '') = ''")).alias("wrong")).first()
+    _need(found["n"] > 0 and found["wrong"] == 0, "graph-clue-catalog")
+    sources = rows.select(F.explode("subject_sources").alias("s")).select(F.col("s.subject_id").alias("id"), "s.files")
+    wrong = "coalesce(id, '') = '' or coalesce(size(files), 0) <= 0 or exists(files, f -> coalesce(f, '') = '')"
+    found = sources.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.expr(wrong)).alias("wrong")).first()
+    _need(found["n"] > 0 and found["wrong"] == 0 and found["ids"] == found["n"], "graph-subject-sources")
+    files = sources.select("id", F.explode("files").alias("file"))
+    root, to = folder.resolve(), {}
+    for (name,) in files.select("file").distinct().collect():  # paths of a manifest, not contents
+        path = root / name
+        _need(path.resolve().is_relative_to(root) and path.is_file() and not path.is_symlink() and path.suffix in (".json", ".csv", ".txt") and path.suffix in ADAPTERS, "graph-carrier")
+        to[name] = path.resolve().as_uri()
+    spark = rows.sparkSession
+    contents = spark.read.format("binaryFile").load(sorted(set(to.values()))).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+
+    def texts(batches):
+        import os
+
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "text": ["\n".join(strings(bytes(c), os.path.splitext(p)[1])) for p, c in zip(pdf["path"], pdf["content"])]})
+
+    paths = spark.createDataFrame([(k, v.removeprefix("file://")) for k, v in to.items()], "file string, path string")
+    text = files.join(paths, "file").join(contents.mapInPandas(texts, "path string, text string"), "path").select("id", "text")
+    term = F.concat(F.lit("(?iuU)(?<!\\w)\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?!\\w)"))
+    clues = text.join(catalog, F.regexp_like("text", term)).select("id", "type", "value").distinct()
+    return sources.select("id"), clues
+
+
+def attack(spark: SparkSession, manifest: str, least: int = 2) -> DataFrame:
+    """A row for each subject of a graph manifest (JSON): id, best_shared, winners, linked, verdict.
+
+    A subject that relationship edges lead to one identity is `inferred`, to several `ambiguous`; else the
+    identities that share most clues decide, if these are `least` or more.  Refuses manifests without
+    authorisation, repeated ids or edges, empty clues, unknown ends of edges, carriers outside its folder."""
+    _need(least >= 2, "graph-least")
+    rows = spark.read.schema(MANIFEST).json(manifest, multiLine=True, mode="FAILFAST")
+    first = rows.select("authorized", F.col("subject_sources").isNotNull().alias("carriers")).first()
+    _need(first is not None and first["authorized"] is True, "graph-authorization")
+    if first["carriers"]:
+        ids, clues = _from_carriers(rows, Path(manifest).parent)
+    else:
+        clues = _people(rows, "subjects", "subject_id")
+        ids = clues.select("id").distinct()
+    identities = _people(rows, "auxiliary_identities", "identity_id")
+    edges = rows.select(F.explode("relationship_edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), "e.type")
+    nodes = ids.select(F.concat(F.lit("subject:"), "id").alias("node")).union(identities.select(F.concat(F.lit("identity:"), "id")).distinct())
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node like 'subject:%' or node like 'identity:%'")
+    found = edges.agg(F.count("*").alias("n"), F.countDistinct("src", "dst").alias("pairs"), F.count_if(F.expr("coalesce(src, '') = '' or coalesce(dst, '') = '' or not type <=> 'contextual_link'")).alias("wrong")).first()
+    _need(found["wrong"] == 0 and found["pairs"] == found["n"] and ends.join(nodes, "node", "left_anti").isEmpty(), "graph-edges")
+    starts = ids.select(F.concat(F.lit("subject:"), "id").alias("start"))
+    linked = reachability(edges.select("src", "dst"), starts).where("node like 'identity:%'").groupBy("start").agg(F.count("*").alias("linked"))
+    from ..plans.sql import over
+
+    base = over(verdicts(least), clues, identities=identities)
+    out = ids.join(base, ids["id"] == base["subject"], "left").join(linked, F.concat(F.lit("subject:"), "id") == F.col("start"), "left")
+    verdict = F.expr("case when linked = 1 then 'inferred' when linked > 1 then 'ambiguous' else coalesce(verdict, 'clear') end")
+    return out.select("id", F.coalesce("best_shared", F.lit(0)).alias("best_shared"), F.coalesce("winners", F.lit(0)).alias("winners"), F.coalesce("linked", F.lit(0)).alias("linked"), verdict.alias("verdict"))
+
+
+def summary(found: DataFrame) -> dict:
+    """Counts of attack() and the verdict: `block` if any subject is inferred or ambiguous."""
+    row = found.agg(F.count("*").alias("subjects"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("inferred", "ambiguous", "clear")], F.max("best_shared").alias("maximum_shared")).first().asDict()
+    return {"verdict": "block" if row["inferred"] or row["ambiguous"] else "clear", **row}
+
+
 def calibrated(score: int, t: str = "{t}") -> str:
     """The re-identified share of controls (shared, reidentified) with this score, with its interval."""
     from .attacks import wilson

@@ -7,7 +7,7 @@ rows; NULL groups with NULL.  Values that a class lacks need no rows: their part
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 
 def _list(columns: Sequence[str], prefix: str = "") -> str:
@@ -18,6 +18,16 @@ def _same(a: str, b: str, columns: Sequence[str]) -> str:
     return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in columns)
 
 
+def number(column: str) -> str:
+    """SQL (Spark): the column as a finite number, NULL where it is none; suffixes and names of numbers don't count."""
+    text = f"CAST({column} AS STRING)"
+    return f"CASE WHEN {text} RLIKE '^ *[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)? *$' AND abs(TRY_CAST({column} AS DOUBLE)) < double('infinity') THEN TRY_CAST({column} AS DOUBLE) END"
+
+
+def plain_number(column: str) -> str:
+    return f"TRY_CAST({column} AS DOUBLE)"
+
+
 def classes(qis: Sequence[str], t: str = "{t}") -> str:
     """A row a class with its size."""
     return f"SELECT {_list(qis)}, count(*) AS class_size FROM {t} GROUP BY {_list(qis)}"
@@ -103,12 +113,12 @@ FROM ranked CROSS JOIN classes c WHERE rank >= 2 GROUP BY rank
 """
 
 
-def numeric_emd(qis: Sequence[str], sensitive: str, t: str = "{t}") -> str:
+def numeric_emd(qis: Sequence[str], sensitive: str, t: str = "{t}", as_number: Callable[[str], str] = number) -> str:
     """Largest earth mover's distance of a class to the whole on sorted support, over its span; NULL
     where a value isn't a number."""
     q = _list(qis)
     return f"""
-WITH cell AS (SELECT {q}, TRY_CAST({sensitive} AS DOUBLE) AS v, count(*) AS n FROM {t} GROUP BY {q}, TRY_CAST({sensitive} AS DOUBLE)),
+WITH cell AS (SELECT {q}, {as_number(sensitive)} AS v, count(*) AS n FROM {t} GROUP BY {q}, {as_number(sensitive)}),
 support AS (SELECT v, sum(n) AS n FROM cell GROUP BY v),
 curve AS (SELECT v, lead(v) OVER (ORDER BY v) - v AS gap, sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER () AS umbra_cdf,
                  max(v) OVER () - min(v) OVER () AS span, count(CASE WHEN v IS NULL THEN 1 END) OVER () AS bad FROM support),
@@ -120,12 +130,12 @@ SELECT CASE WHEN max(bad) = 0 THEN round(CAST(max(d) AS DOUBLE), 9) END AS numer
 """
 
 
-def column_stats(column: str, t: str = "{t}") -> str:
+def column_stats(column: str, t: str = "{t}", as_number: Callable[[str], str] = number) -> str:
     """Of a quasi-identifier: distinct values, frequencies, and mean, median and variance of numbers."""
     return f"""SELECT * FROM (
 WITH f AS (SELECT {column} AS v, count(*) AS n FROM {t} GROUP BY {column}),
 a AS (SELECT count(*) AS distinct_values, min(n) AS min_frequency, max(n) AS max_frequency FROM f),
-b AS (SELECT round(avg(TRY_CAST({column} AS DOUBLE)), 9) AS mean, round(median(TRY_CAST({column} AS DOUBLE)), 9) AS median, round(var_pop(TRY_CAST({column} AS DOUBLE)), 6) AS variance FROM {t})
+b AS (SELECT round(avg({as_number(column)}), 9) AS mean, round(median({as_number(column)}), 9) AS median, round(var_pop({as_number(column)}), 6) AS variance FROM {t})
 SELECT '{column}' AS name, distinct_values, min_frequency, max_frequency, mean, median, variance FROM a CROSS JOIN b)
 """
 

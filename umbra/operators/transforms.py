@@ -26,10 +26,29 @@ def top_bottom_code(columns: Mapping[str, tuple[float, float]], keep: Sequence[s
     return f"SELECT {_list(keep)}, " + ", ".join(f"greatest({lo!r}, least({hi!r}, {c})) AS {c}" for c, (lo, hi) in columns.items()) + f" FROM {t}"
 
 
-def microaggregate(column: str, order: Sequence[str], k: int, bounds: tuple[float, float], keep: Sequence[str], t: str = "{t}") -> str:
-    """Clamped numbers in clusters of k in sorted order, the last one up to 2k - 1, each value its cluster's mean.
+def microaggregate(column: str | Sequence[str], order: Sequence[str], k: int, bounds: tuple[float, float] | Sequence[tuple[float, float]], keep: Sequence[str], t: str = "{t}", places: int = 6) -> str:
+    """Clamped numbers in clusters of k in sorted order (of all the columns), the last one up to 2k - 1, each
+    value its cluster's mean, rounded.
+
+    Places in the order are counted by stretches of the first column's range and then within each, so that no
+    task sorts all rows (unless all values are alike); a cluster may cross stretches."""
+    columns = [column] if isinstance(column, str) else list(column)
+    limits = [bounds] if isinstance(column, str) else list(bounds)
+    xs = [f"umbra_x{i}" for i in range(len(columns))]
+    coded = ", ".join(f"CAST(greatest({lo!r}, least({hi!r}, {c})) AS DOUBLE) AS {x}" for c, (lo, hi), x in zip(columns, limits, xs))
+    return f"""
+WITH coded AS (SELECT {_list(dict.fromkeys([*keep, *order]))}, {coded} FROM {t}),
+s AS (SELECT min({xs[0]}) AS base, max({xs[0]}) - min({xs[0]}) AS span, count(*) AS umbra_n FROM coded),
+cut AS (SELECT coded.*, s.umbra_n, CAST(CASE WHEN s.span > 0 THEN least(1023, floor(({xs[0]} - s.base) / s.span * 1024)) ELSE 0 END AS INT) AS umbra_cut FROM coded CROSS JOIN s),
+before AS (SELECT umbra_cut, sum(m) OVER (ORDER BY umbra_cut) - m AS rows_before FROM (SELECT umbra_cut, count(*) AS m FROM cut GROUP BY umbra_cut)),
+placed AS (SELECT cut.*, rows_before + row_number() OVER (PARTITION BY cut.umbra_cut ORDER BY {_list(xs)}, {_list(order)}) AS umbra_r FROM cut JOIN before ON cut.umbra_cut = before.umbra_cut),
+cluster AS (SELECT *, least(floor((umbra_r - 1) / {k}), greatest(floor(umbra_n / {k}) - 1, 0)) AS umbra_c FROM placed)
+SELECT {_list(keep)}, {", ".join(f"round(avg({x}) OVER (PARTITION BY umbra_c), {places}) AS {c}" for x, c in zip(xs, columns))} FROM cluster
+"""
+
 
-    The order is global by definition, hence one window over all rows."""
+def microaggregate_plain(column: str, order: Sequence[str], k: int, bounds: tuple[float, float], keep: Sequence[str], t: str = "{t}") -> str:
+    """microaggregate() of one column by a single window over all rows, to test by."""
     lo, hi = bounds
     return f"""
 WITH coded AS (SELECT {_list(keep)}, greatest({lo!r}, least({hi!r}, {column})) AS x FROM {t}),
@@ -39,6 +58,27 @@ SELECT {_list(keep)}, round(avg(x) OVER (PARTITION BY c), 6) AS {column} FROM cl
 """
 
 
+def twelve_digits(column: str) -> str:
+    """SQL: a number as text with 12 significant digits, no trailing zeros (as %.12g does from 1e-4 up to 1e12)."""
+    return f"regexp_replace(regexp_replace(CAST(CAST(CAST(format_string('%.11e', CAST({column} AS DOUBLE)) AS DOUBLE) AS DECIMAL(38, 15)) AS STRING), '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
+
+
+def microaggregated(df: DataFrame, qis: Sequence[str], numeric: Sequence[str], k: int, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """df with the numeric quasi-identifiers coded and averaged; refused if its classes stay below k."""
+    if k < 2 or not numeric or not set(numeric) <= set(qis):
+        raise ValueError("numeric columns are quasi-identifiers, k at least 2")
+    rest = [c for c in df.columns if c not in numeric]
+    wide = [bounds.get(c, (-1.7976931348623157e308, 1.7976931348623157e308)) for c in numeric]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in df.columns])
+    if numbers.where(" or ".join(f"{c} is null" for c in numeric)).limit(1).count() or df.count() < k:
+        raise PrivacyViolation("a value isn't a number, or there are fewer rows than k")
+    out = over(microaggregate(numeric, rest or numeric, k, wide, rest, places=15), numbers)
+    out = out.select(*[F.expr(twelve_digits(c)).alias(c) if c in numeric else F.col(c) for c in df.columns])
+    if over(f"SELECT min(class_size) FROM ({metrics.classes(qis)})", out).first()[0] < k:
+        raise PrivacyViolation("classes below k remain")
+    return out
+
+
 def _leveled(df: DataFrame, hierarchies: Mapping[str, Mapping[str, Sequence[str]]]) -> tuple[DataFrame, dict[str, int]]:
     """df with, for each column of the hierarchies, an array of the raw value and its generalisations."""
     depth = {}
@@ -90,7 +130,7 @@ def generalize_locally(df: DataFrame, qis: Sequence[str], hierarchies: Mapping[s
     names = list(hierarchies)
     state = tuples.select(*[F.col(q).alias(f"raw_{q}") for q in qis], "n", *[f"umbra_{c}" for c in names], *[F.lit(0).alias(f"level_{c}") for c in names])
     shown = lambda q: F.expr(f"umbra_{q}[level_{q}]") if q in hierarchies else F.col(f"raw_{q}").cast("string")
-    for _ in range(1 + sum(depth.values()) * 1000):
+    while True:  # each step raises levels, so it ends at the latest when the hierarchies are exhausted
         now = state.select("*", *[shown(q).alias(q) for q in qis])
         small = over(f"SELECT x.*, c.umbra_n < {k} AS unsafe FROM {{t}} x JOIN (SELECT {_list(qis)}, sum(n) AS umbra_n FROM {{t}} GROUP BY {_list(qis)}) c ON {_same('x', 'c', qis)}", now)
         state = small.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else small.persist()

@@ -73,9 +73,11 @@ for _name, _columns in {
 }.items():
     _sql(_name, metrics.only(_columns, _M), "customer")
 _sql("recursive_cl", metrics.recursive_cl(QIS[:1], SENSITIVE), "customer")
-_sql("t_closeness_emd", metrics.numeric_emd(["c_mktsegment"], "c_acctbal"), "customer")
-_sql("t_closeness_emd_events", metrics.numeric_emd(["event_type"], "value"), "(SELECT event_type, floor(value) AS value FROM events)")
-_sql("qi_numeric_stats", metrics.column_stats("c_acctbal") + " UNION ALL " + metrics.column_stats("c_nationkey"), "customer")
+_plain = metrics.plain_number
+_sql("t_closeness_emd", metrics.numeric_emd(["c_mktsegment"], "c_acctbal"), "customer", sql=metrics.numeric_emd(["c_mktsegment"], "c_acctbal", as_number=_plain))
+_sql("t_closeness_emd_events", metrics.numeric_emd(["event_type"], "value"), "(SELECT event_type, floor(value) AS value FROM events)", sql=metrics.numeric_emd(["event_type"], "value", as_number=_plain))
+_sql("qi_numeric_stats", metrics.column_stats("c_acctbal") + " UNION ALL " + metrics.column_stats("c_nationkey"), "customer",
+     sql=metrics.column_stats("c_acctbal", as_number=_plain) + " UNION ALL " + metrics.column_stats("c_nationkey", as_number=_plain))
 _ORDERS = "(SELECT c_nationkey, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)"
 _sql("multi_sensitive", metrics.multi_sensitive(["c_nationkey"], ["o_orderstatus", "o_orderpriority"]), _ORDERS)
 _sql("multi_sensitive_conditioned", metrics.multi_sensitive(["c_nationkey"], ["o_orderstatus", "o_orderpriority"], True), _ORDERS)
@@ -88,7 +90,8 @@ _sql("population_reid", population.reidentification(QIS), _RELEASE, population="
 # transforms
 _sql("suppress_small_classes", transforms.suppress_small_classes([*QIS], 12), "customer")
 _sql("top_bottom_code", transforms.top_bottom_code({"c_acctbal": (0.0, 5000.0)}, ["c_custkey"]), "customer")
-_sql("microaggregate", transforms.microaggregate("c_acctbal", ["c_custkey"], 5, (-500.0, 9000.0), ["c_custkey"]), "customer")
+_MICRO = ("c_acctbal", ["c_custkey"], 5, (-500.0, 9000.0), ["c_custkey"])
+_sql("microaggregate", transforms.microaggregate(*_MICRO), "customer", sql=transforms.microaggregate_plain(*_MICRO))
 # attacks
 _sql("singling_out", attacks.singling_out(LINE[:5], "id"), "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount FROM lineitem)")
 _sql("singling_out_small", attacks.singling_out(QIS, "c_custkey", 1), "customer")

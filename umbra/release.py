@@ -19,6 +19,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .errors import Refused, reference
+from .operators import graph
 from .operators import policy as policies
 from .functions.pseudonyms import LOOKALIKES
 from .sources.formats import ADAPTERS, Matcher, replaced_number, sqlite_tables, strings
@@ -137,8 +138,12 @@ def run(spark: SparkSession, source: str, target: str) -> dict:
     """Releases the bundle `source` (policy.json, corpus/) to `target`; returns the report."""
     root, to = Path(source), Path(target)
     policy = policies.load(str(root / "policy.json"))
-    if "contextual_graph_min_shared_clues" in policy.risk:
-        raise Refused("contextual-graph-gate")  # not built yet: publishing without it would ignore the policy
+    graph_file = root / "contextual_graph.json"
+    gated = policy.risk.get("contextual_graph_min_shared_clues")
+    if gated:
+        if graph_file.is_symlink() or not graph_file.is_file():
+            raise Refused("contextual-graph-missing")
+        graph_digest = hashlib.sha256(graph_file.read_bytes()).hexdigest()
     m = Matcher(policy)
     names = preflight(root, to, m)
     corpus = root / "corpus"
@@ -163,6 +168,12 @@ def run(spark: SparkSession, source: str, target: str) -> dict:
         most = policy.risk.get("max_pseudonym_frequency")
         if most and token_frequency([x for n, d in staged.items() for x in strings(d, os.path.splitext(n)[1])]) > most:
             raise Refused("pseudonym-frequency")
+        if gated:
+            verdict = graph.summary(graph.attack(spark, str(graph_file), gated))["verdict"]
+            if hashlib.sha256(graph_file.read_bytes()).hexdigest() != graph_digest:
+                raise Refused("contextual-graph-changed")
+            if verdict != "clear":
+                raise Refused("contextual-graph-risk")
         if {n: hashlib.sha256((corpus / n).read_bytes()).hexdigest() for n in names} != before:
             raise Refused("source-changed")
         report = {"schema": "umbra.report.v1", "status": "ready", "files": len(names), **counts, "source_manifest": manifest(before), "release_manifest": manifest({n: hashlib.sha256(d).hexdigest() for n, d in staged.items()})}
@@ -177,3 +188,33 @@ def run(spark: SparkSession, source: str, target: str) -> dict:
         return report
     finally:
         shutil.rmtree(stage, ignore_errors=True)
+
+
+def counts_by_type(source: str) -> dict[str, int]:
+    """How many files of each kind a bundle holds, after the checks that run() makes before it writes."""
+    root = Path(source)
+    names = preflight(root, root.parent / f".{root.name}-none", Matcher(policies.load(str(root / "policy.json"))))
+    return dict(sorted(Counter(os.path.splitext(n)[1] for n in names).items()))
+
+
+def reverified(source: str, target: str) -> list[str]:
+    """Codes of what is wrong with a published release, read anew; its report's digests as well."""
+    root, to = Path(source), Path(target)
+    read = lambda at: {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file()}
+    before, after = read(root / "corpus"), read(to / "corpus")
+    report = json.loads((to / "report.json").read_text())
+    wrong = verified(before, after, policies.load(str(root / "policy.json")))
+    for key, files in (("source_manifest", before), ("release_manifest", after)):
+        if report[key] != manifest({n: hashlib.sha256(d).hexdigest() for n, d in files.items()}):
+            wrong.append(key.replace("_", "-"))
+    return wrong
+
+
+def most_frequent_token(target: str) -> int:
+    """token_frequency() of a published release, whose corpus must be the one that its report names."""
+    to = Path(target)
+    files = {str(p.relative_to(to / "corpus")): p.read_bytes() for p in (to / "corpus").rglob("*") if p.is_file()}
+    report = json.loads((to / "report.json").read_text())
+    if report["status"] != "ready" or report["release_manifest"] != manifest({n: hashlib.sha256(d).hexdigest() for n, d in files.items()}):
+        raise Refused("release-manifest")
+    return token_frequency([x for n, d in files.items() for x in strings(d, os.path.splitext(n)[1])])

@@ -72,7 +72,10 @@ def csv_file(data: bytes, m: Matcher) -> tuple[bytes, int, int]:
     text, mark = decoded(data)
     if not _CSV.fullmatch(text):
         raise Refused("csv-dialect")
-    rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+    try:
+        rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+    except csv.Error:
+        raise Refused("csv") from None
     if not rows or len(set(rows[0])) < len(rows[0]) or any(not x for x in rows[0]) or any(len(r) != len(rows[0]) for r in rows[1:]):
         raise Refused("csv-shape")
     if any(map(m.holds, rows[0])):
@@ -121,7 +124,7 @@ def replaced_number(value: int | float, m: Matcher):
     for token in number_tokens(value):
         if (new := m.replace(token))[1]:
             return new
-    for literal in m.policy.exact:
+    for literal in (*m.policy.exact, *m.policy.folded):
         if len(literal) >= 7 and literal.isdigit() and literal.startswith("0") and literal.lstrip("0") in number_tokens(value):
             raise Refused("lossy-number")
     return value, 0
