@@ -34,7 +34,7 @@ from .shared import stored
 #: Ids a block (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
 #: Entries of a worker's cache (it keeps the first ones; frequent pieces come early), characters of one at most.
-CACHE, SHORT = 800_000, 64
+CACHE, SHORT = 250_000, 64
 #: Rules a round at most, occurrences that a pair must have to be looked at, and to get a rule; least gain of a round.
 RULES, LEAST, WORTH, GAIN = 3000, 12, 6, 1 / 256
 
