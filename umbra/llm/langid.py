@@ -38,7 +38,7 @@ FLOOR, KEEP = 2e-5, 0.5
 #: Labelled texts of less than SLACK of the support that all but a share of RARE of them have are of no learned language.
 RARE, SLACK = 0.01, 0.5
 #: Characters that are looked up at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 

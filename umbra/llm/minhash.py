@@ -37,7 +37,7 @@ WORDS, PERCENT, REGISTERS, BAND, TILE = 5, 80, 128, 4, 256
 #: Pairs of sets that a worker takes at once (a long document's set is as large as its text).
 PAIRS = 64
 #: Words that are hashed at once; entries of a worker's word cache, bytes of a word that it takes at most.
-CHUNK, CACHE, SHORT = 500_000, 250_000, 64
+CHUNK, CACHE, SHORT = 200_000, 250_000, 64
 #: Mantissa bits; the constant of expected collisions of two registers (Yu and Weber, HyperMinHash).
 MANTISSA, COLLISIONS = 10, 0.169919487159739093975315012348630288992889
 
