@@ -1,7 +1,7 @@
 """Releases: preflight, transform, verify, publish.
 
-Files are rewritten by tasks, whose results are rows, so a retried task changes nothing; verification
-reads what was staged; publication is a rename, with the report written last.
+Files are rewritten by tasks, whose results are rows, so a retried task changes nothing; tasks verify what
+was staged, file by file; publication is a rename, with the report written last.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import sqlite3
 import tempfile
@@ -16,7 +17,8 @@ from collections import Counter
 from itertools import zip_longest
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import Refused, reference
 from .operators import graph
@@ -100,36 +102,90 @@ def sqlite_differs(source: bytes, out: bytes, m: Matcher) -> bool:
         b.close()
 
 
+#: Codes of a verification, the first of them that is found being the one reported.
+CODES = ("file-set", "literal-left", "protected-changed", "content-differs", "identity-missing")
+
+
+def _judged(suffix: str, source: bytes, out: bytes, policy: policies.Policy, m: Matcher) -> tuple[set[str], set[str], set[str]]:
+    """Codes of one staged file, the tokens that its source calls for and those that it holds."""
+    wrong: set[str] = set()
+    given: set[str] = set()
+    before, after = strings(source, suffix), strings(out, suffix)
+    if any(map(m.holds, after)):
+        wrong.add("literal-left")
+    cells = 1 if suffix == ".sqlite" else 0  # the first of its strings is the file, which is laid out anew
+    if any(sum(x.count(p) for x in before[cells:]) != sum(x.count(p) for x in after[cells:]) for p in policy.protected):
+        wrong.add("protected-changed")
+    if sqlite_differs(source, out, m) if suffix == ".sqlite" else ADAPTERS[suffix](source, m)[0] != out:
+        wrong.add("content-differs")
+    if m.pattern is not None:
+        for x in before:
+            given |= {policy.exact.get(t) or policy.folded[policies.ascii_lower(t)] for t in m.pattern.findall(x)}
+    return wrong, given, {t for t in policy.replacements.values() if any(t in x for x in after)}
+
+
 def verified(source: dict[str, bytes], out: dict[str, bytes], policy: policies.Policy) -> list[str]:
-    """Codes of what is wrong with a staged corpus: files, literals left, protected values lost, tokens missing."""
-    m, wrong = Matcher(policy), []
+    """Codes of what is wrong with a corpus of a few files: files, literals left, protected values lost, tokens missing."""
     if set(source) != set(out):
         return ["file-set"]
-    seen: set[str] = set()
-    given: set[str] = set()
+    m, found = Matcher(policy), [set(), set(), set()]
     for path, data in out.items():
-        suffix = os.path.splitext(path)[1]
-        before, after = strings(source[path], suffix), strings(data, suffix)
-        if any(map(m.holds, after)):
-            wrong.append("literal-left")
-        cells = 1 if suffix == ".sqlite" else 0  # the first of its strings is the file, which is laid out anew
-        if any(sum(x.count(p) for x in before[cells:]) != sum(x.count(p) for x in after[cells:]) for p in policy.protected):
-            wrong.append("protected-changed")
-        if sqlite_differs(source[path], data, m) if suffix == ".sqlite" else ADAPTERS[suffix](source[path], m)[0] != data:
-            wrong.append("content-differs")
-        if m.pattern is not None:
-            for x in before:
-                given |= {policy.exact.get(t) or policy.folded[policies.ascii_lower(t)] for t in m.pattern.findall(x)}
-        seen |= {t for t in policy.replacements.values() if any(t in x for x in after)}
+        for x, y in zip(found, _judged(os.path.splitext(path)[1], source[path], data, policy, m)):
+            x |= y
+    wrong, given, seen = found
     if given - seen:
-        wrong.append("identity-missing")
-    return wrong
+        wrong.add("identity-missing")
+    return sorted(wrong, key=CODES.index)
+
+
+def verification(spark: SparkSession, corpus: Path, stage: Path, policy: policies.Policy) -> DataFrame:
+    """(kind, value, n): what the tasks that compare a corpus with its staged copy, file by file, found.
+
+    Kinds are code, given and seen (tokens that the sources call for, that the copies hold; at most as many as
+    the policy has) and look (what looks like a pseudonym in the copies, n times)."""
+
+    def files(root: Path, content: str) -> DataFrame:
+        at = root.resolve()
+        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at.as_uri())
+        return d.select(F.substring("path", len(f"file:{at}/") + 1, 1 << 20).alias("path"), F.col("content").alias(content))
+
+    def run(batches):
+        import pandas as pd
+
+        m = Matcher(policy)
+        for pdf in batches:
+            found: Counter = Counter()
+            for path, source, out in zip(pdf["path"], pdf["source"], pdf["out"]):
+                suffix = os.path.splitext(path)[1]
+                if source is None or out is None:
+                    found["code", "file-set"] += 1
+                    continue
+                for kind, values in zip(("code", "given", "seen"), _judged(suffix, bytes(source), bytes(out), policy, m)):
+                    found.update((kind, v) for v in values)
+                for x in strings(bytes(out), suffix):
+                    found.update(("look", t) for p in LOOKALIKES for t in re.findall(p, x))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "value", "n"])
+
+    both = files(corpus, "source").join(files(stage, "out"), "path", "full")
+    return both.mapInPandas(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
+
+def verdict(facts: DataFrame) -> tuple[list[str], int]:
+    """Codes of a verification() and how often the most frequent pseudonym, or what looks like one, occurs."""
+    facts = facts.persist()
+    try:
+        of: dict[str, set[str]] = {"code": set(), "given": set(), "seen": set()}
+        for r in facts.where("kind <> 'look'").collect():
+            of[r["kind"]].add(r["value"])
+        most = facts.where("kind = 'look'").agg(F.max("n")).first()[0] or 0
+    finally:
+        facts.unpersist()
+    missing = {"identity-missing"} if of["given"] - of["seen"] else set()
+    return sorted(of["code"] | missing, key=CODES.index), most
 
 
 def token_frequency(texts: list[str]) -> int:
     """How often the most frequent pseudonym, or what looks like one, occurs."""
-    import re
-
     counts = Counter(t for p in LOOKALIKES for x in texts for t in re.findall(p, x))
     return max(counts.values(), default=0)
 
@@ -161,22 +217,25 @@ def run(spark: SparkSession, source: str, target: str) -> dict:
             (stage / name).write_bytes(bytes(row["content"]))
             counts["records"] += row["records"]
             counts["replacements"] += row["replacements"]
-        read = lambda at: {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file()}
-        staged = read(stage)
-        if wrong := verified(read(corpus), staged, policy):
+        staged = {str(p.relative_to(stage)) for p in stage.rglob("*") if p.is_file()}
+        # Spark's reader skips names that begin with a dot or an underscore: such a file was not staged
+        if staged != set(names):
+            raise Refused("file-set")
+        wrong, tokens = verdict(verification(spark, corpus, stage, policy))
+        if wrong:
             raise Refused(wrong[0])
         most = policy.risk.get("max_pseudonym_frequency")
-        if most and token_frequency([x for n, d in staged.items() for x in strings(d, os.path.splitext(n)[1])]) > most:
+        if most and tokens > most:
             raise Refused("pseudonym-frequency")
         if gated:
-            verdict = graph.summary(graph.attack(spark, str(graph_file), gated))["verdict"]
+            risk = graph.summary(graph.attack(spark, str(graph_file), gated))["verdict"]
             if hashlib.sha256(graph_file.read_bytes()).hexdigest() != graph_digest:
                 raise Refused("contextual-graph-changed")
-            if verdict != "clear":
+            if risk != "clear":
                 raise Refused("contextual-graph-risk")
         if {n: hashlib.sha256((corpus / n).read_bytes()).hexdigest() for n in names} != before:
             raise Refused("source-changed")
-        report = {"schema": "umbra.report.v1", "status": "ready", "files": len(names), **counts, "source_manifest": manifest(before), "release_manifest": manifest({n: hashlib.sha256(d).hexdigest() for n, d in staged.items()})}
+        report = {"schema": "umbra.report.v1", "status": "ready", "files": len(names), **counts, "source_manifest": manifest(before), "release_manifest": manifest({n: hashlib.sha256((stage / n).read_bytes()).hexdigest() for n in staged})}
         (to / "report.json").unlink(missing_ok=True)
         shutil.rmtree(to / "corpus", ignore_errors=True)
         os.replace(stage, to / "corpus")
