@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms
-from ..operators import attacks, dp, graph, matching, metrics, policy, population, transforms
+from ..operators import attacks, boxes, costs, dp, graph, matching, metrics, policy, population, residual, transforms
 from .sql import over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,6 +224,60 @@ ORACLE_SQL |= {
 }
 
 
+# what is left or lost where suppliers of a balance under 2,000 were not masked
+def verify_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _half_masked(spark, sf_dir)
+    return residual.locations(d.select("s_suppkey", F.col("masked").alias("note")), d.select("s_suppkey", "note"), ["s_suppkey"], ["note"])
+
+
+def verify_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms are cut to eight characters here, so that some nations share theirs."""
+    p = _policy(spark, sf_dir)
+    tokens = spark.createDataFrame([("name", value, token[:8]) for value, token in sorted(p.exact.items())], "type string, identity string, token string")
+    d = _half_masked(spark, sf_dir)
+    source = d.select(F.lit("name").alias("type"), F.explode(matching.matches(F.col("original"), p)).alias("identity"))
+    output = d.select(F.explode(F.regexp_extract_all("note", F.lit(r"Person-[0-9a-f]"), F.lit(0))).alias("token"))
+    return residual.subjects(tokens, source, output)
+
+
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect()]
+    return residual.leaks(_half_masked(spark, sf_dir), "s_suppkey", ["note", "s_acctbal"], names)
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each note as a page of words, ten units a character in one line."""
+    w = _notes(spark, sf_dir).select(F.col("s_suppkey").alias("page"), F.posexplode(F.split("note", " ")).alias("position", "text"))
+    w = w.withColumns({"left": F.col("position") * 100, "top": F.col("position") % 3, "width": F.length("text") * 10, "height": F.lit(12)})
+    return boxes.matching(w, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_name").alias("value")))
+
+
+def _half_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _notes(spark, sf_dir).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey")
+    d = d.withColumn("masked", matching.replaced(F.col("note"), _policy(spark, sf_dir))[0])
+    return d.select("s_suppkey", "s_acctbal", F.col("note").alias("original"), "masked", F.expr("if(s_acctbal < 2000, note, masked)").alias("note"))
+
+
+QUERIES |= {f.__name__: f for f in (verify_locations, verify_subjects, leak_scan, word_boxes)}
+_HALF = f"(SELECT x.*, s_acctbal, CASE WHEN s_acctbal < 2000 THEN note ELSE replace(note, n_name, token) END AS released FROM {_NOTES} x JOIN supplier USING (s_suppkey))"
+ORACLE_SQL |= {
+    "verify_locations": f"SELECT s_suppkey, 'differs:note' AS code FROM {_HALF} WHERE released <> replace(note, n_name, token)",
+    "verify_subjects": """
+WITH k AS (SELECT n_name, 'Person-' || substr(sha256('pseudonym-v1:trial-v1:1:name:nation-' || n_name || ':0'), 1, 1) AS token FROM nation),
+shown AS (SELECT DISTINCT k.token FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN k USING (n_name) WHERE s_acctbal >= 2000)
+SELECT 'name' AS type, n_name AS identity, 'shared-token' AS code FROM k WHERE token IN (SELECT token FROM k GROUP BY token HAVING count(*) > 1)
+UNION SELECT 'name', n_name, 'token-missing' FROM k WHERE n_name IN (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) AND token NOT IN (SELECT token FROM shown)""",
+    "leak_scan": f"SELECT s_suppkey, 'note' AS \"column\", n.n_name AS value FROM {_HALF} h JOIN nation n ON contains(h.released, n.n_name)",
+    "word_boxes": f"""
+WITH w AS (SELECT s_suppkey AS page, unnest(string_split(note, ' ')) AS word, generate_subscripts(string_split(note, ' '), 1) - 1 AS position FROM {_NOTES}),
+b AS (SELECT page, position, lower(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) AS word, position * 100 AS l, position % 3 AS t, position * 100 + len(word) * 10 AS r, position % 3 + 12 AS u FROM w),
+runs AS (SELECT x.page, x.position AS first, y.position AS last, string_agg(z.word, '' ORDER BY z.position) AS run, min(z.l) AS "left", min(z.t) AS top, max(z.r) AS "right", max(z.u) AS bottom
+         FROM b x JOIN b y ON x.page = y.page AND x.position <= y.position JOIN b z ON z.page = x.page AND z.position BETWEEN x.position AND y.position GROUP BY ALL),
+met AS (SELECT *, row_number() OVER (PARTITION BY page, first, n_nationkey ORDER BY last) AS k FROM runs JOIN nation ON run = lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')))
+SELECT page, n_nationkey AS rule_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST("left" AS INT) AS "left", CAST(top AS INT) AS top, CAST("right" AS INT) AS "right", CAST(bottom AS INT) AS bottom FROM met WHERE k = 1""",
+}
+
+
 # inventory of documents as files
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.format_string("corpus/%08d.txt", "doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
@@ -260,6 +314,8 @@ ORACLE_SQL["dp_counts_zero_noise"] = "SELECT s AS status, (SELECT count(*) FROM
 ORACLE_SQL["dp_histogram_zero_noise"] = "SELECT o_orderstatus, o_orderpriority FROM orders"
 _sql("cost_model", "SELECT n_nationkey, round(bytes / 2e7 / 200 / 3600 * 2 * 1.02, 9) AS hours FROM {t}", "(SELECT n_nationkey, (n_nationkey + 1) * 1e12 AS bytes FROM nation)")
 
+_sql("cost_estimates", costs.estimate("n_nationkey"), "(SELECT n_nationkey, n_nationkey * 1e12 + 3.7e11 AS bytes FROM nation)")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["privacy_metrics"](spark, sf_dir)
