@@ -121,7 +121,8 @@ def _judged(suffix: str, source: bytes, out: bytes, policy: policies.Policy, m:
     if m.pattern is not None:
         for x in before:
             given |= {policy.exact.get(t) or policy.folded[policies.ascii_lower(t)] for t in m.pattern.findall(x)}
-    return wrong, given, {t for t in policy.replacements.values() if any(t in x for x in after)}
+    whole = "\0".join(after)
+    return wrong, given, {t for t in set(policy.replacements.values()) if t in whole}
 
 
 def verified(source: dict[str, bytes], out: dict[str, bytes], policy: policies.Policy) -> list[str]:

@@ -30,6 +30,8 @@ class Matcher:
         found = expression(policy)
         self.pattern = re.compile(found) if found else None
         self.policy = policy
+        #: literals that a number can't show as written, by the number's digits
+        self.padded = {x.lstrip("0") for x in (*policy.exact, *policy.folded) if len(x) >= 7 and x.isdigit() and x.startswith("0")}
 
     def replace(self, text: str) -> tuple[str, int]:
         if self.pattern is None:
@@ -124,9 +126,8 @@ def replaced_number(value: int | float, m: Matcher):
     for token in number_tokens(value):
         if (new := m.replace(token))[1]:
             return new
-    for literal in (*m.policy.exact, *m.policy.folded):
-        if len(literal) >= 7 and literal.isdigit() and literal.startswith("0") and literal.lstrip("0") in number_tokens(value):
-            raise Refused("lossy-number")
+    if not m.padded.isdisjoint(number_tokens(value)):
+        raise Refused("lossy-number")
     return value, 0
 
 
