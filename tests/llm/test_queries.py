@@ -11,6 +11,9 @@ import pytest
 
 from umbra.llm import queries
 
+import test_turntrie  # pytest puts this folder on the path
+import test_variants
+
 COLUMNS = {
     "op1_template_lines": "doc_id bigint, n_lines bigint, n_dropped bigint, text_sha256 string",
     "op2_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
@@ -22,9 +25,16 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id bigint, piece int, piece_tokens int, bin string, bin_length int, bin_tokens int, bin_offset int",
     "op9_epsilon_grid": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op10_token_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11_turn_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_spelling_variants": "word string, root string, form string, n bigint, n_near bigint, form_n bigint",
+    "op13_wrapper_text": "page_id bigint, url string, text string, n_chars bigint",
 }
 
 
+TURNS = [(c, t, ("user", "assistant")[t % 2], f"words of turn {t * (c % 3)}") for c in range(90) for t in range(c % 6)]
+PAGES = [(i, f"http://h{i % 3}.example/{i}", f"<body><nav>menu</nav><article><h1>t{i}</h1><p>text of page {i}</article><footer>end</footer></body>") for i in range(12)]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
@@ -43,6 +53,8 @@ def folder(spark, tmp_path_factory):
     base = g.normal(size=(20, 16))
     x = np.vstack([base, base[:8] + 0.05 * g.normal(size=(8, 16)), base[:4] + 0.12 * g.normal(size=(4, 16)), 3 * base[:2]]).astype(np.float32)
     spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, None), (101, [0.0] * 16)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(at + "/embeddings.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(at + "/conversations.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(at + "/pages.parquet")
     return at, dict(enumerate(texts))
 
 
@@ -59,7 +71,7 @@ def test_all(spark, folder):
         types = dict(df.dtypes)
         assert all(types.get(c) == t for c, t in (x.split(" ") for x in COLUMNS[name].split(", "))), name
         got[name] = [r.asDict() for r in df.collect()]
-        if name not in ("op8_best_fit_packing", "op9_epsilon_grid"):
+        if name not in ("op8_best_fit_packing", "op9_epsilon_grid", "op11_turn_trie", "op12_spelling_variants", "op13_wrapper_text"):
             assert sorted(r["doc_id"] for r in got[name]) == sorted(texts)
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -72,6 +84,10 @@ def test_all(spark, folder):
         rows = [tuple(r[n] for n in names) for r in got[name] if name != "op1_template_lines" or texts[r["doc_id"]] is not None]
         assert sorted(map(repr, rows)) == sorted(map(repr, c.fetchall())), name
     assert sum(r["n_links"] for r in got["op9_epsilon_grid"]) > 20 and sum(not r["kept"] for r in got["op6_hyperminhash"]) > 5
+    values = lambda name: sorted((tuple(r[x.split(" ")[0]] for x in COLUMNS[name].split(", ")) for r in got[name]), key=repr)
+    assert values("op11_turn_trie") == sorted(test_turntrie.plain(TURNS), key=repr)
+    assert values("op12_spelling_variants") == test_variants.plain(list(texts.items()))
+    assert values("op13_wrapper_text") == sorted(((i, u, f"t{i} text of page {i}", len(f"t{i} text of page {i}")) for i, u, _ in PAGES), key=repr)
     rank = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     for r in got["op2_byte_bpe"]:
         ids = rank.encode_ordinary(texts[r["doc_id"]] or "")

@@ -157,5 +157,29 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op4_boosted_pii, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids)}
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turntrie
+
+    return turntrie.trie(turntrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+#: Of so many runs one loses a letter in op12.
+PLANTED = 199
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import variants
+    from .shared import stored
+
+    vocabulary, _ = stored(variants.words(table(spark, sf_dir, "documents"), every=PLANTED).where(f"n >= {variants.OCCURRENCES}"), "vocabulary")
+    return variants.grouped(vocabulary)
+
+
+def op13_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wrapper
+
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_template_lines, op2_byte_bpe, op3_language_bitmask, op4_boosted_pii, op5_merkle, op6_hyperminhash, op7_extendible_shards, op8_best_fit_packing, op9_epsilon_grid, op10_token_ids, op11_turn_trie, op12_spelling_variants, op13_wrapper_text)}
 ORACLE_SQL: dict[str, str] = {"op1_template_lines": OP1_SQL, "op6_hyperminhash": OP6_SQL, "op7_extendible_shards": OP7_SQL, "op9_epsilon_grid": OP9_SQL}
