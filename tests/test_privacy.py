@@ -107,7 +107,7 @@ def test_microaggregation(spark):
 def test_inference(spark):
     rel = spark.createDataFrame([(20, "A", "x"), (40, "B", "y"), (60, "C", "y")], "age int, city string, condition string")
     ev = spark.createDataFrame([(21, "A", "x"), (39, "B", "y")], "age int, city string, condition string")
-    got = one(spark, attacks.infer_nearest(["age"], ["city"], "condition"), rel, evaluation=ev)
+    got = attacks.infer_nearest(rel, ev, ["age"], ["city"], "condition").first().asDict()
     assert got["accuracy"] == 1.0 and got["baseline"] == 0.5 and got["risk"]
     got = one(spark, attacks.infer_exact(["age"], "condition"), rel, evaluation=spark.createDataFrame([(20, "x"), (41, "y")], "age int, condition string"))
     assert (got["inferred"], got["abstained"]) == (1, 1)
@@ -122,7 +122,7 @@ def test_singling_out(spark):
 
 def test_linkability(spark):
     d = spark.createDataFrame([(1, 20, "A", 10), (2, 40, "B", 30), (3, 60, "C", 50)], "id long, age int, city string, income int")
-    got = one(spark, attacks.linkability("id", ["age"], ["city"], ["income"], [], "id"), d, a=d, b=d)
+    got = attacks.linkability(d, d, d, "id", ["age"], ["city"], ["income"], [], "id").first().asDict()
     assert got["links"] == 3 and got["rate"] == 1.0 and got["baseline"] == pytest.approx(1 / 3)
 
 

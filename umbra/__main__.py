@@ -164,8 +164,7 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
         def linked(x: DataFrame) -> dict:
             na, nb = numeric_columns(a.column_a, x, va), numeric_columns(a.column_b, x, vb)
             rows = _numbers(x.withColumn("umbra_row", F.monotonically_increasing_id()), sorted({*na, *nb}))
-            text = attacks.linkability(a.subject, na, [c for c in a.column_a if c not in na], nb, [c for c in a.column_b if c not in nb], "umbra_row")
-            return over(text, rows, a=_numbers(va, na), b=_numbers(vb, nb)).first().asDict()
+            return attacks.linkability(rows, _numbers(va, na), _numbers(vb, nb), a.subject, na, [c for c in a.column_a if c not in na], nb, [c for c in a.column_b if c not in nb], "umbra_row").first().asDict()
 
         return _against(linked, released)
     _columns(t, *a.qi, getattr(a, "sensitive", None))
@@ -193,10 +192,14 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
         numeric = numeric_columns(a.qi, t, known) if a.predictor == "nearest_neighbor" else []
         nominal = [c for c in a.qi if c not in numeric]
         t, known = _numbers(t, numeric), _numbers(known, numeric)
-        text = attacks.infer_exact(a.qi, a.sensitive) if a.predictor == "exact_match" else attacks.infer_nearest(numeric, nominal, a.sensitive)
-        row = over(text, t, evaluation=known).first().asDict()
+        if a.predictor == "exact_match":
+            row = over(attacks.infer_exact(a.qi, a.sensitive), t, evaluation=known).first().asDict()
+            groups = lambda: over(attacks.exact_groups(a.qi, a.sensitive, a.group_by), t, evaluation=known)
+        else:
+            row = attacks.infer_nearest(t, known, numeric, nominal, a.sensitive).first().asDict()
+            groups = lambda: attacks.inference_groups(t, known, numeric, nominal, a.sensitive, a.group_by)
         if a.group_by:
-            row |= over(attacks.inference_groups(numeric, nominal, a.sensitive, a.group_by), t, evaluation=known).first().asDict()
+            row |= groups().first().asDict()
         return row, row["risk"]
     people = read_csv(spark, a.population)
     if a.command == "population-k-map":

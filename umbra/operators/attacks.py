@@ -5,6 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.sql import over
+from . import nearest
 from .metrics import _list, _same
 
 #: Quantile of the normal distribution behind the 95 % intervals.
@@ -47,153 +52,127 @@ def _spans(numeric: Sequence[str], *tables: str) -> str:
 
 
 def infer_nearest_plain(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
-    """infer_nearest() by comparing all distinct tuples with all: for several numeric columns, and to test by."""
+    """infer_nearest() as SQL that compares all distinct tuples with all, to test by."""
+    return f"WITH {_labels_plain(numeric, nominal, sensitive, t, evaluation)},\n{_scored([*numeric, *nominal], sensitive, t, evaluation)}"
+
+
+def _labels_plain(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str, evaluation: str) -> str:
     q = [*numeric, *nominal]
-    return f"""
-WITH s AS ({_spans(numeric, t, evaluation)}),
-rel AS (SELECT {_list(q)}, min({sensitive}) AS lo, max({sensitive}) AS hi FROM {t} GROUP BY {_list(q)}),
-ev AS (SELECT {_list(q)}, {sensitive} AS truth, count(*) AS n FROM {evaluation} GROUP BY {_list(q)}, {sensitive}),
-points AS (SELECT DISTINCT {_list(q)} FROM ev),
-d AS (SELECT {_list(q, "e.")}, r.lo, r.hi, {_gower(numeric, nominal, "e", "r")} AS d FROM points e CROSS JOIN rel r CROSS JOIN s),
-near AS (SELECT {_list(q)}, min(d) AS d FROM d GROUP BY {_list(q)}),
-labels AS (SELECT {_list(q, "d.")}, min(d.lo) AS lo, max(d.hi) AS hi FROM d JOIN near m ON {_same("d", "m", q)} WHERE abs(d.d - m.d) <= 1e-9 * greatest(abs(d.d), abs(m.d)) GROUP BY {_list(q, "d.")}),
-{_scored(q, sensitive, t)}
-"""
+    return f"""umbra_s AS ({_spans(numeric, t, evaluation)}),
+umbra_r AS (SELECT {_list(q)}, min({sensitive}) AS umbra_lo, max({sensitive}) AS umbra_hi FROM {t} GROUP BY {_list(q)}),
+umbra_p AS (SELECT DISTINCT {_list(q)} FROM {evaluation}),
+umbra_d AS (SELECT {_list(q, "e.")}, r.umbra_lo, r.umbra_hi, {_gower(numeric, nominal, "e", "r")} AS umbra_d FROM umbra_p e CROSS JOIN umbra_r r CROSS JOIN umbra_s s),
+umbra_m AS (SELECT {_list(q)}, min(umbra_d) AS umbra_d FROM umbra_d GROUP BY {_list(q)}),
+umbra_labels AS (SELECT {_list(q, "d.")}, min(d.umbra_lo) AS umbra_lo, max(d.umbra_hi) AS umbra_hi FROM umbra_d d JOIN umbra_m m ON {_same("d", "m", q)}
+                 WHERE abs(d.umbra_d - m.umbra_d) <= 1e-9 * greatest(abs(d.umbra_d), abs(m.umbra_d)) GROUP BY {_list(q, "d.")})"""
 
 
-#: Stretches of the numeric column's range, each sorted by itself.
-STRETCHES = 256
-
-
-def _nearest(name: str, numeric: Sequence[str], nominal: Sequence[str], low: str, high: str, t: str, points: str) -> str:
-    """CTEs up to near_{name}: for each distinct tuple of `points` (a relation with the columns), over all
-    nearest rows of t: lo, hi (least `low`, largest `high`) and rows_n.  At most one numeric column.
-
-    The nearest row agrees with the point on some set of nominal columns and is, among rows that do, next to
-    it in the numeric column.  So every set of nominal columns is a group-by and a look at the neighbours in
-    sorted order, instead of a comparison of all with all.  An order is cut into STRETCHES of the range, whose
-    outermost rows serve as neighbours to the others, so that no task sorts a whole table."""
-    q, sets = [*numeric, *nominal], range(1 << len(nominal))
-    x = numeric[0] if numeric else "0"
-    within = lambda i: [c for k, c in enumerate(nominal) if i >> k & 1]
-    key = lambda i: "".join(f"CAST({c if i >> k & 1 else 'NULL'} AS STRING) AS k{k}, " for k, c in enumerate(nominal))
-    cut = f"CAST(CASE WHEN s.span > 0 THEN least({STRETCHES - 1}, floor((x - s.base) / s.span * {STRETCHES})) ELSE 0 END AS INT)"
-    ks = _list([f"k{k}" for k in range(len(nominal))])
-    known = lambda i: " AND ".join(f"{c} IS NOT NULL" for c in within(i)) or "true"
-    rel = " UNION ALL ".join(f"SELECT {i} AS mask, {key(i)}x, min(lo) AS lo, max(hi) AS hi, sum(n) AS n FROM r_{name} WHERE {known(i)} GROUP BY {_list(within(i) + ['x'])}" for i in sets)
-    pts = " UNION ALL ".join(f"SELECT {i} AS mask, {key(i)}x, pid FROM p_{name} WHERE {known(i)}" for i in sets)
-    group = f"mask, {ks}" if nominal else "mask"
-    ks = f"{ks}, " if nominal else ""
-    neighbour = "named_struct('x', x, 'lo', lo, 'hi', hi, 'n', n)"
-    differ = f"({len(nominal)} - bit_count(mask))"
-    return f"""
-s_{name} AS (SELECT min(x) AS base, max(x) - min(x) AS span FROM (SELECT CAST({x} AS DOUBLE) AS x FROM {t} UNION ALL SELECT CAST({x} AS DOUBLE) FROM {points})),
-r_{name} AS (SELECT {_list(nominal) + ", " if nominal else ""}CAST({x} AS DOUBLE) AS x, min({low}) AS lo, max({high}) AS hi, count(*) AS n FROM {t} GROUP BY {_list(list(nominal) + ([x] if numeric else []) or ["1"])}),
-p_{name} AS (SELECT {_list(q)}, CAST({x} AS DOUBLE) AS x, struct({_list(q)}) AS pid FROM (SELECT DISTINCT {_list(q)} FROM {points})),
-u_{name} AS (SELECT mask, {ks}x, {cut} AS cut, pid, CASE WHEN n IS NOT NULL THEN {neighbour} END AS row
-             FROM (SELECT mask, {ks}x, lo, hi, n, NULL AS pid FROM ({rel}) UNION ALL SELECT mask, {ks}x, NULL, NULL, NULL, pid FROM ({pts})) CROSS JOIN s_{name} s),
-e_{name} AS (SELECT *, last_value(last, true) OVER (PARTITION BY {group} ORDER BY cut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below,
-                    first_value(first, true) OVER (PARTITION BY {group} ORDER BY cut ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above
-             FROM (SELECT mask, {ks}cut, min_by(row, row.x) AS first, max_by(row, row.x) AS last FROM u_{name} GROUP BY mask, {ks}cut)),
-w_{name} AS (SELECT mask, {ks}x, cut, pid, row, last_value(row, true) OVER (PARTITION BY {group}, cut ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev,
-                    first_value(row, true) OVER (PARTITION BY {group}, cut ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM u_{name}),
-c_{name} AS (SELECT w.pid, w.x, w.mask, explode(array(coalesce(w.prev, e.below), coalesce(w.next, e.above))) AS row FROM w_{name} w JOIN e_{name} e
-             ON w.mask = e.mask AND w.cut = e.cut{"".join(f" AND w.k{k} <=> e.k{k}" for k in range(len(nominal)))} WHERE w.pid IS NOT NULL),
-d_{name} AS (SELECT pid, row, ({differ} + {"CASE WHEN s.span > 0 THEN abs(x - row.x) / s.span ELSE 0 END" if numeric else "0"}) / {len(q)} AS d FROM c_{name} CROSS JOIN s_{name} s WHERE row IS NOT NULL),
-m_{name} AS (SELECT pid AS pid_m, min(d) AS least FROM d_{name} GROUP BY pid),
-near_{name} AS (SELECT {_list(q, "pid.")}, min(row.lo) AS lo, max(row.hi) AS hi, sum(row.n) AS rows_n FROM d_{name} JOIN m_{name} ON pid = pid_m
-                WHERE abs(d - least) <= 1e-9 * greatest(abs(d), abs(least)) GROUP BY pid)"""
-
-
-def infer_nearest(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
-    """Labels of all nearest released rows; a guess only if they agree.  Both sides are cut down to
-    distinct tuples first.  With several numeric columns all tuples are compared with all."""
-    if len(numeric) > 1:
-        return infer_nearest_plain(numeric, nominal, sensitive, t, evaluation)
+def _labels_exact(qis: Sequence[str], sensitive: str, t: str) -> str:
+    return f"umbra_labels AS (SELECT {_list(qis)}, min({sensitive}) AS umbra_lo, max({sensitive}) AS umbra_hi FROM {t} GROUP BY {_list(qis)})"
+
+
+def _nearest_labels(t: DataFrame, points: DataFrame, numeric: Sequence[str], nominal: Sequence[str], low: str, high: str) -> DataFrame:
+    near = nearest.nearest(t, points, numeric, nominal, low, high)
+    return near.select(*[F.col("pid")[c].alias(c) for c in (*numeric, *nominal)], "umbra_lo", "umbra_hi", "umbra_rows")
+
+
+def infer_nearest(t: DataFrame, evaluation: DataFrame, numeric: Sequence[str], nominal: Sequence[str], sensitive: str) -> DataFrame:
+    """Labels of all nearest released rows; a guess only if they agree.  One row: rows evaluated, inferred and abstained, the
+    guesses' accuracy, that of the most frequent label, and whether guessing beats it.  Nulls as in nearest()."""
     q = [*numeric, *nominal]
-    return f"""
-WITH ev AS (SELECT {_list(q)}, {sensitive} AS truth, count(*) AS n FROM {evaluation} GROUP BY {_list(q)}, {sensitive}),
-{_nearest("ev", numeric, nominal, sensitive, sensitive, t, evaluation)},
-labels AS (SELECT * FROM near_ev),
-{_scored(q, sensitive, t)}
-"""
+    labels = _nearest_labels(t, evaluation, numeric, nominal, sensitive, sensitive)
+    return over(f"WITH umbra_labels AS (SELECT * FROM {{labels}}),\n{_scored(q, sensitive, '{t}', '{evaluation}')}", t, evaluation=evaluation, labels=labels)
 
 
-def inference_groups(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, group: str, t: str = "{t}", evaluation: str = "{evaluation}", plain: bool = False) -> str:
+def inference_groups(t: DataFrame, evaluation: DataFrame, numeric: Sequence[str], nominal: Sequence[str], sensitive: str, group: str) -> DataFrame:
     """Least and largest accuracy of infer_nearest() over the groups of evaluated rows."""
-    q = [*numeric, *nominal]
-    whole = (infer_nearest_plain if plain or len(numeric) > 1 else infer_nearest)(numeric, nominal, sensitive, t, evaluation)
-    labels = whole[: whole.index("majority AS")].rstrip().rstrip(",")
-    return f"""{labels},
-umbra_e AS (SELECT {_list(q)}, {sensitive} AS truth, {group} AS umbra_group, count(*) AS n FROM {evaluation} GROUP BY {_list(q)}, {sensitive}, {group}),
-umbra_g AS (SELECT e.umbra_group, sum(CASE WHEN l.lo = l.hi AND l.lo = e.truth THEN e.n ELSE 0 END) / sum(e.n) AS accuracy FROM umbra_e e LEFT JOIN labels l ON {_same("e", "l", q)} GROUP BY e.umbra_group)
-SELECT count(*) AS group_count, round(CAST(min(accuracy) AS DOUBLE), 9) AS minimum_accuracy, round(CAST(max(accuracy) AS DOUBLE), 9) AS maximum_accuracy FROM umbra_g
-"""
+    labels = _nearest_labels(t, evaluation, numeric, nominal, sensitive, sensitive)
+    return over(f"WITH umbra_labels AS (SELECT * FROM {{labels}}),\n{_grouped([*numeric, *nominal], sensitive, group, '{evaluation}')}", t, evaluation=evaluation, labels=labels)
+
+
+def inference_groups_plain(numeric: Sequence[str], nominal: Sequence[str], sensitive: str, group: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
+    """inference_groups() as SQL that compares all with all."""
+    return f"WITH {_labels_plain(numeric, nominal, sensitive, t, evaluation)},\n{_grouped([*numeric, *nominal], sensitive, group, evaluation)}"
+
+
+def exact_groups(qis: Sequence[str], sensitive: str, group: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
+    """Least and largest accuracy of infer_exact() over the groups of evaluated rows."""
+    return f"WITH {_labels_exact(qis, sensitive, t)},\n{_grouped(qis, sensitive, group, evaluation)}"
 
 
 def infer_exact(qis: Sequence[str], sensitive: str, t: str = "{t}", evaluation: str = "{evaluation}") -> str:
     """Labels of released rows with the same quasi-identifiers; a guess only if they agree."""
-    return f"""
-WITH ev AS (SELECT {_list(qis)}, {sensitive} AS truth, count(*) AS n FROM {evaluation} GROUP BY {_list(qis)}, {sensitive}),
-labels AS (SELECT {_list(qis)}, min({sensitive}) AS lo, max({sensitive}) AS hi FROM {t} GROUP BY {_list(qis)}),
-{_scored(qis, sensitive, t)}
+    return f"WITH {_labels_exact(qis, sensitive, t)},\n{_scored(qis, sensitive, t, evaluation)}"
+
+
+def _grouped(qis: Sequence[str], sensitive: str, group: str, evaluation: str) -> str:
+    return f"""umbra_e AS (SELECT {_list(qis)}, {sensitive} AS umbra_truth, {group} AS umbra_group, count(*) AS umbra_n FROM {evaluation} GROUP BY {_list(dict.fromkeys([*qis, sensitive, group]))}),
+umbra_g AS (SELECT e.umbra_group, sum(CASE WHEN l.umbra_lo = l.umbra_hi AND l.umbra_lo = e.umbra_truth THEN e.umbra_n ELSE 0 END) / sum(e.umbra_n) AS umbra_accuracy
+            FROM umbra_e e LEFT JOIN umbra_labels l ON {_same("e", "l", qis)} GROUP BY e.umbra_group)
+SELECT count(*) AS group_count, round(CAST(min(umbra_accuracy) AS DOUBLE), 9) AS minimum_accuracy, round(CAST(max(umbra_accuracy) AS DOUBLE), 9) AS maximum_accuracy FROM umbra_g
 """
 
 
-def _scored(qis: Sequence[str], sensitive: str, t: str) -> str:
-    return f"""majority AS (SELECT {sensitive} AS label FROM {t} GROUP BY {sensitive} ORDER BY count(*) DESC, {sensitive} LIMIT 1),
-g AS (SELECT e.n, e.truth, CASE WHEN l.lo = l.hi THEN l.lo END AS guess, m.label FROM ev e LEFT JOIN labels l ON {_same("e", "l", qis)} CROSS JOIN majority m)
+def _scored(qis: Sequence[str], sensitive: str, t: str, evaluation: str) -> str:
+    return f"""umbra_e AS (SELECT {_list(qis)}, {sensitive} AS umbra_truth, count(*) AS umbra_n FROM {evaluation} GROUP BY {_list(qis)}, {sensitive}),
+umbra_top AS (SELECT {sensitive} AS umbra_label FROM {t} GROUP BY {sensitive} ORDER BY count(*) DESC, {sensitive} LIMIT 1),
+umbra_g AS (SELECT e.umbra_n AS n, e.umbra_truth AS truth, CASE WHEN l.umbra_lo = l.umbra_hi THEN l.umbra_lo END AS guess, m.umbra_label AS label
+            FROM umbra_e e LEFT JOIN umbra_labels l ON {_same("e", "l", qis)} CROSS JOIN umbra_top m)
 SELECT CAST(sum(n) AS BIGINT) AS evaluated, CAST(coalesce(sum(CASE WHEN guess IS NOT NULL THEN n END), 0) AS BIGINT) AS inferred,
        CAST(coalesce(sum(CASE WHEN guess IS NULL THEN n END), 0) AS BIGINT) AS abstained,
        round(CAST(coalesce(sum(CASE WHEN guess = truth THEN n END), 0) / sum(n) AS DOUBLE), 9) AS accuracy,
        round(CAST(coalesce(sum(CASE WHEN label = truth THEN n END), 0) / sum(n) AS DOUBLE), 9) AS baseline,
-       coalesce(sum(CASE WHEN guess = truth THEN n END), 0) > coalesce(sum(CASE WHEN label = truth THEN n END), 0) AS risk FROM g"""
+       coalesce(sum(CASE WHEN guess = truth THEN n END), 0) > coalesce(sum(CASE WHEN label = truth THEN n END), 0) AS risk FROM umbra_g"""
 
 
 def linkability_plain(subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str, t: str = "{t}", a: str = "{a}", b: str = "{b}") -> str:
-    """linkability() by comparing all subjects with all rows: for several numeric columns, and to test by."""
+    """linkability() as SQL that compares all subjects with all rows, to test by."""
 
-    def nearest(name: str, numeric: Sequence[str], nominal: Sequence[str], x: str) -> str:
-        q = [*numeric, *nominal]
+    def near(name: str, numeric: Sequence[str], nominal: Sequence[str], x: str) -> str:
+        q = list(dict.fromkeys([*numeric, *nominal]))
+        held = ", ".join(f"{c} AS {c}" for c in q if c != subject)
         return f"""
-s_{name} AS ({_spans(numeric, t, x)}),
-d_{name} AS (SELECT v.{subject} AS subject, r.{row_id} AS row_id, {_gower(numeric, nominal, "v", "r")} AS d
-             FROM (SELECT {subject}, {_list(q)} FROM {x}) v CROSS JOIN {t} r CROSS JOIN s_{name} s),
-m_{name} AS (SELECT subject, min(d) AS d FROM d_{name} GROUP BY subject),
-n_{name} AS (SELECT d.subject, CASE WHEN count(*) = 1 THEN min(d.row_id) END AS row_id FROM d_{name} d JOIN m_{name} m ON d.subject = m.subject
-             WHERE abs(d.d - m.d) <= 1e-9 * greatest(abs(d.d), abs(m.d)) GROUP BY d.subject)"""
+umbra_s_{name} AS ({_spans(numeric, t, x)}),
+umbra_d_{name} AS (SELECT v.umbra_subject, r.{row_id} AS umbra_row, {_gower(numeric, nominal, "v", "r")} AS umbra_d
+             FROM (SELECT {subject} AS umbra_subject, {held or "1"} FROM {x}) v CROSS JOIN {t} r CROSS JOIN umbra_s_{name} s),
+umbra_m_{name} AS (SELECT umbra_subject, min(umbra_d) AS umbra_d FROM umbra_d_{name} GROUP BY umbra_subject),
+umbra_n_{name} AS (SELECT d.umbra_subject, CASE WHEN count(*) = 1 THEN min(d.umbra_row) END AS umbra_row FROM umbra_d_{name} d JOIN umbra_m_{name} m ON d.umbra_subject = m.umbra_subject
+             WHERE abs(d.umbra_d - m.umbra_d) <= 1e-9 * greatest(abs(d.umbra_d), abs(m.umbra_d)) GROUP BY d.umbra_subject)"""
 
     return f"""
-WITH {nearest("a", numeric_a, nominal_a, a)}, {nearest("b", numeric_b, nominal_b, b)},
-{_linked(t)}
+WITH {near("a", numeric_a, nominal_a, a)}, {near("b", numeric_b, nominal_b, b)},
+{_linked(t, a, b, subject)}
 """
 
 
-def _linked(t: str) -> str:
+def _linked(t: str, a: str, b: str, subject: str) -> str:
     low, high = wilson("links", "subjects")
-    return f"""z AS (SELECT count(*) AS subjects, count(CASE WHEN x.row_id = y.row_id THEN 1 END) AS links FROM n_a x JOIN n_b y ON x.subject = y.subject),
-r AS (SELECT count(*) AS rows_n FROM {t})
+    return f"""umbra_z AS (SELECT count(*) AS subjects, count(CASE WHEN x.umbra_row = y.umbra_row THEN 1 END) AS links
+            FROM (SELECT DISTINCT {subject} AS umbra_subject FROM {a}) i JOIN (SELECT DISTINCT {subject} AS umbra_subject FROM {b}) k ON i.umbra_subject = k.umbra_subject
+            LEFT JOIN umbra_n_a x ON i.umbra_subject = x.umbra_subject LEFT JOIN umbra_n_b y ON i.umbra_subject = y.umbra_subject),
+umbra_all AS (SELECT count(*) AS rows_n FROM {t})
 SELECT subjects, links, round(CAST(links / subjects AS DOUBLE), 9) AS rate, round(CAST(1.0 / rows_n AS DOUBLE), 9) AS baseline,
-       round(CAST({low} AS DOUBLE), 9) AS low, round(CAST({high} AS DOUBLE), 9) AS high FROM z CROSS JOIN r"""
+       round(CAST({low} AS DOUBLE), 9) AS low, round(CAST({high} AS DOUBLE), 9) AS high FROM umbra_z CROSS JOIN umbra_all"""
 
 
-def linkability(subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str, t: str = "{t}", a: str = "{a}", b: str = "{b}") -> str:
-    """Each view's subjects are matched to their nearest released row, if it is the only one; a link
-    succeeds where both views lead to the same row."""
-    if len(numeric_a) > 1 or len(numeric_b) > 1:
-        return linkability_plain(subject, numeric_a, nominal_a, numeric_b, nominal_b, row_id, t, a, b)
-    views = []
+def linkability(t: DataFrame, a: DataFrame, b: DataFrame, subject: str, numeric_a: Sequence[str], nominal_a: Sequence[str], numeric_b: Sequence[str], nominal_b: Sequence[str], row_id: str) -> DataFrame:
+    """Each view's subjects are matched to their nearest released row, if it is the only one; a link succeeds where both
+    views lead to the same row.  One row: subjects of both views, links, their rate, that of chance, and an interval.
+    A subject without a nearest row (a null number) is one that isn't linked."""
+    views, frames = [], {}
     for name, numeric, nominal, x in (("a", numeric_a, nominal_a, a), ("b", numeric_b, nominal_b, b)):
         q = [*numeric, *nominal]
-        views.append(f"""{_nearest(name, numeric, nominal, row_id, row_id, t, x)},
-n_{name} AS (SELECT v.{subject} AS subject, CASE WHEN n.rows_n = 1 THEN n.lo END AS row_id FROM {x} v JOIN near_{name} n ON {_same("v", "n", q)})""")
-    return f"""
-WITH {", ".join(views)},
-{_linked(t)}
-"""
+        frames[f"near_{name}"] = _nearest_labels(t, x, numeric, nominal, row_id, row_id)
+        views.append(f"umbra_n_{name} AS (SELECT v.{subject} AS umbra_subject, CASE WHEN n.umbra_rows = 1 THEN n.umbra_lo END AS umbra_row FROM {{{name}}} v JOIN {{near_{name}}} n ON {_same('v', 'n', q)})")
+    return over(f"WITH {', '.join(views)},\n{_linked('{t}', '{a}', '{b}', subject)}", t, a=a, b=b, **frames)
 
 
 def against_control(attack: str, control: str) -> str:
     """An attack's rate against that of the same attack on a control that holds none of its subjects; a
     risk if it is higher."""
     return f"SELECT a.rate AS rate, c.rate AS control_rate, round(CAST(a.rate - c.rate AS DOUBLE), 9) AS excess, a.rate > c.rate AS risk FROM ({attack}) a CROSS JOIN ({control}) c"
+
+
+def against_control_rows(attack: DataFrame, control: DataFrame) -> DataFrame:
+    """against_control() of an attack's row and that on a control."""
+    return over(against_control("SELECT * FROM {t}", "SELECT * FROM {control}"), attack, control=control)

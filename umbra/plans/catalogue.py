@@ -97,18 +97,57 @@ _sql("singling_out", attacks.singling_out(LINE[:5], "id"), "(SELECT l_orderkey *
 _sql("singling_out_small", attacks.singling_out(QIS, "c_custkey", 1), "customer")
 _EVEN, _ODD = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", "(SELECT * FROM customer WHERE c_custkey % 2 = 1)"
 _sql("singling_out_control", attacks.against_control(attacks.singling_out(QIS, "c_custkey", t="{t}"), attacks.singling_out(QIS, "c_custkey", t="{control}")), _EVEN, control=_ODD)
-# the nearest by neighbours in sorted order, in SQL by comparing all with all
+# the nearest by space partition, in SQL by comparing all with all
 _NN = (["c_acctbal"], ["c_nationkey"], "c_mktsegment")
-_sql("attr_inference_nn", attacks.infer_nearest(*_NN), _EVEN, sql=attacks.infer_nearest_plain(*_NN), evaluation=_ODD)
-_sql("attr_inference_groups", attacks.inference_groups(*_NN, "c_nationkey"), _EVEN, sql=attacks.inference_groups(*_NN, "c_nationkey", plain=True), evaluation=_ODD)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "customer")
+    return d.where("c_custkey % 2 = 0"), d.where("c_custkey % 2 = 1")
+
+
+def attr_inference_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attacks.infer_nearest(*_halves(spark, sf_dir), *_NN)
+
+
+def attr_inference_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attacks.inference_groups(*_halves(spark, sf_dir), *_NN, "c_nationkey")
+
+
+#: Parts by eight columns, two of them numbers.
+_PARTS = "(SELECT p_partkey, p_size, p_retailprice, p_brand, p_type, p_partkey % 7 AS a, p_partkey % 11 AS b, substr(p_name, 1, 1) AS c, substr(p_type, 1, 3) AS d, p_brand || p_size AS label FROM part WHERE p_partkey % 2 = {})"
+_WIDE = (["p_size", "p_retailprice"], ["p_brand", "p_type", "a", "b", "c", "d"], "label")
+
+
+def attr_inference_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = [over(f"SELECT * FROM {_spark_names(_PARTS.format(i), {'part'})}", table(spark, sf_dir, "part"), part=table(spark, sf_dir, "part")) for i in (0, 1)]
+    return attacks.infer_nearest(*halves, *_WIDE)
+
+
+QUERIES |= {f.__name__: f for f in (attr_inference_nn, attr_inference_groups, attr_inference_wide)}
+ORACLE_SQL["attr_inference_nn"] = attacks.infer_nearest_plain(*_NN, t=_EVEN, evaluation=_ODD)
+ORACLE_SQL["attr_inference_groups"] = attacks.inference_groups_plain(*_NN, "c_nationkey", t=_EVEN, evaluation=_ODD)
+ORACLE_SQL["attr_inference_wide"] = attacks.infer_nearest_plain(*_WIDE, t=_PARTS.format(0), evaluation=_PARTS.format(1))
 _BANDED = "(SELECT c_nationkey, floor(c_acctbal / 100) AS band, c_mktsegment FROM customer WHERE c_custkey % 2 = {})"
 _sql("attr_inference_exact", attacks.infer_exact(["c_nationkey", "band"], "c_mktsegment"), _BANDED.format(0), evaluation=_BANDED.format(1))
 # every customer in both views, and released: all of them, or the even ones against the odd ones as control
 _VIEWS = ("c_custkey", ["c_acctbal"], ["c_nationkey"], [], ["c_mktsegment", "c_nationkey"], "c_custkey")
+
+
+def linkability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "customer")
+    return attacks.linkability(d, d, d, *_VIEWS)
+
+
+def linkability_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "customer")
+    return attacks.against_control_rows(*[attacks.linkability(x, d, d, *_VIEWS) for x in _halves(spark, sf_dir)])
+
+
+QUERIES |= {"linkability": linkability, "linkability_all": linkability, "linkability_control": linkability_control}
 for _name in ("linkability", "linkability_all"):
-    _sql(_name, attacks.linkability(*_VIEWS), "customer", sql=attacks.linkability_plain(*_VIEWS), a="customer", b="customer")
-_sql("linkability_control", attacks.against_control(attacks.linkability(*_VIEWS), attacks.linkability(*_VIEWS, t="{control}")), _EVEN,
-     sql=attacks.against_control(attacks.linkability_plain(*_VIEWS), attacks.linkability_plain(*_VIEWS, t="{control}")), control=_ODD, a="customer", b="customer")
+    ORACLE_SQL[_name] = attacks.linkability_plain(*_VIEWS, t="customer", a="customer", b="customer")
+ORACLE_SQL["linkability_control"] = attacks.against_control(*[attacks.linkability_plain(*_VIEWS, t=x, a="customer", b="customer") for x in (_EVEN, _ODD)])
 # graph: every user a subject or an identity
 _SUBJECTS, _IDENTITIES = (f"(SELECT user_id AS id, event_type AS type, cast(floor(value) AS BIGINT) AS value FROM events WHERE coalesce(user_id % 2, 0) {x} 0)" for x in ("=", "<>"))
 for _end in ("", "_all"):
