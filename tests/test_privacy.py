@@ -35,9 +35,21 @@ def test_advanced(spark):
 
 def test_numeric_distance(spark):
     d = frame(spark, "g income", [("a", "0"), ("a", "0"), ("b", "10"), ("b", "10")])
-    assert one(spark, metrics.numeric_emd(["g"], "income"), d)["numeric_emd"] == 0.5
+    assert metrics.numeric_emd(d, ["g"], "income") == 0.5
     bad = frame(spark, "g income", [("a", "0"), ("b", "x")])
-    assert one(spark, metrics.numeric_emd(["g"], "income"), bad)["numeric_emd"] is None
+    assert metrics.numeric_emd(bad, ["g"], "income") is None and metrics.numeric_emd(d.limit(0), ["g"], "income") is None
+    assert metrics.numeric_emd(d.where("income = '10'"), ["g"], "income") == 0.0
+
+
+def test_numeric_distance_equals_plain(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(metrics, "STRETCHES", 7)
+    rng = random.Random(3)
+    for values, classes in ((5, 4), (60, 30), (400, 3)):
+        rows = [(rng.choice([None, *range(classes)]), rng.randrange(2), rng.choice([1.0, rng.randrange(values) ** 2 / 7])) for _ in range(500)]
+        d = spark.createDataFrame(rows, "v int, stretch int, n double")
+        assert metrics.numeric_emd(d, ["v", "stretch"], "n") == pytest.approx(one(spark, metrics.numeric_emd_plain(["v", "stretch"], "n"), d)["numeric_emd"], abs=2e-9)
 
 
 def test_conditioned(spark):

@@ -162,7 +162,7 @@ def _missed(df: DataFrame, qis: Sequence[str], sensitive: str, bound: str, limit
     if bound == "beta":
         return over(metrics.beta_excess(qis, sensitive, limit), df).first()[0] > 1e-9
     if bound == "numeric_emd":
-        found = over(metrics.numeric_emd(qis, sensitive), df).first()[0]
+        found = metrics.numeric_emd(df, qis, sensitive)
         return found is None or found > limit + 1e-9
     c, least = limit
     if least < 2:

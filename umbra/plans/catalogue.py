@@ -74,8 +74,21 @@ for _name, _columns in {
     _sql(_name, metrics.only(_columns, _M), "customer")
 _sql("recursive_cl", metrics.recursive_cl(QIS[:1], SENSITIVE), "customer")
 _plain = metrics.plain_number
-_sql("t_closeness_emd", metrics.numeric_emd(["c_mktsegment"], "c_acctbal"), "customer", sql=metrics.numeric_emd(["c_mktsegment"], "c_acctbal", as_number=_plain))
-_sql("t_closeness_emd_events", metrics.numeric_emd(["event_type"], "value"), "(SELECT event_type, floor(value) AS value FROM events)", sql=metrics.numeric_emd(["event_type"], "value", as_number=_plain))
+
+
+def _emd(name: str, relation: str, qis: list[str], sensitive: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = relation.split(" FROM ")[-1].rstrip(")")
+        df = over(f"SELECT * FROM {_spark_names(relation, {source})}", table(spark, sf_dir, source), **{source: table(spark, sf_dir, source)})
+        return spark.createDataFrame([(metrics.numeric_emd(df, qis, sensitive),)], "numeric_emd double")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = metrics.numeric_emd_plain(qis, sensitive, relation)
+
+
+_emd("t_closeness_emd", "customer", ["c_mktsegment"], "c_acctbal")
+_emd("t_closeness_emd_events", "(SELECT event_type, floor(value) AS value FROM events)", ["event_type"], "value")
+_emd("t_closeness_emd_lineitem", "lineitem", ["l_suppkey", "l_linestatus"], "l_extendedprice")
 _sql("qi_numeric_stats", metrics.column_stats("c_acctbal") + " UNION ALL " + metrics.column_stats("c_nationkey"), "customer",
      sql=metrics.column_stats("c_acctbal", as_number=_plain) + " UNION ALL " + metrics.column_stats("c_nationkey", as_number=_plain))
 _ORDERS = "(SELECT c_nationkey, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)"
