@@ -43,12 +43,40 @@ def test_lines(spark, odd):
     assert got[1]["text"] == docs[0][1] and got[2]["text"] == "own line of the second one is this"
     assert got[3]["text"] and got[4]["text"] == "" and got[4]["umbra_dropped"] == 1
     assert got[7]["text"] and got[8]["text"] == got[9]["text"] == ""
-    assert got[5]["text"] == docs[4][1] and got[6]["text"] == "short one"
+    assert got[5]["text"] == docs[4][1] and got[6]["text"] == ""
     rows = linededup.clean(odd).collect()
     assert len(rows) == 10 and {r["doc_id"]: r["text"] for r in rows}[0] is None and set(odd.columns) <= set(rows[0].asDict())
     assert linededup.clean(none(odd)).count() == 0
 
 
+def test_templates_of_a_leaf(spark):
+    """Several templates a leaf, each dropped line like the kept one, against a plain version; the same where leaves are crowded by equal ends."""
+    rng = random.Random(15)
+    a = ["one two three four", "mm nn oo pp"]
+    docs = [(i, "\n".join(" ".join([rng.choice(a), *(rng.choice("xyz" if rng.random() < 0.8 else "klmn789") for _ in range(rng.choice([1, 4, 6])))]) for _ in range(6)) + "\nshort\n日本語の行7") for i in range(80)]
+    docs += [(80, "日本語の行7\n日本語の行8\n  short \n \t \n")]
+    rows = [(i, n, x.strip(" ")) for i, t in docs for n, x in enumerate(t.split("\n")) if x.strip(" \t")]
+    mask = lambda x: x if x.count(" ") < 4 else " ".join("<*>" if any(c.isdigit() for c in w) else w for w in x.split(" "))
+    first: dict = {}
+    for i, _, x in rows:
+        first[mask(x)] = min(i, first.get(mask(x), i))
+    leader, leads = {}, []
+    for x in sorted(first, key=lambda x: (first[x], x)):
+        w = x.split(" ")
+        same = [y for y in leads if len(w) > 4 and len(y.split(" ")) == len(w) and y.split(" ")[:4] == w[:4] and sum(p == q for p, q in zip(w, y.split(" "))) >= 0.7 * len(w)]
+        leader[x] = same[0] if same else x
+        leads += [] if same else [x]
+    assert len({leader[x] for x in leader if x.startswith("one two") and x.count(" ") == 9}) > 2
+    want = {(i, n) for i, n, x in rows if i > first[leader[mask(x)]]}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], n) for r in linededup.find(d).collect() for n in r["drop"]}
+    assert got == want and len(want) > 300
+    # crowded leaves: lines that agree in eight leading tokens still meet
+    d = spark.createDataFrame([(i, f"a b c d e f g h {'xy'[i % 2]}{i} k l m") for i in range(30)] + [(i, "a b c d " + " ".join(rng.choice("pqrst") for _ in range(8))) for i in range(30, 60)], "doc_id long, text string")
+    drop = {r["doc_id"] for r in linededup.find(d, crowd=9).collect()}
+    assert set(range(1, 30)) <= drop
+
+
 # 2
 def test_bpe(spark, odd):
     import tiktoken

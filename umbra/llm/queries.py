@@ -18,28 +18,27 @@ def op1_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rows (doc_id, n_lines, n_dropped, text) of the line dedup, from a relation {docs} of doc_id and text.
-LINES_SQL = """
+LINES_SQL = r"""
 l AS (SELECT doc_id, i, line, trim(line) AS t, len(string_split(trim(line), ' ')) AS tokens
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs})),
-m AS (SELECT *, array_to_string(list_transform(string_split(t, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS masked FROM l WHERE tokens >= 5),
+m AS (SELECT *, CASE WHEN tokens < 5 THEN t ELSE array_to_string(list_transform(string_split(t, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') END AS masked
+      FROM l WHERE tokens >= 5 OR regexp_matches(line, '[^ \t\x0B\f\r]')),
 k AS (SELECT *, [CAST(tokens AS VARCHAR)] || string_split(masked, ' ')[1:4] AS leaf FROM m),
 vl AS (SELECT leaf FROM k GROUP BY leaf HAVING min(doc_id) < max(doc_id) AND min(masked) < max(masked)),
-dl AS (SELECT leaf, masked, count(*) AS n FROM k WHERE leaf IN (SELECT leaf FROM vl) GROUP BY ALL),
-tok AS (SELECT leaf, masked, n, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) AS pos FROM dl),
-votes AS (SELECT leaf, pos, token, sum(n) AS n FROM tok GROUP BY ALL),
-best AS (SELECT leaf, pos, max({{'n': n, 'token': token}}).token AS token FROM votes GROUP BY leaf, pos),
-agree AS (SELECT tok.leaf, tok.masked, count(*) AS tokens, count(*) FILTER (tok.token = best.token) AS same
-          FROM tok JOIN best ON tok.leaf = best.leaf AND tok.pos = best.pos GROUP BY tok.leaf, tok.masked),
-named AS (SELECT k.doc_id, k.i, CASE WHEN a.same >= 0.7 * a.tokens THEN k.leaf ELSE [k.masked] END AS template,
-                 coalesce(a.same >= 0.7 * a.tokens, false) AS kind
-          FROM k LEFT JOIN agree a ON k.leaf = a.leaf AND k.masked = a.masked),
-firsts AS (SELECT template, kind, min(doc_id) AS first FROM named GROUP BY template, kind HAVING min(doc_id) < max(doc_id)),
-gone AS (SELECT n.doc_id, n.i FROM named n JOIN firsts f ON n.template = f.template AND n.kind = f.kind WHERE n.doc_id > f.first),
+dl AS (SELECT leaf, masked, min(doc_id) AS first FROM k WHERE leaf IN (SELECT leaf FROM vl) GROUP BY ALL),
+led AS (SELECT leaf, masked, first, CAST(NULL AS VARCHAR) AS leader FROM dl
+        UNION ALL
+        SELECT x.leaf, x.masked, x.first,
+               CASE WHEN len(list_filter(list_zip(string_split(x.masked, ' '), string_split(s.lead.masked, ' ')), lambda p: p[1] = p[2])) >= 0.7 * len(string_split(x.masked, ' ')) THEN s.lead.masked END
+        FROM led x JOIN (SELECT leaf, min({{'first': first, 'masked': masked}}) AS lead FROM led WHERE leader IS NULL GROUP BY leaf) s ON x.leaf = s.leaf WHERE x.leader IS NULL),
+named AS (SELECT k.doc_id, k.i, coalesce(a.leader, k.masked) AS template FROM k LEFT JOIN (SELECT * FROM led WHERE leader IS NOT NULL) a ON k.leaf = a.leaf AND k.masked = a.masked),
+firsts AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT n.doc_id, n.i FROM named n JOIN firsts f ON n.template = f.template WHERE n.doc_id > f.first),
 lines_left AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
                       coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
                FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 """
-OP1_SQL = "WITH " + LINES_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM lines_left"
+OP1_SQL = "WITH RECURSIVE " + LINES_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM lines_left"
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
