@@ -24,7 +24,8 @@ from .errors import Refused, reference
 from .operators import graph
 from .operators import policy as policies
 from .functions.pseudonyms import LOOKALIKES
-from .sources.formats import ADAPTERS, Matcher, replaced_number, sqlite_tables, strings
+from .sources import sqlite
+from .sources.formats import ADAPTERS, Matcher, replaced_number, strings
 
 
 def preflight(source: Path, target: Path, m: Matcher) -> list[str]:
@@ -82,7 +83,7 @@ def sqlite_differs(source: bytes, out: bytes, m: Matcher) -> bool:
         a.deserialize(source)
         b.deserialize(out)
         same = ["SELECT type, name, tbl_name, sql FROM sqlite_master ORDER BY type, name, tbl_name"]
-        tables = [t for t, _ in sqlite_tables(a)]
+        tables = [t for t, _ in sqlite.gated(a)]
         same += [f"PRAGMA {p}({quoted(t)})" for t in tables for p in ("table_xinfo", "foreign_key_list")]
         if any(a.execute(x).fetchall() != b.execute(x).fetchall() for x in same):
             return True
