@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms
-from ..operators import attacks, boxes, costs, dp, graph, matching, metrics, policy, population, residual, transforms
+from ..operators import attacks, boxes, costs, discovery, dp, graph, locations, matching, metrics, policy, population, residual, transforms
 from .sql import over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,6 +330,42 @@ SELECT page, n_nationkey AS rule_id, CAST(first AS INT) AS first, CAST(last AS I
 }
 
 
+# values of JSON by location, and what three kinds of changes do to them
+_CHANGED = "CASE event_id % 5 WHEN 0 THEN replace(props, '\"k\"', '\"m\"') WHEN 1 THEN regexp_replace(props, '([0-9]+)', '\"{}1\"') WHEN 2 THEN regexp_replace(props, '[0-9]+', '7') ELSE props END"
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locations.values(table(spark, sf_dir, "events"), ["event_id"], "props")
+
+
+def json_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "events")
+    return locations.differences(d, d.withColumn("props", F.expr(_CHANGED.format("$"))), ["event_id"], "props")
+
+
+def alias_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as suppliers' notes may misspell them: whole, without a letter, or with two letters swapped."""
+    values = _notes_nations(spark, sf_dir).select(F.expr("CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN concat(left(n_name, p), substr(n_name, p + 2)) ELSE concat(left(n_name, p), substr(n_name, p + 2, 1), substr(n_name, p + 1, 1), substr(n_name, p + 3)) END").alias("value"))
+    return discovery.propose(values, _policy(spark, sf_dir, False), 85, 3)
+
+
+def _notes_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
+    return d.withColumn("p", F.expr("cast(s_suppkey % char_length(n_name) as int)"))
+
+
+QUERIES |= {f.__name__: f for f in (json_values, json_differences, alias_proposals)}
+_EVENTS_JSON = "(SELECT event_id, p.key AS k, json_type(p.value) AS t, CAST(p.value AS VARCHAR) AS v FROM (SELECT event_id, unnest(json_keys(j)) AS key, j FROM (SELECT event_id, CAST({} AS JSON) AS j FROM events)) q, LATERAL (SELECT q.key AS key, json_extract(q.j, '$.' || q.key) AS value) p)"
+_KIND = "CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'DOUBLE' THEN 'real' ELSE lower(t) END"
+_ROWS = f"(SELECT event_id, '/' || k AS location, {_KIND} AS kind, trim(v, '\"') AS value FROM {_EVENTS_JSON})"
+ORACLE_SQL["json_values"] = f"SELECT event_id, '' AS location, 'object' AS kind, NULL AS value FROM events UNION ALL SELECT event_id, location, kind, value FROM {_ROWS.format('props')}"
+ORACLE_SQL["json_differences"] = f"""
+SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.location, b.location) AS location,
+       CASE WHEN b.kind IS NULL THEN 'missing' WHEN a.kind IS NULL THEN 'extra' WHEN a.kind <> b.kind THEN 'type' ELSE 'value' END AS code, a.kind AS kind_before, b.kind AS kind_after
+FROM {_ROWS.format('props')} a FULL JOIN {_ROWS.format(_CHANGED.format(chr(92)))} b ON a.event_id = b.event_id AND a.location = b.location
+WHERE a.kind IS DISTINCT FROM b.kind OR a.value IS DISTINCT FROM b.value"""
+
+
 # inventory of documents as files
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.format_string("corpus/%08d.txt", "doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
