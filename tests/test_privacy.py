@@ -198,3 +198,13 @@ def test_queries_of_all_rows(spark, tmp_path):
     assert {(r["subject"], r["identity"]): r["shared"] for r in QUERIES["graph_shared_clues_all"](spark, str(tmp_path)).collect()} == pairs
     best = {s: max((n for (x, _), n in pairs.items() if x == s), default=0) for s in range(0, 13, 2)}
     assert {r["subject"]: r["best_shared"] for r in QUERIES["graph_verdicts_all"](spark, str(tmp_path)).collect()} == best
+
+
+def test_histogram_of_large_cells(spark, monkeypatch):
+    """A cell's rows come in stretches: counts, order of cells and empty cells are kept, no array holds a cell."""
+    monkeypatch.setattr(dp, "ROWS", 1000)
+    d = frame(spark, "a b", [("x", "1")] * 3 + [("y", "2")])
+    draws = iter([25_000, 0, -5, 0, 12_345, 7])
+    got = dp.histogram(d, {"a": ["x", "y"], "b": ["1", "2", "3"]}, 1, draw=lambda: next(draws))
+    assert {(r["a"], r["b"]): r["count"] for r in got.groupBy("a", "b").count().collect()} == {("x", "1"): 25_003, ("y", "2"): 12_346, ("y", "3"): 7}
+    assert dp.histogram(d.limit(0), {"a": ["x"]}, 1, draw=lambda: -1).count() == 0

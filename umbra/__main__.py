@@ -15,7 +15,7 @@ from . import release
 from .errors import Refused
 from .operators import attacks, dp, graph, metrics, policy, population, transforms
 from .plans.sql import over
-from .sources.tables import read_csv
+from .sources.tables import committed, read_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -92,14 +92,17 @@ def _numbers(t: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def _written(out: DataFrame, t: DataFrame, a: argparse.Namespace) -> tuple[dict, bool]:
-    """Writes a transformed table, reads it back and states its metrics."""
-    out.write.mode("errorifexists").csv(a.output, header=True)
-    kept = out.limit(1).count() and read_csv(t.sparkSession, a.output)
-    receipt = {"rows": t.count(), "kept": kept.count() if kept else 0}
-    if kept and getattr(a, "sensitive", None):
-        receipt |= over(metrics.metrics(a.qi, a.sensitive), kept).first().asDict()
-        if receipt["k_anonymity"] < a.k:
-            raise transforms.PrivacyViolation("classes below k remain")
+    """Writes a transformed table beside its place, reads it back and states its metrics; it gets its place if its classes hold."""
+    receipt = {"rows": t.count()}
+
+    def checked(kept: DataFrame | None) -> None:
+        receipt["kept"] = kept.count() if kept is not None else 0
+        if kept is not None and getattr(a, "sensitive", None):
+            receipt.update(over(metrics.metrics(a.qi, a.sensitive), kept).first().asDict())
+            if receipt["k_anonymity"] < a.k:
+                raise transforms.PrivacyViolation("classes below k remain")
+
+    committed(out, a.output, checked)
     return receipt, False
 
 
@@ -119,7 +122,7 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
     if a.command == "preflight":
         return {"files": release.counts_by_type(a.input)}, False
     if a.command == "verify":
-        wrong = release.reverified(a.input, a.output)
+        wrong = release.reverified(spark, a.input, a.output)
         if wrong:
             raise Refused(wrong[0])
         return {"status": "verified"}, False
@@ -127,7 +130,7 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
         p = policy.load(a.policy)
         return {"rules": len(p.rules), "identities": len(p.replacements), "protected": len(p.protected)}, False
     if a.command == "risk-audit":
-        most = release.most_frequent_token(a.output)
+        most = release.most_frequent_token(spark, a.output)
         return {"max_pseudonym_frequency": most, "verdict": "linkage_risk" if most >= a.min_frequency else "clear"}, most >= a.min_frequency
     if a.command == "contextual-graph-risk":
         found = graph.summary(graph.attack(spark, a.input, a.min_shared_clues))
@@ -146,8 +149,9 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
         domains = _loaded(a.domain)
         _columns(t, *domains)
         rows = _budgeted(a, a.epsilon, lambda: dp.histogram(t, domains, a.epsilon))
-        rows.write.mode("errorifexists").csv(a.output, header=True)
-        return {"dimensions": list(domains), "epsilon": a.epsilon, "rows": rows.count()}, False
+        counted = {}
+        committed(rows, a.output, lambda kept: counted.update(rows=0 if kept is None else kept.count()))
+        return {"dimensions": list(domains), "epsilon": a.epsilon, **counted}, False
     if a.command == "two-view-linkability":
         va, vb = read_csv(spark, a.view_a), read_csv(spark, a.view_b)
         released = [t] + ([read_csv(spark, a.control)] if a.control else [])

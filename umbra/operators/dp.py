@@ -8,12 +8,16 @@ import json
 import os
 import secrets
 import stat
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from decimal import Decimal
 from fractions import Fraction
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 LEAST, MOST = Fraction(7, 10), Fraction(100)
 
@@ -56,23 +60,55 @@ def counts(df: DataFrame, queries: Sequence[Mapping], maximum_epsilon, draw: Cal
     return [max(0, n + draw()) for n in row]
 
 
+#: Cells of a histogram, whose noise is drawn one by one on the driver; synthetic rows that a task makes at a time.
+CELLS, ROWS = 1_000_000, 65_536
+
+
 def histogram(df: DataFrame, domains: Mapping[str, Sequence[str]], epsilon, draw: Callable[[], int] = noise) -> DataFrame:
-    """Synthetic rows: each cell of the domains' product as often as its noisy count says."""
+    """Synthetic rows: each cell of the domains' product as often as its noisy count says.
+
+    Cells get intervals of row numbers by the running sum of their noisy counts; a task makes the rows of its stretch of numbers from
+    the cells whose intervals meet it, so neither a cell's count nor the sum bounds what is possible.  The cells are the domains' product,
+    of which the driver draws noise for each one, empty ones too: CELLS at most."""
     checked_epsilon(epsilon)
     spark, names = df.sparkSession, list(domains)
+    sizes = [len(domains[c]) for c in names]
+    if prod(sizes) > CELLS:
+        raise ValueError("the domains have too many cells")
+    place = F.lit(0)
     inside = F.lit(True)
-    for c, values in domains.items():
-        inside = inside & F.col(f"`{c}`").cast("string").isin([str(v) for v in values])
-    if not df.where(~F.coalesce(inside, F.lit(False))).isEmpty():
+    for c, n in zip(names, sizes):
+        at = F.array_position(F.array(*[F.lit(str(v)) for v in domains[c]]), F.col(f"`{c}`").cast("string"))
+        inside = inside & F.coalesce(at > 0, F.lit(False))
+        place = place * n + (at - 1)
+    if not df.where(~inside).isEmpty():
         raise ValueError("a value lies outside its domain")
-    cells = None
-    for i, (c, values) in enumerate(domains.items()):
-        one = spark.createDataFrame([(j, str(v)) for j, v in enumerate(values)], f"`o{i}` int, `{c}` string")
-        cells = one if cells is None else cells.crossJoin(one)
-    seen = df.groupBy(*[F.col(c).cast("string").alias(c) for c in names]).agg(F.count("*").alias("n"))
-    rows = cells.join(seen, names, "left").orderBy(*[f"o{i}" for i in range(len(names))]).select(*names, F.coalesce("n", F.lit(0)).alias("n")).collect()
-    noisy = spark.createDataFrame([(*r[:-1], max(0, r["n"] + draw())) for r in rows], ", ".join(f"`{c}` string" for c in names) + ", n long")
-    return noisy.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select(*names)
+    counted = {r[0]: r[1] for r in df.groupBy(place.cast("long").alias("cell")).agg(F.count("*")).collect()}
+    ends, total = [], 0
+    for cell in range(prod(sizes)):
+        total += max(0, counted.get(cell, 0) + draw())
+        ends.append(total)
+    schema = StructType([StructField(c, StringType()) for c in names])
+    if not total:
+        return spark.createDataFrame([], schema)
+    # a row for each stretch of numbers, however many rows a cell has
+    stretches = spark.range(-(-total // ROWS)).withColumnRenamed("id", "stretch")
+    shared = spark.sparkContext.broadcast(np.array(ends))  # CELLS numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        books = [np.array([str(v) for v in domains[c]], object) for c in names]
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                number = np.arange(k * ROWS, min(total, (k + 1) * ROWS))
+                cell = np.searchsorted(last, number, side="right")
+                parts = []
+                for book in reversed(books):
+                    cell, at = np.divmod(cell, len(book))
+                    parts.append(pa.array(book[at], pa.string()))
+                yield pa.RecordBatch.from_arrays(parts[::-1], names=names)
+
+    return stretches.mapInArrow(run, schema)
 
 
 def spend(ledger: str, identity: str, maximum, epsilon, produce: Callable[[], object]) -> object:

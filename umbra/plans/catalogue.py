@@ -106,7 +106,7 @@ _sql("top_bottom_code", transforms.top_bottom_code({"c_acctbal": (0.0, 5000.0)},
 _MICRO = ("c_acctbal", ["c_custkey"], 5, (-500.0, 9000.0), ["c_custkey"])
 _sql("microaggregate", transforms.microaggregate(*_MICRO), "customer", sql=transforms.microaggregate_plain(*_MICRO))
 # attacks
-_sql("singling_out", attacks.singling_out(LINE[:5], "id"), "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount FROM lineitem)")
+_sql("singling_out", attacks.singling_out(LINE, "id"), "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem)")
 _sql("singling_out_small", attacks.singling_out(QIS, "c_custkey", 1), "customer")
 _EVEN, _ODD = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)", "(SELECT * FROM customer WHERE c_custkey % 2 = 1)"
 _sql("singling_out_control", attacks.against_control(attacks.singling_out(QIS, "c_custkey", t="{t}"), attacks.singling_out(QIS, "c_custkey", t="{control}")), _EVEN, control=_ODD)

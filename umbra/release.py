@@ -1,7 +1,12 @@
 """Releases: preflight, transform, verify, publish.
 
-Files are rewritten by tasks, whose results are rows, so a retried task changes nothing; tasks verify what
-was staged, file by file; publication is a rename, with the report written last.
+Tasks write the rewritten files to a private stage, each under a name of its own attempt and then by an atomic rename, so
+that a retried or doubled task leaves the same file; tasks also verify and seal what was staged, file by file.  The driver sees
+paths, digests and counts, in sorted order as a stream.  Source and target must lie where driver and executors can open them.
+
+A target holds `.release-<run>` folders with corpus and report, and `current`, a link to one of them; `corpus` and `report.json` lead
+through it.  Publication is one rename of that link: whenever a run is killed, the old release or the new one is whole.
+Stages and releases that nothing points to are cleared by the next run.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import re
 import shutil
 import sqlite3
 import tempfile
+import time
+import uuid
 from collections import Counter
 from itertools import zip_longest
 from pathlib import Path
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 from .errors import Refused, reference
 from .operators import graph
 from .operators import policy as policies
-from .functions.pseudonyms import LOOKALIKES
+from .functions.pseudonyms import LOOKALIKES, PREFIX
+from .plans.held import held
 from .sources import sqlite
 from .sources.formats import ADAPTERS, Matcher, replaced_number, strings
 
@@ -53,10 +61,12 @@ def manifest(digests: dict[str, str]) -> str:
     return hashlib.sha256("".join(f"{p}\0{d}\0" for p, d in sorted(digests.items())).encode()).hexdigest()
 
 
-def transformed(spark: SparkSession, corpus: Path, policy: policies.Policy):
-    """(path, content, records, replacements, code) of all files below corpus; code: why a file was refused."""
-    root = corpus.resolve().as_uri()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+def transformed(spark: SparkSession, corpus: Path, policy: policies.Policy, stage: Path | None = None) -> DataFrame:
+    """(path, records, replacements, read, written, source_sha256, sha256, code, content) of all files below corpus; code: why a
+    file was refused.  With a stage, files are written there, and content is null."""
+    root = corpus.resolve()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.as_uri()).select("path", "content")
+    to = str(stage) if stage else None
 
     def run(batches):
         import pandas as pd
@@ -65,13 +75,43 @@ def transformed(spark: SparkSession, corpus: Path, policy: policies.Policy):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
+                data = bytes(content)
+                name = path.removeprefix("file://").removeprefix("file:").removeprefix(str(root) + "/")
                 try:
-                    rows.append((path, *ADAPTERS[os.path.splitext(path)[1]](bytes(content), m), None))
+                    new, records, n = ADAPTERS[os.path.splitext(path)[1]](data, m)
                 except Refused as e:
-                    rows.append((path, b"", 0, 0, e.code))
-            yield pd.DataFrame(rows, columns=["path", "content", "records", "replacements", "code"])
+                    rows.append((name, 0, 0, len(data), 0, "", "", e.code, None))
+                    continue
+                if to:
+                    _placed(os.path.join(to, name), new)
+                rows.append((name, records, n, len(data), len(new), hashlib.sha256(data).hexdigest(), hashlib.sha256(new).hexdigest(), None, None if to else new))
+            yield pd.DataFrame(rows, columns=["path", "records", "replacements", "read", "written", "source_sha256", "sha256", "code", "content"])
+
+    return files.mapInPandas(run, "path string, records long, replacements long, read long, written long, source_sha256 string, sha256 string, code string, content binary")
+
+
+def _placed(path: str, data: bytes) -> None:
+    """Writes a file under a name of this attempt's own and renames it, so it is whole or absent."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    handle, attempt = tempfile.mkstemp(prefix=".attempt-", dir=os.path.dirname(path))
+    with os.fdopen(handle, "wb") as f:
+        f.write(data)
+    os.replace(attempt, path)
+
+
+def _streamed(rows: DataFrame, digest: str) -> str:
+    """manifest() of (path, `digest`) rows, as a stream in sorted order."""
+    whole = hashlib.sha256()
+    for path, d in rows.select("path", digest).orderBy("path").toLocalIterator():
+        whole.update(f"{path}\0{d}\0".encode())
+    return whole.hexdigest()
 
-    return files.mapInPandas(run, "path string, content binary, records long, replacements long, code string")
+
+def digests(spark: SparkSession, root: Path) -> DataFrame:
+    """(path, sha256) of the files below a folder, as they are now."""
+    at = root.resolve()
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at.as_uri())
+    return d.select(F.substring("path", len(f"file:{at}/") + 1, 1 << 20).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def sqlite_differs(source: bytes, out: bytes, m: Matcher) -> bool:
@@ -146,10 +186,7 @@ def verification(spark: SparkSession, corpus: Path, stage: Path, policy: policie
     Kinds are code, given and seen (tokens that the sources call for, that the copies hold; at most as many as
     the policy has) and look (what looks like a pseudonym in the copies, n times)."""
 
-    def files(root: Path, content: str) -> DataFrame:
-        at = root.resolve()
-        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at.as_uri())
-        return d.select(F.substring("path", len(f"file:{at}/") + 1, 1 << 20).alias("path"), F.col("content").alias(content))
+    root, staged = str(corpus.resolve()), str(stage.resolve())
 
     def run(batches):
         import pandas as pd
@@ -157,19 +194,23 @@ def verification(spark: SparkSession, corpus: Path, stage: Path, policy: policie
         m = Matcher(policy)
         for pdf in batches:
             found: Counter = Counter()
-            for path, source, out in zip(pdf["path"], pdf["source"], pdf["out"]):
+            for path, source in zip(pdf["path"], pdf["content"]):
                 suffix = os.path.splitext(path)[1]
-                if source is None or out is None:
+                name = path.removeprefix("file://").removeprefix("file:").removeprefix(root + "/")
+                try:
+                    with open(os.path.join(staged, name), "rb") as f:
+                        out = f.read()
+                except FileNotFoundError:
                     found["code", "file-set"] += 1
                     continue
-                for kind, values in zip(("code", "given", "seen"), _judged(suffix, bytes(source), bytes(out), policy, m)):
+                for kind, values in zip(("code", "given", "seen"), _judged(suffix, bytes(source), out, policy, m)):
                     found.update((kind, v) for v in values)
-                for x in strings(bytes(out), suffix):
+                for x in strings(out, suffix):
                     found.update(("look", t) for p in LOOKALIKES for t in re.findall(p, x))
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "value", "n"])
 
-    both = files(corpus, "source").join(files(stage, "out"), "path", "full")
-    return both.mapInPandas(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(corpus.resolve().as_uri()).select("path", "content")
+    return files.mapInPandas(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def verdict(facts: DataFrame) -> tuple[list[str], int]:
@@ -192,60 +233,106 @@ def token_frequency(texts: list[str]) -> int:
     return max(counts.values(), default=0)
 
 
+#: What a report doesn't claim.
+NOT_CLAIMED = ("legal anonymity", "absence of values that the policy doesn't name", "resistance to background knowledge", "secrecy of the pseudonyms' derivation")
+
+
+def _cleared(to: Path) -> None:
+    """Removes stages and releases of a target that nothing points to."""
+    live = os.path.basename(os.readlink(to / "current")) if (to / "current").is_symlink() else None
+    for p in to.iterdir():
+        if p.name.startswith((".stage-", ".release-", ".next-")) and p.name != live:
+            if p.is_dir() and not p.is_symlink():
+                shutil.rmtree(p, ignore_errors=True)
+            else:
+                p.unlink(missing_ok=True)
+
+
+def _durable(folder: Path) -> None:
+    handle = os.open(folder, os.O_RDONLY)
+    try:
+        os.fsync(handle)
+    finally:
+        os.close(handle)
+
+
+def published(stage: Path, to: Path, report: dict) -> None:
+    """Makes a verified stage (with corpus/) the release of the target: its report is written into it, it gets its name, and the link
+    `current` is renamed over the old one, which is all that a reader can see."""
+    with open(stage / "report.json", "w") as f:
+        json.dump(report, f, indent=2)
+        f.flush()
+        os.fsync(f.fileno())
+    _durable(stage)
+    release = to / f".release-{report['run_id']}"
+    os.rename(stage, release)
+    for name in ("corpus", "report.json"):
+        if not (to / name).is_symlink():
+            if (to / name).is_dir():  # a target of before there were links
+                os.rename(to / name, to / f".stage-old-{report['run_id']}")
+            else:
+                (to / name).unlink(missing_ok=True)
+            os.symlink(f"current/{name}", to / name)
+    os.symlink(release.name, to / f".next-{report['run_id']}")
+    os.replace(to / f".next-{report['run_id']}", to / "current")
+    _durable(to)
+    _cleared(to)
+
+
 def run(spark: SparkSession, source: str, target: str) -> dict:
     """Releases the bundle `source` (policy.json, corpus/) to `target`; returns the report."""
-    root, to = Path(source), Path(target)
+    began = time.monotonic()
+    root, to = Path(source), Path(target).absolute()
     policy = policies.load(str(root / "policy.json"))
+    policy_digest = hashlib.sha256((root / "policy.json").read_bytes()).hexdigest()
     graph_file = root / "contextual_graph.json"
     gated = policy.risk.get("contextual_graph_min_shared_clues")
     if gated:
         if graph_file.is_symlink() or not graph_file.is_file():
             raise Refused("contextual-graph-missing")
         graph_digest = hashlib.sha256(graph_file.read_bytes()).hexdigest()
-    m = Matcher(policy)
-    names = preflight(root, to, m)
+    names = preflight(root, to, Matcher(policy))
     corpus = root / "corpus"
-    before = {n: hashlib.sha256((corpus / n).read_bytes()).hexdigest() for n in names}
     to.mkdir(parents=True, exist_ok=True)
-    stage = Path(tempfile.mkdtemp(prefix=".stage-", dir=to))
+    _cleared(to)
+    stage = Path(tempfile.mkdtemp(prefix=".stage-", dir=to))  # for its owner alone
     try:
-        counts = {"records": 0, "replacements": 0}
-        base = corpus.resolve()
-        for row in transformed(spark, corpus, policy).toLocalIterator():
-            if row["code"]:
-                raise Refused(row["code"], reference(row["path"]))
-            name = os.path.relpath(row["path"].removeprefix("file:"), base)
-            (stage / name).parent.mkdir(parents=True, exist_ok=True)
-            (stage / name).write_bytes(bytes(row["content"]))
-            counts["records"] += row["records"]
-            counts["replacements"] += row["replacements"]
-        staged = {str(p.relative_to(stage)) for p in stage.rglob("*") if p.is_file()}
+        (stage / "corpus").mkdir()
+        facts = held(transformed(spark, corpus, policy, stage / "corpus").drop("content"))
+        total = facts.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "replacements", "read", "written")], F.min(F.when(F.col("code").isNotNull(), F.struct("path", "code"))).alias("refused")).first()
+        if total["refused"]:
+            raise Refused(total["refused"]["code"], reference(total["refused"]["path"]))
         # Spark's reader skips names that begin with a dot or an underscore: such a file was not staged
-        if staged != set(names):
+        if total["files"] != len(names):
             raise Refused("file-set")
-        wrong, tokens = verdict(verification(spark, corpus, stage, policy))
+        seen = verification(spark, corpus, stage / "corpus", policy)
+        wrong, tokens = verdict(seen)
         if wrong:
             raise Refused(wrong[0])
         most = policy.risk.get("max_pseudonym_frequency")
         if most and tokens > most:
             raise Refused("pseudonym-frequency")
+        risk = {"verdict": "not_requested"}
         if gated:
-            risk = graph.summary(graph.attack(spark, str(graph_file), gated))["verdict"]
+            risk = graph.summary(graph.attack(spark, str(graph_file), gated))
             if hashlib.sha256(graph_file.read_bytes()).hexdigest() != graph_digest:
                 raise Refused("contextual-graph-changed")
-            if risk != "clear":
+            if risk["verdict"] != "clear":
                 raise Refused("contextual-graph-risk")
-        if {n: hashlib.sha256((corpus / n).read_bytes()).hexdigest() for n in names} != before:
+        # what is released is what was verified, and what was read is still there
+        before, after = _streamed(facts, "source_sha256"), _streamed(facts, "sha256")
+        if _streamed(digests(spark, corpus), "sha256") != before:
             raise Refused("source-changed")
-        report = {"schema": "umbra.report.v1", "status": "ready", "files": len(names), **counts, "source_manifest": manifest(before), "release_manifest": manifest({n: hashlib.sha256((stage / n).read_bytes()).hexdigest() for n in staged})}
-        (to / "report.json").unlink(missing_ok=True)
-        shutil.rmtree(to / "corpus", ignore_errors=True)
-        os.replace(stage, to / "corpus")
-        with open(to / ".report", "w") as f:
-            json.dump(report, f, indent=2)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(to / ".report", to / "report.json")
+        if _streamed(digests(spark, stage / "corpus"), "sha256") != after:
+            raise Refused("stage-changed")
+        report = {
+            "schema": "umbra.report.v2", "status": "ready", "run_id": uuid.uuid4().hex, "files": len(names), "records": total["records"], "replacements": total["replacements"],
+            "bytes_read": total["read"], "bytes_written": total["written"], "policy_sha256": policy_digest, "source_manifest": before, "release_manifest": after,
+            "verification_passed": True, "verification_sha256": hashlib.sha256(json.dumps([before, after, policy_digest, tokens]).encode()).hexdigest(), "max_pseudonym_frequency": tokens,
+            "pseudonyms": PREFIX, "key_mode": "public", "graph_verdict": risk["verdict"], "graph_inferred": risk.get("inferred", 0), "graph_ambiguous": risk.get("ambiguous", 0),
+            "not_claimed": list(NOT_CLAIMED), "elapsed_seconds": round(time.monotonic() - began, 3), "target": "corpus",
+        }
+        published(stage, to, report)
         return report
     finally:
         shutil.rmtree(stage, ignore_errors=True)
@@ -258,24 +345,38 @@ def counts_by_type(source: str) -> dict[str, int]:
     return dict(sorted(Counter(os.path.splitext(n)[1] for n in names).items()))
 
 
-def reverified(source: str, target: str) -> list[str]:
-    """Codes of what is wrong with a published release, read anew; its report's digests as well."""
+def reverified(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Codes of what is wrong with a published release, read anew by tasks; its report's digests as well."""
     root, to = Path(source), Path(target)
-    read = lambda at: {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file()}
-    before, after = read(root / "corpus"), read(to / "corpus")
     report = json.loads((to / "report.json").read_text())
-    wrong = verified(before, after, policies.load(str(root / "policy.json")))
-    for key, files in (("source_manifest", before), ("release_manifest", after)):
-        if report[key] != manifest({n: hashlib.sha256(d).hexdigest() for n, d in files.items()}):
+    policy = policies.load(str(root / "policy.json"))
+    corpus, released = root / "corpus", (to / "corpus").resolve()
+    names = {str(p.relative_to(x)) for x in (corpus, released) for p in x.rglob("*") if p.is_file()}
+    both = [sum(p.is_file() for p in x.rglob("*")) for x in (corpus, released)]
+    wrong = ["file-set"] if both != [len(names)] * 2 else verdict(verification(spark, corpus, released, policy))[0]
+    for key, at in (("source_manifest", corpus), ("release_manifest", released)):
+        if report[key] != _streamed(digests(spark, at), "sha256"):
             wrong.append(key.replace("_", "-"))
     return wrong
 
 
-def most_frequent_token(target: str) -> int:
-    """token_frequency() of a published release, whose corpus must be the one that its report names."""
+def most_frequent_token(spark: SparkSession, target: str) -> int:
+    """How often the most frequent pseudonym, or what looks like one, occurs in a published release, whose corpus must be the one
+    that its report names."""
     to = Path(target)
-    files = {str(p.relative_to(to / "corpus")): p.read_bytes() for p in (to / "corpus").rglob("*") if p.is_file()}
     report = json.loads((to / "report.json").read_text())
-    if report["status"] != "ready" or report["release_manifest"] != manifest({n: hashlib.sha256(d).hexdigest() for n, d in files.items()}):
+    released = (to / "corpus").resolve()
+    if report["status"] != "ready" or report["release_manifest"] != _streamed(digests(spark, released), "sha256"):
         raise Refused("release-manifest")
-    return token_frequency([x for n, d in files.items() for x in strings(d, os.path.splitext(n)[1])])
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            found: Counter = Counter()
+            for path, data in zip(pdf["path"], pdf["content"]):
+                found.update(t for x in strings(bytes(data), os.path.splitext(path)[1]) for p in LOOKALIKES for t in re.findall(p, x))
+            yield pd.DataFrame(list(found.items()), columns=["token", "n"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(released.as_uri()).select("path", "content")
+    return files.mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
