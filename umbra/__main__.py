@@ -5,16 +5,19 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-
+import tempfile
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import release
+from . import documents, release, review
 from .errors import Refused
-from .operators import attacks, dp, graph, metrics, policy, population, transforms
+from .functions.pseudonyms import PREFIX
+from .operators import attacks, dp, gradients, graph, metrics, policy, population, transforms
 from .plans.sql import over
+from .sources import fixture
 from .sources.tables import committed, read_csv
 
 
@@ -41,6 +44,20 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("run", "input", "output", qis=False)
+    command("anonymize", "source", "output", qis=False).add_argument("--policy", required=True)
+    command("demo", "output", qis=False).add_argument("--records", type=int, default=100)
+    command("bench-once", qis=False).add_argument("--records", type=int, default=1000)
+    command("explain", qis=False)
+    c = command("discover", "input", "review", qis=False)
+    c.add_argument("--threshold", type=float, default=90.0)
+    c.add_argument("--margin", type=float, default=5.0)
+    command("approve-discovery", "input", "review", "output", qis=False).add_argument("--id", action="append", required=True)
+    required(command("redact-document", "source", "output", qis=False), policy=str, receipt=str)
+    c = command("model-privacy-applicability", qis=False)
+    c.add_argument("--release-kind", choices=("file_only", "learned_model"), required=True)
+    c.add_argument("--model", action="store_true")
+    c.add_argument("--gradients", action="store_true")
+    command("model-gradient-inversion", "weights", "biases", qis=False)
     command("preflight", "input", qis=False)
     command("verify", "input", "output", qis=False)
     command("inspect", "policy", qis=False)
@@ -119,6 +136,36 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, bool]:
     """(receipt, whether a risk was found)."""
     if a.command == "run":
         return release.run(spark, a.input, a.output), False
+    if a.command == "anonymize":
+        return release.anonymized(spark, a.source, a.policy, a.output), False
+    if a.command in ("demo", "bench-once"):
+        with tempfile.TemporaryDirectory(prefix="umbra-demo-") as at:
+            bundle = str(fixture.written(f"{at}/bundle", a.records))
+            report = release.run(spark, bundle, a.output if a.command == "demo" else f"{at}/out")
+        if a.command == "demo":
+            return report, False
+        seconds = report["elapsed_seconds"]
+        return {"records": report["records"], "bytes": report["bytes_read"], "seconds": seconds, "records_per_second": round(report["records"] / seconds, 2), "bytes_per_second": round(report["bytes_read"] / seconds, 2)}, False
+    if a.command == "explain":
+        return {"mechanism": "literals of a policy, longest first, give way to pseudonyms derived from their identity; every file is rewritten in its own format, read again and compared before one rename publishes all of them", "refuses": "what it can't read exactly, what it can't verify, what changed meanwhile", "pseudonyms": PREFIX, "not_claimed": list(release.NOT_CLAIMED)}, False
+    if a.command == "discover":
+        found = review.discover(spark, a.input, a.threshold, a.margin)
+        documents.private(Path(a.review).absolute(), found)
+        return {"counts": found["counts"], "review_sha256": found["review_sha256"]}, False
+    if a.command == "approve-discovery":
+        return review.approve(spark, a.input, a.review, a.id, a.output), False
+    if a.command == "redact-document":
+        return documents.redact(a.source, a.policy, a.output, a.receipt), False
+    if a.command == "model-privacy-applicability":
+        return gradients.applicability(a.release_kind, a.model, a.gradients), False
+    if a.command == "model-gradient-inversion":
+        w, b = read_csv(spark, a.weights), read_csv(spark, a.biases)
+        _columns(w, "i", "j", "g")
+        _columns(b, "i", "g")
+        w, b = w.selectExpr("cast(i as long) as i", "cast(j as long) as j", "cast(g as double) as g"), b.selectExpr("cast(i as long) as i", "cast(g as double) as g")
+        found = gradients.invert(w, b).agg(F.count("*").alias("inputs"), F.count_if("agree").alias("agreeing")).first()
+        risk = found["inputs"] > 0 and found["agreeing"] == found["inputs"]
+        return {"inputs": found["inputs"], "agreeing": found["agreeing"], "verdict": "reconstructed" if risk else "clear"}, risk
     if a.command == "preflight":
         return {"files": release.counts_by_type(a.input)}, False
     if a.command == "verify":

@@ -11,6 +11,7 @@ Stages and releases that nothing points to are cleared by the next run.
 
 from __future__ import annotations
 
+import filecmp
 import hashlib
 import json
 import os
@@ -280,11 +281,43 @@ def published(stage: Path, to: Path, report: dict) -> None:
 
 
 def run(spark: SparkSession, source: str, target: str) -> dict:
-    """Releases the bundle `source` (policy.json, corpus/) to `target`; returns the report."""
+    """Releases the bundle `source` (policy.json, corpus/, contextual_graph.json where the policy asks for it) to `target`."""
+    root = Path(source)
+    return released(spark, root, root / "policy.json", Path(target).absolute())
+
+
+def anonymized(spark: SparkSession, source: str, policy_path: str, target: str) -> dict:
+    """Releases a file or a folder by a policy that lies elsewhere: as a bundle of links' targets copied beside the target, whose files
+    must be the source's when the copy is done."""
+    origin, rules, to = Path(source).absolute(), Path(policy_path).absolute(), Path(target).absolute()
+    if rules.is_symlink() or not rules.is_file() or origin.is_symlink() or not (origin.is_file() or origin.is_dir()):
+        raise Refused("special-file")
+    if origin in rules.parents or origin == to or origin in to.parents or to in origin.parents or to in rules.parents:
+        raise Refused("nested-roots")
+    policies.load(str(rules))
+    if any(p.is_symlink() or not (p.is_file() or p.is_dir()) for p in origin.rglob("*")):
+        raise Refused("special-file")
+    to.parent.mkdir(parents=True, exist_ok=True)
+    bundle = Path(tempfile.mkdtemp(prefix=".bundle-", dir=to.parent))
+    try:
+        shutil.copyfile(rules, bundle / "policy.json")
+        if origin.is_dir():
+            shutil.copytree(origin, bundle / "corpus")
+        else:
+            (bundle / "corpus").mkdir()
+            shutil.copyfile(origin, bundle / "corpus" / origin.name)
+        for p in (bundle / "corpus").rglob("*"):
+            if p.is_file() and not filecmp.cmp(p, origin / p.relative_to(bundle / "corpus") if origin.is_dir() else origin, shallow=False):
+                raise Refused("source-changed")
+        return run(spark, str(bundle), str(to))
+    finally:
+        shutil.rmtree(bundle, ignore_errors=True)
+
+
+def released(spark: SparkSession, root: Path, policy_file: Path, to: Path) -> dict:
     began = time.monotonic()
-    root, to = Path(source), Path(target).absolute()
-    policy = policies.load(str(root / "policy.json"))
-    policy_digest = hashlib.sha256((root / "policy.json").read_bytes()).hexdigest()
+    policy = policies.load(str(policy_file))
+    policy_digest = hashlib.sha256(policy_file.read_bytes()).hexdigest()
     graph_file = root / "contextual_graph.json"
     gated = policy.risk.get("contextual_graph_min_shared_clues")
     if gated:
