@@ -444,3 +444,17 @@ def test_grammar():
             assert (b.ids() == ids).all()
             for i, j in rng.integers(0, n + 1, (10, 2)):
                 assert (b.ids(min(i, j), max(i, j)) == ids[min(i, j) : max(i, j)]).all()
+
+
+def test_workers_forget_what_another_operator_keeps():
+    minhash._WORDS[b"word"] = 1
+    shared._RAN[:] = ["umbra.llm.minhash"]
+    shared._alone("umbra.llm.minhash")
+    assert minhash._WORDS
+    shared._alone("umbra.llm.langid")
+    assert not minhash._WORDS and shared._RAN == ["umbra.llm.langid"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = repair.token_bytes(path)
+    shared._RAN[:] = ["umbra.llm.packing"]
+    shared._alone("umbra.llm.pii")
+    assert repair.token_bytes(path) is not first

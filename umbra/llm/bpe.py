@@ -113,6 +113,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def forget() -> None:
+    """Lets a worker's codec and its cache go."""
+    codec.cache_clear()
+
+
 @cache
 def codec(path: str, pattern: str) -> Codec:
     """One a worker."""

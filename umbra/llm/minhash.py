@@ -65,6 +65,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    """Empties a worker's cache."""
+    _WORDS.clear()
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """For each text, the sorted 64-bit hashes of its distinct shingles."""
     known = _WORDS

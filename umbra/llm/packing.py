@@ -37,6 +37,13 @@ LENGTHS, SEQUENCE_COST, ATTENTION, GROUP, OVERHEAD = (512, 1024, 2048, 4096), 32
 SCHEMA = "doc_id long, text_hash long, copy long, piece int, piece_tokens int, bin string, bin_length int, bin_tokens int, bin_offset int"
 
 
+def forget() -> None:
+    """Lets a worker's tokenizer and its cache go."""
+    from .repair import forget
+
+    forget()
+
+
 def cost(length: int) -> float:
     return length * (1 + length / ATTENTION) + SEQUENCE_COST
 

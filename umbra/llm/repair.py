@@ -203,6 +203,11 @@ class _Encoder:
         return b"".join(got)
 
 
+def forget() -> None:
+    """Lets a worker's tokenizer and its cache go."""
+    _encoder.cache_clear()
+
+
 @cache
 def _encoder(path: str) -> _Encoder:
     import os

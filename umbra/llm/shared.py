@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +93,31 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The module whose functions this worker ran last.
+_RAN: list[str] = []
+
+
+def _alone(module: str) -> None:
+    """A worker lives on from stage to stage: what another module keeps in it (forget() of that module) goes, back to the system too."""
+    if _RAN and _RAN[0] != module:
+        forget = getattr(sys.modules.get(_RAN[0]), "forget", None)
+        if forget:
+            forget()
+            gc.collect()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+    _RAN[:] = [module]
+
+
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """df through f, batch by batch; f returns columns by name (or None for no rows)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out, module = to_arrow_schema(StructType.fromDDL(schema)), f.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _alone(module)
         for batch in batches:
             if batch.num_rows and (got := f(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in ((t, got[t.name]) for t in out)], schema=out)
