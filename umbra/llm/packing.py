@@ -138,8 +138,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         from .repair import token_bytes
 
         def counted(batch):
-            encode = token_bytes(path)
-            return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [len(encode(x)) // encode.wide().itemsize if x else 0 for x in batch.column(1).to_pylist()]}
+            count = token_bytes(path).count
+            return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [count(x) if x else 0 for x in batch.column(1).to_pylist()]}
 
         d = mapped(d.select("doc_id", "text", "text_hash"), counted, "doc_id long, text_hash long, n long")
     sized, _ = stored(d.select("doc_id", "text_hash", (F.col("n") + OVERHEAD).alias("n")).groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "lengths")

@@ -20,6 +20,7 @@ rows.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -35,6 +36,8 @@ from .shared import stored
 BLOCK_IDS = 2_000_000
 #: Entries of a worker's cache (it keeps the first ones; frequent pieces come early), characters of one at most.
 CACHE, SHORT = 250_000, 64
+#: Entries where only the number of ids is kept.
+COUNTS = 500_000
 #: Rules a round at most, occurrences that a pair must have to be looked at, and to get a rule; least gain of a round.
 RULES, LEAST, WORTH, GAIN = 3000, 12, 6, 1 / 256
 
@@ -187,6 +190,7 @@ class _Encoder:
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.wide = np.uint16 if self.size < 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     def __call__(self, text: str) -> bytes:
         if any(map(text.__contains__, self.added)):
@@ -203,6 +207,24 @@ class _Encoder:
         return b"".join(got)
 
 
+    def count(self, text: str) -> int:
+        """How many ids a text has."""
+        if any(map(text.__contains__, self.added)):
+            return len(self.tokenizer.encode(text, add_special_tokens=False))
+        total, new, counts = 0, [], self.counts
+        parts = Counter(pieces(text, self.findall))
+        for x, n in parts.items():
+            if (ids := counts.get(x)) is None:
+                new.append(x)
+            else:
+                total += ids * n
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            total += len(e) * parts[x]
+            if len(counts) < COUNTS and len(x) <= SHORT:
+                counts[x] = len(e)
+        return total
+
+
 def forget() -> None:
     """Lets a worker's tokenizer and its cache go."""
     _encoder.cache_clear()
