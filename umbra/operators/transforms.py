@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.held import held
 from ..plans.sql import over
 from . import metrics
 from .metrics import _list, _same
@@ -122,33 +123,48 @@ def generalize(df: DataFrame, qis: Sequence[str], hierarchies: Mapping[str, Mapp
 
 def generalize_locally(df: DataFrame, qis: Sequence[str], hierarchies: Mapping[str, Mapping[str, Sequence[str]]], k: int) -> DataFrame:
     """Raises one column by one level on all rows that are still in classes below k, whichever leaves
-    fewest of them, until none is left.
+    fewest of them, then generalises least, until none is left.
 
-    Equal tuples always move together, so the state is one level vector per distinct tuple; each step
-    is one aggregate over these for all columns at once, and only a few numbers reach the driver."""
+    Equal tuples always move together, so there is one row for each distinct tuple.  Classes of at least k are a table of keys and
+    sizes that only grows; a step looks at the tuples below k alone, for all columns at once, adds up where they would go and what is
+    there already, and moves on those that stay below.  A few numbers a column reach the driver."""
     tuples, depth = _leveled(df.groupBy(*qis).agg(F.count("*").alias("n")), hierarchies)
     names = list(hierarchies)
-    state = tuples.select(*[F.col(q).alias(f"raw_{q}") for q in qis], "n", *[f"umbra_{c}" for c in names], *[F.lit(0).alias(f"level_{c}") for c in names])
-    shown = lambda q: F.expr(f"umbra_{q}[level_{q}]") if q in hierarchies else F.col(f"raw_{q}").cast("string")
-    while True:  # each step raises levels, so it ends at the latest when the hierarchies are exhausted
-        now = state.select("*", *[shown(q).alias(q) for q in qis])
-        small = over(f"SELECT x.*, c.umbra_n < {k} AS unsafe FROM {{t}} x JOIN (SELECT {_list(qis)}, sum(n) AS umbra_n FROM {{t}} GROUP BY {_list(qis)}) c ON {_same('x', 'c', qis)}", now)
-        state = small.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else small.persist()
-        if not state.where("unsafe").limit(1).count():
-            break
-        options = []
+    shown = lambda q: F.element_at(f"path_{names.index(q)}", F.col(f"level_{names.index(q)}") + 1) if q in hierarchies else F.col("raw")[q].cast("string")
+    key = lambda d: d.withColumn("key", F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("v"), F.base64(shown(q).cast("binary"))), F.lit("n")) for q in qis]))
+    paths, levels = [f"path_{i}" for i in range(len(names))], [f"level_{i}" for i in range(len(names))]
+    left = tuples.select(F.struct(*[F.col(q) for q in qis]).alias("raw"), "n", *[F.col(f"umbra_{c}").alias(p) for c, p in zip(names, paths)], *[F.lit(0).alias(x) for x in levels])
+    left = held(key(left))
+    done = []
+
+    def settled(here: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Tuples that stay below k; the others are done.  sizes: (key, total) of their classes."""
+        here = held(here.join(sizes, "key"))
+        done.append(here.where(f"total >= {k}").select("raw", *[shown(q).alias(f"new_{i}") for i, q in enumerate(qis)]))
+        return here.where(f"total < {k}").drop("total")
+
+    sizes = left.groupBy("key").agg(F.sum("n").alias("total"))
+    classes = held(sizes.where(f"total >= {k}"))
+    left = settled(left, sizes)
+    while not left.isEmpty():  # each step raises levels, so it ends at the latest when the hierarchies are exhausted
+        raised = None
         for i, c in enumerate(names):
-            moved = state.withColumn(f"level_{c}", F.when(F.col("unsafe") & (F.col(f"level_{c}") < depth[c]), F.col(f"level_{c}") + 1).otherwise(F.col(f"level_{c}")))
-            if not state.where(f"unsafe and level_{c} < {depth[c]}").limit(1).count():
-                continue
-            again = moved.drop(*qis).select("*", *[shown(q).alias(q) for q in qis])
-            left = over(f"SELECT sum(CASE WHEN s < {k} THEN s ELSE 0 END) AS unsafe FROM (SELECT sum(n) AS s FROM {{t}} GROUP BY {_list(qis)})", again).first()[0]
-            total = moved.agg(F.sum(F.expr(" + ".join(f"level_{x}" for x in names)) * F.col("n"))).first()[0]
-            options.append((left, total, i, moved.drop("unsafe", *qis)))
+            one = left.drop("key").withColumn("moves", F.col(f"level_{i}") < depth[c]).withColumn(f"level_{i}", F.least(F.col(f"level_{i}") + 1, F.lit(depth[c]))).withColumn("option", F.lit(i))
+            raised = one if raised is None else raised.unionByName(one)
+        raised = held(key(raised))
+        met = raised.groupBy("option", "key").agg(F.sum("n").alias("m"), F.max("moves").alias("moves"), F.sum(F.expr(" + ".join(levels)) * F.col("n")).alias("cost"))
+        met = held(met.join(classes, "key", "left").withColumn("total", F.col("m") + F.coalesce("total", F.lit(0))))
+        options = met.groupBy("option").agg(F.sum(F.when(F.col("total") < k, F.col("m")).otherwise(0)).alias("below"), F.sum("cost").alias("cost"), F.max("moves").alias("moves")).where("moves").collect()
         if not options:
             raise PrivacyViolation("the hierarchies are exhausted")
-        state = min(options, key=lambda x: x[:3])[3]
-    final = state.select(*[F.col(f"raw_{q}").alias(f"umbra_raw_{q}") for q in qis], *[shown(q).alias(f"umbra_new_{q}") for q in qis])
+        best = min((r["below"], r["cost"], r["option"]) for r in options)[2]
+        chosen = met.where(f"option = {best}")
+        classes = held(classes.union(chosen.where(f"total >= {k}").select("key", "m")).groupBy("key").agg(F.sum("total").alias("total")))
+        left = settled(raised.where(f"option = {best}").drop("moves", "option"), chosen.select("key", "total"))
+    final = done[0]
+    for d in done[1:]:
+        final = final.union(d)
+    final = final.select(*[F.col("raw")[q].alias(f"umbra_raw_{q}") for q in qis], *[F.col(f"new_{i}").alias(f"umbra_new_{q}") for i, q in enumerate(qis)])
     out = over("SELECT x.*, " + ", ".join(f"m.umbra_new_{q}" for q in qis) + " FROM {t} x JOIN {m} m ON " + " AND ".join(f"x.{q} IS NOT DISTINCT FROM m.umbra_raw_{q}" for q in qis), df, m=final)
     return out.select(*[F.col(f"umbra_new_{c}").alias(c) if c in qis else F.col(c) for c in df.columns])
 

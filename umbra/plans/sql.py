@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 
-def view(df: DataFrame) -> str:
-    """A temporary view of df under a name of its own."""
-    name = f"umbra_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
 def over(text: str, first: DataFrame, **more: DataFrame) -> DataFrame:
-    """The query `text`, in which {t} stands for `first` and other names for the frames given."""
-    names = {"t": view(first)} | {k: view(v) for k, v in more.items()}
-    return first.sparkSession.sql(text.format(**names))
+    """The query `text`, in which {t} stands for `first` and other names for the frames given; no view stays behind."""
+    return first.sparkSession.sql(text, t=first, **more)
