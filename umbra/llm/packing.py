@@ -1,17 +1,22 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 A sequence of length c costs c * (1 + c / ATTENTION) + SEQUENCE_COST: its tokens, attention that grows
-with the square of its length, and an overhead of its own.  All permitted lengths are weighed against
-each other for each bin: it takes the largest item that is left and, under each length that holds it,
-what best-fit would fill it with, the largest item that still has room, again and again.  The length
-whose contents cost least a token is opened, its cost being that of the smallest permitted length
-that holds these contents, to which the bin is downsized.  So a long length opens only where what is
-left fills it well enough to make up for its attention.  A document longer than the largest length
-is cut into full pieces and a rest; nothing is dropped.
+with the square of its length, and an overhead of its own.  A plan first weighs all permitted lengths
+against each other, bin by bin: under each length that holds the largest item left, what the largest
+items that still have room would fill it with.  The length whose contents cost least a token is
+planned, its cost being that of the smallest permitted length that holds these contents.  So a long
+length is planned only where what is left fills it well enough to make up for its attention.
+
+Then the items are placed by best fit, the largest first: each goes to the open bin with least room left
+for it (of equal ones the one opened first).  If none has room, the next bin of the plan that can
+hold it opens; beyond the plan, the cheapest length that holds it.  At the end each bin is downsized to
+the smallest permitted length that holds its contents.  A document longer than the largest length is cut
+into full pieces and a rest; nothing is dropped.
 
 Packing is sequential, so items are dealt by a hash of id, text and copy into groups of about GROUP
 tokens that are packed alone; the loss is at most the last bins of each group.  A group is a few numbers
-a document; equal sizes are packed at once, as often as their pattern repeats.
+a document; the plan takes equal sizes at once, as often as their pattern repeats, and a bin takes as
+many items of one size at once as it has room for.
 
 Nulls and empty texts are items of OVERHEAD tokens (an end mark).  Repeated rows are packed each on its
 own, numbered by `copy`; a null id is packed like any other.  Equal sizes go in the order of id, text
@@ -20,7 +25,9 @@ hash and copy, so the outcome doesn't depend on how the rows lie.  An empty tabl
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,8 +38,8 @@ from pyspark.sql import functions as F
 from .shared import mapped, stored
 
 #: Permitted lengths, a sequence's own cost in tokens, the length whose attention costs as much as its tokens,
-#: tokens of a group, end marks a document.
-LENGTHS, SEQUENCE_COST, ATTENTION, GROUP, OVERHEAD = (512, 1024, 2048, 4096), 32, 24_576, 4_000_000, 1
+#: tokens of a group, end marks a document, copies of a row that are numbered at once.
+LENGTHS, SEQUENCE_COST, ATTENTION, GROUP, OVERHEAD, COPIES = (512, 1024, 2048, 4096), 32, 24_576, 4_000_000, 1, 1 << 14
 
 SCHEMA = "doc_id long, text_hash long, copy long, piece int, piece_tokens int, bin string, bin_length int, bin_tokens int, bin_offset int"
 
@@ -95,29 +102,71 @@ def patterns(counts: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Call
         yield held, times, length
 
 
+def best_fit(counts: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """([(bin, size, how many, offset)], contents of each bin) for counts[n] items of size n."""
+    lengths = tuple(sorted(lengths))
+    planned = {c: deque() for c in lengths}
+    at = 0
+    for _, times, c in patterns(counts, lengths, price):
+        planned[c].append((at, times))
+        at += times
+
+    def opened(n: int) -> int:
+        """The length of the next planned bin that holds n, which is taken off the plan."""
+        able = [c for c in lengths if c >= n]
+        c = min((c for c in able if planned[c]), key=lambda c: planned[c][0], default=None)
+        if c is None:
+            return min(able, key=price)
+        first, times = planned[c].popleft()
+        if times > 1:
+            planned[c].appendleft((first + 1, times - 1))
+        return c
+
+    placed, length, room = [], [], []
+    #: open[r]: bins with room r, those opened first on top; some: the bits of these r
+    open_, some = {}, 0
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        while left:
+            fits = some >> n
+            if fits:
+                r = n + (fits & -fits).bit_length() - 1
+                b = heappop(open_[r])
+                if not open_[r]:
+                    some ^= 1 << r
+            else:
+                b, r = len(room), opened(n)
+                length.append(r)
+                room.append(r)
+            k = min(r // n, left)
+            placed.append((b, n, k, length[b] - r))
+            left -= k
+            r -= k * n
+            room[b] = r
+            if r:
+                heappush(open_.setdefault(r, []), b)
+                some |= 1 << r
+    return placed, [c - r for c, r in zip(length, room)]
+
+
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> tuple[np.ndarray, ...]:
     """(bin, length, tokens, offset) of each item; sizes: at most the largest length each.
 
-    Of equal sizes the earlier ones go to the earlier bins."""
-    kind, times, size, length, used = ([] for _ in range(5))
-    first = 0
-    for held, n, c in patterns(np.bincount(sizes, minlength=max(lengths) + 1), lengths, price):
-        contents = np.repeat(np.array(list(held), np.int64), list(held.values()))
-        bins = np.arange(first, first + n)
-        kind.append(np.repeat(bins, len(contents)))
-        size.append(np.tile(contents, n))
-        times.append(np.tile(np.cumsum(contents) - contents, n))
-        length.append(np.full(n * len(contents), c))
-        used.append(np.full(n * len(contents), contents.sum()))
-        first += n
-    if not kind:
+    Of equal sizes the earlier ones are placed first."""
+    placed, contents = best_fit(np.bincount(sizes, minlength=max(lengths) + 1), lengths, price)
+    if not placed:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    slot_size = np.concatenate(size)
-    slots, items = np.argsort(slot_size, kind="stable"), np.argsort(sizes, kind="stable")
+    kind, size, many, offset = np.array(placed, np.int64).T
+    visit = np.repeat(np.arange(len(many)), many)
+    nth = np.arange(len(visit)) - np.repeat(np.cumsum(many) - many, many)
+    # placed goes from large sizes to small ones, as do the items
+    items = np.argsort(-np.asarray(sizes), kind="stable")
+    used = np.array(contents, np.int64)
+    known = np.array(sorted(lengths), np.int64)
     out = []
-    for column in (kind, length, used, times):
-        to = np.empty(len(sizes), np.int64)
-        to[items] = np.concatenate(column)[slots]
+    for column in (kind[visit], known[np.searchsorted(known, used)][kind[visit]], used[kind[visit]], offset[visit] + nth * size[visit]):
+        to = np.empty(len(visit), np.int64)
+        to[items] = column
         out.append(to)
     return tuple(out)
 
@@ -127,6 +176,15 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """A row for each of `copies`, numbered from 1 by `copy`.  Rows of more than COPIES copies are spread in
+    blocks of as many first, so that no task writes out all copies of one."""
+    few, many = sized.where(F.col("copies") <= COPIES), sized.where(F.col("copies") > COPIES)
+    blocks = many.withColumn("block", F.explode(F.expr(f"sequence(0, (copies - 1) div {COPIES})"))).repartition("doc_id", "text_hash", "block")
+    copy = f"sequence(block * {COPIES} + 1, least(copies, (block + 1) * {COPIES}))"
+    return few.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).unionByName(blocks.withColumn("copy", F.explode(F.expr(copy))).drop("block"))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, group_tokens: int = GROUP) -> DataFrame:
     """A row for each piece of each row of docs: doc_id, text_hash (xxhash64 of the text), copy (which of the
     rows of this id and text), piece, piece_tokens, bin, bin_length (after downsizing), bin_tokens (its
@@ -163,7 +221,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             out[name] = np.concatenate([np.full(full, alone), values]).astype(np.int32)
         return out
 
-    dealt = sized.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).withColumn("g", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(groups)).cast("long"))
+    dealt = numbered(sized).withColumn("g", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(groups)).cast("long"))
     return dealt.select("doc_id", "text_hash", "copy", "n", "g").groupBy("g").applyInPandas(run, SCHEMA)
 
 
