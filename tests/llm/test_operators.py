@@ -183,6 +183,34 @@ def test_pii(spark, odd):
     assert rows.columns == odd.columns and rows.count() == 10 and by_id(rows)[0]["text"] is None and pii.find(none(odd)).count() == 0
 
 
+def test_pii_overlaps(spark):
+    """Candidates apart from base spans, and the best of overlapping ones, as a plain loop finds them."""
+    rng = random.Random(1)
+    hit = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    span = lambda: (lambda at: (at, at + rng.randint(1, 9)))(rng.randint(0, 200))
+    rows = [(i, sorted({span() for _ in range(rng.choice([0, 1, 5, 150]))}), [(*span(), rng.randint(0, 3), rng.randint(0, 5) / 5) for _ in range(rng.choice([0, 1, 7, 40]))]) for i in range(120)]
+    d = spark.createDataFrame(rows, "i int, base array<struct<start: int, end: int>>, more array<struct<start: int, end: int, kind: int, score: double>>")
+    for r in d.selectExpr("i", f"{pii._apart('more', 'base')} as apart", f"{pii._best('more')} as best").collect():
+        _, base, more = rows[r["i"]]
+        assert [tuple(x) for x in r["apart"]] == [x for x in more if not any(hit(x, b) for b in base)]
+        kept = []
+        for x in sorted(more, key=lambda x: (-x[3], x[0], x[1], x[2])):
+            if not any(hit(x, k) for k in kept):
+                kept.append(x)
+        assert sorted(map(tuple, r["best"])) == sorted(kept)
+
+
+def test_pii_long_text_of_several_kinds(spark):
+    """Contexts are those of the text itself, in a text of thousands of e-mails and numbers, too."""
+    text = "\U0001f600é " + " ".join(f"u{k}@mail{k}.com call 555-{100 + k % 900}-{1000 + k % 9000}" for k in range(4000))
+    d, names = pii._sources(spark.createDataFrame([(text,)], "text string"), "text")
+    found = d.selectExpr(f"{pii._proposed(names)} as x").first()["x"]
+    assert len(found) == 4000
+    for c in found:
+        a, b = c["start"], c["end"]
+        assert (c["m"], c["before"], c["after"]) == (text[a:b], text[max(0, a - 32) : a], text[b : b + 1])
+
+
 # 5
 def test_merkle(spark, odd):
     rng = random.Random(4)
@@ -317,8 +345,8 @@ def best_cost(sizes, lengths, price):
     return found
 
 
-def plain_pack(sizes, lengths, price):
-    """The bins that the definition asks for, item by item."""
+def plain_plan(sizes, lengths, price):
+    """The bins that the plan asks for, item by item, in the order planned."""
     left, out = sorted(sizes, reverse=True), []
     while left:
         best = None
@@ -332,9 +360,22 @@ def plain_pack(sizes, lengths, price):
                 found = (price(length) / sum(held), length, held, rest)
                 if best is None or found[:2] < best[:2]:
                     best = found
-        out.append((best[1], sorted(best[2])))
+        out.append(best[1])
         left = best[3]
-    return sorted(out)
+    return out
+
+
+def plain_pack(sizes, lengths, price):
+    """Best fit over all open bins, item by item, bins opened by the plan and downsized at the end."""
+    plan, bins = plain_plan(sizes, lengths, price), []
+    for n in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+            continue
+        i = next((i for i, c in enumerate(plan) if c >= n), None)
+        bins.append((min((c for c in lengths if c >= n), key=price) if i is None else plan.pop(i), [n]))
+    return sorted((min(c for c in lengths if c >= sum(held)), sorted(held)) for _, held in bins)
 
 
 def test_joint_lengths():
@@ -351,14 +392,27 @@ def test_joint_lengths():
         spent += sum(price(c) for c, _ in bins.values())
         least += best_cost(sizes, lengths, price)
     assert least <= spent <= 1.1 * least
-    many = [rng.randint(1, 20) for _ in range(500)]
-    kind, length, *_ = packing.pack(np.array(many), lengths, price)
-    assert sorted(c for c, _ in plain_pack(many, lengths, price)) == sorted({b: c for b, c in zip(kind.tolist(), length.tolist())}.values())
+    for many in ([rng.randint(1, 20) for _ in range(500)], [rng.randint(9, 32) for _ in range(300)]):
+        kind, length, used, offset = packing.pack(np.array(many), lengths, price)
+        bins = {}
+        for b, c, u, o, n in zip(kind.tolist(), length.tolist(), used.tolist(), offset.tolist(), many):
+            bins.setdefault(b, (c, u, []))[2].append((o, n))
+        assert sorted((c, sorted(n for _, n in held)) for c, _, held in bins.values()) == plain_pack(many, lengths, price)
+        for _, u, held in bins.values():
+            assert all(o + n == end for (o, n), end in zip(sorted(held), [o for o, _ in sorted(held)[1:]] + [u]))
     # short items under attention that costs: small bins; without it, large ones
     small, large = (packing.pack(np.full(64, 4), lengths, p)[1] for p in (price, lambda c: c + 3))
     assert set(small.tolist()) == {16} and set(large.tolist()) == {32}
 
 
+def test_packed_copies(spark, monkeypatch):
+    """Copies of one row, null ids too, are numbered in blocks, each once."""
+    monkeypatch.setattr(packing, "COPIES", 7)
+    d = spark.range(60).selectExpr("cast(null as long) as doc_id", "if(id < 50, 'a b', cast(null as string)) as text")
+    rows = packing.assign(d, lengths=(8, 16), group_tokens=40).groupBy("text_hash").agg(F.sort_array(F.collect_list("copy")).alias("c")).collect()
+    assert sorted(r["c"] for r in rows) == [list(range(1, 11)), list(range(1, 51))]
+
+
 def test_packed_sequences(spark, odd):
     from tokenizers import Tokenizer
 

@@ -9,10 +9,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from umbra.llm import queries
+from umbra.llm import packing, queries
 
 import test_turntrie  # pytest puts this folder on the path
 import test_variants
+from test_operators import plain_pack
 
 COLUMNS = {
     "op1_template_lines": "doc_id bigint, n_lines bigint, n_dropped bigint, text_sha256 string",
@@ -101,6 +102,12 @@ def test_all(spark, folder):
     for r in got["op8_best_fit_packing"]:
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["piece_tokens"]
     assert packed == tokens
+    # one group: its bins are those of the plain best fit
+    whole, rests = [n // 4096 for n in tokens.values()], [n % 4096 for n in tokens.values() if n % 4096]
+    bins = {}
+    for r in got["op8_best_fit_packing"]:
+        bins.setdefault((r["bin"], r["bin_length"]), []).append(r["piece_tokens"])
+    assert sorted((c, sorted(n)) for (_, c), n in bins.items()) == sorted(plain_pack(rests, packing.LENGTHS, packing.cost) + [(4096, [4096])] * sum(whole))
     for r in got["op3_language_bitmask"]:
         text = texts[r["doc_id"]]
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1

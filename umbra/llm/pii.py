@@ -6,7 +6,7 @@ phone numbers, spelled-out addresses, IPv6.  Format and context features of a ca
 boosted trees, which stand in the plan as CASE expressions.  Scores are calibrated by kind (Platt: a
 logistic curve through held-out candidates), and a kind's threshold is the least score whose calibrated
 probability, and whose precision on held-out candidates, is PRECISION.  Of overlapping candidates the
-best-scored one stays.
+best-scored one stays, then the best of those that it leaves, and so on.
 
 The trees learn from two sorts of candidates.  Those of the corpus, from at most about SAMPLE documents
 drawn by a hash of the text: every generator's and base pattern's matches before any check, overlaps
@@ -36,8 +36,8 @@ from .shared import fresh
 KINDS = ("email", "ip", "card", "phone")
 #: Made-up candidates, documents of the corpus that candidates are learned from; rounds, depth, rate; precision of a threshold.
 TRAINING, SAMPLE, ROUNDS, DEPTH, RATE, PRECISION = 8192, 8192, 24, 3, 0.3, 0.95
-#: Characters of context before a candidate; matches that are placed at once.
-CONTEXT, FEW = 32, 64
+#: Characters of context before a candidate; matches that are placed at once; characters of a piece of a text.
+CONTEXT, FEW, PIECE = 32, 64, 1024
 
 #: Stand-ins: for a separator between digits, for a dot between label characters, for these in a text.
 _SEP, _DOT, _OTHER = "\ue000", "\ue001", "\ue002"
@@ -232,10 +232,17 @@ def _matched(kind: str, names: dict[str, str]) -> str:
 _CANDIDATE = "cast(array() as array<struct<kind: int, start: int, end: int, m: string, before: string, after: string>>)"
 
 
+def _piece(start: str, length: str) -> str:
+    """SQL: `length` characters (at most PIECE) from `start` of the text whose pieces are w: a substring of the text
+    itself would count from its beginning each time."""
+    return f"substring(concat(coalesce(get(w, ({start}) div {PIECE}), ''), coalesce(get(w, ({start}) div {PIECE} + 1), '')), ({start}) % {PIECE} + 1, {length})"
+
+
 def _with_context(i: int, spans: str, names: dict[str, str], m: str = "x.m") -> str:
-    t = names["t"]
-    context = f"'before', substring({t}, greatest(1, x.start + 1 - {CONTEXT}), least(x.start, {CONTEXT})), 'after', substring({t}, x.end + 1, 1)"
-    return f"transform({spans}, x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end, 'm', {m}, {context}))"
+    context = f"'before', {_piece(f'greatest(0, x.start - {CONTEXT})', f'least(x.start, {CONTEXT})')}, 'after', {_piece('x.end', '1')}"
+    found = f"transform(y, x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end, 'm', {m}, {context}))"
+    pieces = f"regexp_extract_all({names['t']}, '(?s).{{1,{PIECE}}}', 0)"
+    return f"transform(array({spans}), y -> if(size(y) = 0, {_CANDIDATE}, transform(array({pieces}), w -> {found})[0]))[0]"
 
 
 def _proposed(names: dict[str, str]) -> str:
@@ -252,8 +259,8 @@ def _of_corpus(docs: DataFrame, text_col: str) -> DataFrame:
     d, names = _sources(d, "text")
     for i, k in enumerate(KINDS):
         d = d.withColumn(f"base_{k}", F.expr(f"transform({_matched(k, names)}, x -> named_struct('start', x.start, 'end', x.end, 'm', x.m, 'ok', {_OK[k]}))"))
-    whole = f"substring({names['t']}, x.start + 1, x.end - x.start)"
-    own = "concat(" + ", ".join(_with_context(i, f"base_{k}", names, whole) for i, k in enumerate(KINDS)) + ")"
+    whole = {"card": _piece("x.start", "x.end - x.start"), "email": f"translate(x.m, {_literal(_DOT)}, '.')"}
+    own = "concat(" + ", ".join(_with_context(i, f"base_{k}", names, whole.get(k, "x.m")) for i, k in enumerate(KINDS)) + ")"
     d = d.withColumn("right", F.expr("array(" + ", ".join(f"transform(filter(base_{k}, b -> b.ok), b -> named_struct('start', b.start, 'end', b.end))" for k in KINDS) + ")"))
     both = F.expr(f"concat(transform({own}, x -> named_struct('c', x, 'checked', true)), transform({_proposed(names)}, x -> named_struct('c', x, 'checked', false)))")
     d = d.select(F.xxhash64("text").alias("th"), "right", F.explode(both).alias("both")).select("th", "right", "both.c", "both.checked")
@@ -323,6 +330,31 @@ def measured(model: Model) -> list[tuple[str, float, float]]:
     return [(k, right / chosen if chosen else 1.0, right / all_ if all_ else 1.0) for k, (all_, chosen, right) in zip(KINDS, model.reached)]
 
 
+def _apart(more: str, base: str) -> str:
+    """SQL: candidates that overlap no base span.  Base spans in the order of their starts are looked at in
+    stretches of FEW, of which only those that reach a candidate are entered."""
+    stretches = f"transform(sequence(0, (size(z) - 1) div {FEW}), i -> slice(z, i * {FEW} + 1, {FEW}))"
+    bounds = "transform(s, b -> named_struct('lo', b[0].start, 'hi', array_max(transform(b, y -> y.end)), 'spans', b))"
+    z = f"array_sort(transform({base}, b -> named_struct('start', b.start, 'end', b.end)))"
+    far = "filter({more}, x -> not exists(w, b -> b.lo < x.end and x.start < b.hi and exists(b.spans, y -> y.start < x.end and x.start < y.end)))".format(more=more)
+    return f"if(size({base}) = 0 or size({more}) = 0, {more}, transform(array({z}), z -> transform(array({stretches}), s -> transform(array({bounds}), w -> {far})[0])[0])[0])"
+
+
+def _best(more: str) -> str:
+    """SQL: of candidates (start, end, kind, score), cluster by cluster of those that overlap in a chain, the
+    best-scored one, then the best of those that don't overlap it, and so on; equal scores by start, end, kind."""
+    kept = "array<struct<start: int, end: int, kind: int, score: double>>"
+    # cuts: where, in the order of starts, a candidate begins that none before it reaches
+    cuts = (
+        "aggregate(transform(z, (x, i) -> named_struct('i', i, 'x', x)), named_struct('end', -1, 'at', cast(array() as array<int>)),"
+        " (a, y) -> named_struct('end', greatest(a.end, y.x.end), 'at', if(y.x.start >= a.end, array_append(a.at, y.i), a.at)), a -> array_append(a.at, size(z)))"
+    )
+    ranked = "array_sort(c, (p, q) -> case when p.score > q.score then -1 when p.score < q.score then 1 when p.start <> q.start then p.start - q.start when p.end <> q.end then p.end - q.end else p.kind - q.kind end)"
+    greedy = f"aggregate({ranked}, cast(array() as {kept}), (a, x) -> if(exists(a, b -> b.start < x.end and x.start < b.end), a, array_append(a, x)))"
+    clusters = f"transform(slice(k, 1, size(k) - 1), (from, i) -> transform(array(slice(z, from + 1, k[i + 1] - from)), c -> if(size(c) = 1, c, {greedy}))[0])"
+    return f"if(size({more}) = 0, cast(array() as {kept}), transform(array(array_sort({more})), z -> transform(array({cuts}), k -> flatten({clusters}))[0])[0])"
+
+
 COLUMNS = ("umbra_text", "umbra_base", "umbra_spans")
 
 
@@ -339,17 +371,14 @@ def find(docs: DataFrame, text_col: str = "text", model: Model | None = None, co
     found = [f"transform(filter({_matched(k, names)}, x -> {_OK[k]}), x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end))" for i, k in enumerate(KINDS)]
     d = d.withColumn(base, F.expr(f"concat({empty}, {', '.join(found)})"))
     d = d.withColumn(more, F.expr(_proposed(names)))
-    d = d.withColumn(more, F.expr(f"filter({more}, x -> not exists({base}, b -> b.start < x.end and x.start < b.end))"))
+    d = d.withColumn(more, F.expr(_apart(more, base)))
     # features stand under x.: the names kind, m, before, after become x.kind and so on
     feature = lambda e: re.sub(r"(?<![\w'`.])(kind|m|before|after)(?![\w(`'])", r"x.\1", e)
     vector = ", ".join(f"'{k}', {feature(e)}" for k, e in FEATURES.items())
     d = d.withColumn(more, F.expr(f"transform({more}, x -> named_struct('start', x.start, 'end', x.end, 'f', named_struct({vector})))"))
     limit = "element_at(array(" + ", ".join("double('infinity')" if x == math.inf else f"{x!r}D" for x in model.thresholds) + "), x.kind + 1)"
     d = d.withColumn(more, F.expr(f"filter(transform({more}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.f.kind, 'score', {model.trees.sql('x.f')})), x -> x.score >= {limit})"))
-    chosen = (
-        f"aggregate(array_sort({more}), cast(array() as array<struct<start: int, end: int, kind: int, score: double>>), (a, x) ->"
-        " if(size(a) = 0 or a[size(a) - 1].end <= x.start, array_append(a, x), if(a[size(a) - 1].score < x.score, array_append(slice(a, 1, size(a) - 1), x), a)))"
-    )
+    chosen = _best(more)
     d = d.withColumn(spans, F.expr(f"array_sort(concat({base}, transform({chosen}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))))"))
     return d.withColumn(base, F.array_sort(base)).withColumn(text, F.col(names["x"])).drop(*names.values(), more, taken)
 
