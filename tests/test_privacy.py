@@ -1,5 +1,7 @@
 """Goldens of the metrics, transforms and attacks on small tables."""
 
+import random
+
 import pytest
 
 from umbra.operators import attacks, dp, graph, metrics, population, transforms
@@ -176,6 +178,20 @@ def test_linkability(spark):
     assert got["links"] == 3 and got["rate"] == 1.0 and got["baseline"] == pytest.approx(1 / 3)
 
 
+def test_graph_verdicts_of_common_clues(spark):
+    """Equal sets, common clues, null ids, types and values: as by all pairs."""
+    rng = random.Random(4)
+    for size in (0, 6, 40):
+        clues = [(rng.choice([None, *range(12)]), rng.choice([None, "a", "b"]), rng.choice([None, 0, 0, 0, 1, 2, 3])) for _ in range(2 * size)]
+        s, i = (spark.createDataFrame(x, "id int, type string, value int") for x in (clues[:size], clues[size:]))
+        same = [(x, "a", 9) for x in range(20, 50)] + [(x, "b", 9) for x in range(20, 40)] + [(20, "c", 1)]
+        s, i = s.union(spark.createDataFrame(same, s.schema)), i.union(spark.createDataFrame([(x + 100, t, v) for x, t, v in same], s.schema))
+        for least in (1, 2):
+            got, want = (sorted(map(repr, d.collect())) for d in (graph.best_matches(s, i, least), over(graph.verdicts(least), s, identities=i)))
+            assert got == want
+    assert graph.best_matches(s, i, 2).where("subject = 20").first()["winners"] == 1
+
+
 def test_graph(spark):
     s = spark.createDataFrame([("s1", "t", "1"), ("s1", "t", "2"), ("s2", "t", "3")], "id string, type string, value string")
     i = spark.createDataFrame([("i1", "t", "1"), ("i1", "t", "2"), ("i2", "t", "1")], "id string, type string, value string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..plans.held import held
 
 #: Quantile behind the interval of a calibrated rate; controls that it takes.
 Z, CONTROLS = 1.959963984540054, 10
@@ -19,7 +20,7 @@ def shared_clues(subjects: str = "{t}", identities: str = "{identities}") -> str
 
 
 def verdicts(least: int, subjects: str = "{t}", identities: str = "{identities}") -> str:
-    """For each subject the best score, how many identities have it, and the verdict."""
+    """The same by all pairs with a clue in common."""
     return f"""
 WITH p AS ({shared_clues(subjects, identities)}),
 b AS (SELECT subject, max(shared) AS best FROM p GROUP BY subject),
@@ -31,13 +32,49 @@ FROM s LEFT JOIN w ON s.id = w.subject
 """
 
 
+def best_matches(subjects: DataFrame, identities: DataFrame, least: int) -> DataFrame:
+    """The rows of verdicts() without the pairs that share a common clue alone.
+
+    Subjects with equal clues are one, as are identities; equal sets are named by two sums of hashes and
+    their number, so no list of an id's clues is made.  Identities that share two clues with a subject
+    share one that isn't its commonest: candidates come from the other clues, and the commonest one is
+    looked up for these alone.  Where no identity shares two, those that share one are counted clue by
+    clue.  A clue costs the distinct sets of subjects that have a commoner one, times the distinct sets of
+    identities that have it.  Null types and values match nothing; a null identity counts as one."""
+    from ..plans.sql import over
+
+    names = "SELECT id, concat_ws(':', count(*), sum(CAST(xxhash64(type, value) AS DECIMAL(20))), sum(CAST(xxhash64(1, value, type) AS DECIMAL(20)))) AS k FROM {t} GROUP BY id"
+    sets = "SELECT DISTINCT o.k, x.type, x.value FROM {t} x JOIN {of} o ON x.id <=> o.id"
+    s, i = (held(d.select("id", "type", "value").where("type IS NOT NULL AND value IS NOT NULL").distinct()) for d in (subjects, identities))
+    s_of, i_of = held(over(names, s)), held(over(names, i))
+    i_sets = held(over(sets, i, of=i_of))
+    known = f"""
+WITH n AS (SELECT type, value, count(*) AS n FROM {{i}} GROUP BY type, value), s AS ({sets})
+SELECT s.k, struct(n.n, s.type, s.value) AS c FROM s JOIN n ON s.type = n.type AND s.value = n.value"""
+    return over(
+        f"""
+WITH size AS (SELECT k, count(*) AS members FROM {{i_of}} GROUP BY k),
+top AS (SELECT k, max(c) AS c, sum(c.n) AS n FROM {{known}} GROUP BY k),
+rest AS (SELECT x.k, x.c.type, x.c.value FROM {{known}} x JOIN top ON x.k = top.k WHERE x.c <> top.c),
+q AS (SELECT x.k, y.k AS i, count(*) AS shared FROM rest x JOIN {{i_sets}} y ON x.type = y.type AND x.value = y.value GROUP BY x.k, y.k),
+p AS (SELECT q.k, q.shared + CASE WHEN y.k IS NULL THEN 0 ELSE 1 END AS shared, size.members
+      FROM q JOIN top ON q.k = top.k JOIN size ON q.i = size.k LEFT JOIN {{i_sets}} y ON y.k = q.i AND y.type = top.c.type AND y.value = top.c.value),
+several AS (SELECT k, max(struct(shared, winners)) AS w FROM (SELECT k, shared, sum(members) AS winners FROM p WHERE shared > 1 GROUP BY k, shared) GROUP BY k),
+best AS (SELECT o.id, coalesce(v.w.shared, 1) AS best, coalesce(v.w.winners, top.n) AS winners
+         FROM {{s_of}} o JOIN top ON o.k = top.k LEFT JOIN several v ON o.k = v.k WHERE o.id IS NOT NULL),
+every AS (SELECT DISTINCT id FROM {{t}})
+SELECT e.id AS subject, coalesce(b.best, 0) AS best_shared, coalesce(b.winners, 0) AS winners,
+       CASE WHEN coalesce(b.best, 0) < {least} THEN 'clear' WHEN b.winners = 1 THEN 'inferred' ELSE 'ambiguous' END AS verdict
+FROM every e LEFT JOIN best b ON e.id = b.id""",
+        subjects, known=held(over(known, s, of=s_of, i=i)), i_sets=i_sets, i_of=i_of, s_of=s_of,
+    )
+
+
 def reachability(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
     """(start, node, hops): nodes that start reaches along src -> dst, by the fewest hops.
 
     A frontier joins the edges hop by hop; nodes already seen from a start are left out by an anti-join.
-    Without a bound it goes on while there is a frontier, each hop's rows being checkpointed where the
-    session names a folder, else persisted."""
-    held = (lambda d: d.checkpoint()) if starts.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    Without a bound it goes on while there is a frontier, each hop's rows being held as a table."""
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
     seen, hop = frontier, 0
     while most_hops is None or hop < most_hops:
@@ -128,9 +165,7 @@ def attack(spark: SparkSession, manifest: str, least: int = 2) -> DataFrame:
     _need(found["wrong"] == 0 and found["pairs"] == found["n"] and ends.join(nodes, "node", "left_anti").isEmpty(), "graph-edges")
     starts = ids.select(F.concat(F.lit("subject:"), "id").alias("start"))
     linked = reachability(edges.select("src", "dst"), starts).where("node like 'identity:%'").groupBy("start").agg(F.count("*").alias("linked"))
-    from ..plans.sql import over
-
-    base = over(verdicts(least), clues, identities=identities)
+    base = best_matches(clues, identities, least)
     out = ids.join(base, ids["id"] == base["subject"], "left").join(linked, F.concat(F.lit("subject:"), "id") == F.col("start"), "left")
     verdict = F.expr("case when linked = 1 then 'inferred' when linked > 1 then 'ambiguous' else coalesce(verdict, 'clear') end")
     return out.select("id", F.coalesce("best_shared", F.lit(0)).alias("best_shared"), F.coalesce("winners", F.lit(0)).alias("winners"), F.coalesce("linked", F.lit(0)).alias("linked"), verdict.alias("verdict"))

@@ -166,6 +166,15 @@ _SUBJECTS, _IDENTITIES = (f"(SELECT user_id AS id, event_type AS type, cast(floo
 for _end in ("", "_all"):
     _sql("graph_shared_clues" + _end, graph.shared_clues(), _SUBJECTS, identities=_IDENTITIES)
     _sql("graph_verdicts" + _end, graph.verdicts(2), _SUBJECTS, identities=_IDENTITIES)
+
+
+def graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return graph.best_matches(*[over(f"SELECT * FROM {_spark_names(x, {'events'})}", e, events=e) for x in (_SUBJECTS, _IDENTITIES)], 2)
+
+
+# in SQL by all pairs
+QUERIES |= {"graph_verdicts": graph_verdicts, "graph_verdicts_all": graph_verdicts}
 _sql("wilson_calibration", graph.calibrated(3), "(SELECT l_linenumber AS shared, l_returnflag = 'R' AS reidentified FROM lineitem)")
 
 
