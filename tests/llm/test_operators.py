@@ -77,6 +77,25 @@ def test_templates_of_a_leaf(spark):
     assert set(range(1, 30)) <= drop
 
 
+def test_crowded_leaves(spark):
+    """A leaf of more lines than a task takes has the templates that it has in one task, those of the plain version."""
+    rng = random.Random(23)
+    docs = [(i, "a b c d " + " ".join(rng.choice("pqrs" if rng.random() < 0.9 else "tuvw") for _ in range(6))) for i in rng.sample(range(1000), 400)]
+    lead: dict = {}
+    for _, x in sorted(docs):
+        if x not in lead:
+            w = x.split(" ")
+            lead[x] = next((y for y in lead if lead[y] == y and sum(p == q for p, q in zip(w, y.split(" "))) >= 7), x)
+    first: dict = {}
+    for i, x in sorted(docs):
+        first.setdefault(lead[x], i)
+    want = {i for i, x in docs if i > first[lead[x]]}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(set(lead.values())) > 30 and len(want) > 200
+    for crowd in (7, 50, 1000):
+        assert {r["doc_id"] for r in linededup.find(d, crowd=crowd).collect()} == want
+
+
 # 2
 def test_bpe(spark, odd):
     import tiktoken
