@@ -90,3 +90,30 @@ def test_matching_is_largest():
         assert len(set(pairs.values())) == len(pairs) and all(a[i][1] == b[j][1] for j, i in pairs.items())
         assert all(pairs[b[j][0]] == a[i][0] for j, i in pairs.items() if j)
         assert len(pairs) == plain(0, 0)
+
+
+def test_long_lists():
+    """Lists of over 500 by 500 siblings are matched in full, as short ones are, ties included."""
+
+    def page(kinds):
+        out = [(-1, "")]
+        for k in kinds:
+            out.append((0, k[0]))
+            out += [(len(out) - 1, x) for x in k[1:2]]
+        return out
+
+    # the ends differ, the middle agrees but for a few nodes
+    a = page(["x", *(["d", f"p{i % 3}"] for i in range(700)), "y"])
+    b = page(["u", *(["d", f"p{i % 3}"] for i in range(700) if i % 100 != 7), "v"])
+    pairs = wrapper.matched(a, b)
+    assert len(pairs) == 1 + 2 * 693
+    rng = random.Random(4)
+    p, q = ([rng.randrange(12) for _ in range(n)] for n in (90, 70))
+    weight = lambda u, v: (u * v) % 5 if u % 4 == v % 4 else 0
+    try:
+        whole, wrapper.WIDE = wrapper.WIDE, 1
+        fast = wrapper._aligned_lists(p, q, weight, True)
+        wrapper.WIDE = 1 << 30
+        assert fast == wrapper._aligned_lists(p, q, weight, True) and len(fast[1]) > 20
+    finally:
+        wrapper.WIDE = whole

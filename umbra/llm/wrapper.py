@@ -18,8 +18,7 @@ evidence, the nodes in question travel to the page by its id and hash; pages mov
 Character references are decoded, runs of white space become a blank, blocks are joined by a blank in page order.
 Null and empty pages have an empty text; a null or hostless url makes a page a site of its own.  A null id is the
 smallest.  Repeated rows are pages of one text; ties of pilots go to the smaller tree.  Elements nested deeper than DEEP count
-as part of the one above them.  Unclosed comments, scripts and tags end with the page.  Sibling lists of over LISTS pairs are matched
-from both ends first.  An empty table gives no rows.  Other columns are ignored.
+as part of the one above them.  Unclosed comments, scripts and tags end with the page.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +29,17 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mapped, stored
 
-#: Other pages that must have shown a node for it to be constant, the share of them with the pilot's text, depth, pairs.
-EVIDENCE, AGREE, DEEP, LISTS = 2, 0.9, 60, 250_000
+#: Other pages that must have shown a node for it to be constant, the share of them with the pilot's text, depth.
+EVIDENCE, AGREE, DEEP = 2, 0.9, 60
+#: Sibling lists of so many pairs are compared row by row in arrays: equal results, sooner.
+WIDE = 1_000
 
 # fixed values: elements of HTML by what they do
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,69 +235,105 @@ def tree(page: str) -> tuple[list[tuple], list[tuple[int, str]], bool]:
     return [tuple(x) for x in nodes], placed, whole
 
 
-def matched(a: list[tuple], b: list[tuple]) -> dict[int, int]:
-    """Simple tree matching: pairs (node of b: node of a) of one kind, in order, below paired parents, as many as there can be."""
+def _shapes(t: list[tuple], known: dict[tuple, int]) -> tuple[list[int], list[list[int]]]:
+    """Number of each node's shape (its kind and its children's shapes), and its children."""
+    kids: list[list[int]] = [[] for _ in t]
+    for i, x in enumerate(t):
+        if x[0] >= 0:
+            kids[x[0]].append(i)
+    shape = [0] * len(t)
+    for i in range(len(t) - 1, -1, -1):
+        shape[i] = known.setdefault((t[i][1], *[shape[j] for j in kids[i]]), len(known))
+    return shape, kids
+
+
+def _aligned_lists(p: list[int], q: list[int], weight, path: bool) -> tuple[int, list[tuple[int, int]]]:
+    """The largest sum of weights of pairs (of p and q, in order) and, if asked for, their places; of equal sums that which leaves out
+    the later nodes of p, then of q."""
+    if len(p) * len(q) < WIDE:
+        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, u in enumerate(p):
+            row, above = m[i + 1], m[i]
+            for j, v in enumerate(q):
+                row[j + 1] = max(above[j + 1], row[j], above[j] + weight(u, v))
+        pairs, i, j = [], len(p), len(q)
+        while path and i and j:
+            if m[i][j] == m[i - 1][j]:
+                i -= 1
+            elif m[i][j] == m[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        return m[-1][-1], pairs
+    kinds, at = np.unique(np.array(q), return_inverse=True)
+    weights = {u: np.array([weight(u, v) for v in kinds.tolist()], np.int32)[at] for u in set(p)}
+
+    def rows(i: int, j: int, row: np.ndarray) -> Iterator[np.ndarray]:
+        for u in p[i:j]:
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[u]), out=new[1:])
+            row = new
+            yield row
+
+    # every step-th row is kept, those between are made again on the way back
+    step = int(len(p) ** 0.5) + 1
+    kept = {0: np.zeros(len(q) + 1, np.int32)}
+    row = kept[0]
+    for i, row in enumerate(rows(0, len(p), kept[0]), 1):
+        if i % step == 0:
+            kept[i] = row
+    pairs, i, j = [], len(p), len(q)
+    while path and i and j:
+        low = (i - 1) // step * step
+        m = [kept[low], *rows(low, i, kept[low])]
+        while i > low and j:
+            if m[i - low][j] == m[i - low - 1][j]:
+                i -= 1
+            elif m[i - low][j] == m[i - low][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return int(row[-1]), pairs
+
 
-    def below(t: list[tuple]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in t]
-        for i, x in enumerate(t):
-            if x[0] >= 0:
-                out[x[0]].append(i)
-        return out
+def matched(a: list[tuple], b: list[tuple]) -> dict[int, int]:
+    """Simple tree matching: pairs (node of b: node of a) of one kind, in order, below paired parents, as many as there can be.
 
+    Subtrees of one shape score alike, so each pair of shapes is scored once; lists of any length are aligned in full."""
     if not a or not b or a[0][1] != b[0][1]:
         return {}
-    kids_a, kids_b = below(a), below(b)
+    known: dict[tuple, int] = {}
+    (shape_a, kids_a), (shape_b, kids_b) = _shapes(a, known), _shapes(b, known)
+    shapes = list(known)
     found: dict[tuple[int, int], int] = {}
     back: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
+    def below(x: int, y: int, path: bool) -> tuple[int, list[tuple[int, int]]]:
+        p, q = shapes[x][1:], shapes[y][1:]
+        if not p or not q:
+            return 0, []
+        kinds = [shapes[i][0] for i in p]
+        if kinds == [shapes[j][0] for j in q] and (len(set(kinds)) == len(kinds) or not any(len(shapes[i]) > 1 or len(shapes[j]) > 1 for i, j in zip(p, q))):
+            return sum(score(i, j) for i, j in zip(p, q)), list(zip(range(len(p)), range(len(q))))
+        return _aligned_lists(list(p), list(q), score, path)
+
     def score(x: int, y: int) -> int:
-        if a[x][1] != b[y][1]:
+        if shapes[x][0] != shapes[y][0]:
             return 0
-        if (got := found.get((x, y))) is not None:
-            return got
-        p, q = kids_a[x], kids_b[y]
-        fixed: list[tuple[int, int]] = []
-        kinds = [a[i][1] for i in p]
-        if kinds == [b[j][1] for j in q] and (len(set(kinds)) == len(kinds) or not any(kids_a[i] or kids_b[j] for i, j in zip(p, q))):
-            fixed, p, q = list(zip(p, q)), [], []
-        elif len(p) * len(q) > LISTS:
-            k = 0
-            while k < min(len(p), len(q)) and a[p[k]][1] == b[q[k]][1]:
-                k += 1
-            r = 0
-            while r < min(len(p), len(q)) - k and a[p[-1 - r]][1] == b[q[-1 - r]][1]:
-                r += 1
-            fixed = list(zip(p[:k], q[:k])) + list(zip(p[len(p) - r :], q[len(q) - r :]))
-            p, q = p[k : len(p) - r], q[k : len(q) - r]
-            if len(p) * len(q) > LISTS:
-                p = q = []
-        total = 1 + sum(score(i, j) for i, j in fixed)
-        if p and q:
-            m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i, u in enumerate(p):
-                row, above = m[i + 1], m[i]
-                for j, v in enumerate(q):
-                    row[j + 1] = max(above[j + 1], row[j], above[j] + (score(u, v) if a[u][1] == b[v][1] else 0))
-            i, j = len(p), len(q)
-            total += m[i][j]
-            while i and j:
-                if m[i][j] == m[i - 1][j]:
-                    i -= 1
-                elif m[i][j] == m[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    fixed.append((p[i], q[j]))
-        found[x, y], back[x, y] = total, fixed
-        return total
-
-    score(0, 0)
+        if (got := found.get((x, y))) is None:
+            got = found[x, y] = 1 + below(x, y, False)[0]
+        return got
+
     pairs, todo = {}, [(0, 0)]
     while todo:
         x, y = todo.pop()
         pairs[y] = x
-        todo += back[x, y]
+        both = shape_a[x], shape_b[y]
+        if both not in back:
+            back[both] = below(*both, True)[1]
+        todo += [(kids_a[x][i], kids_b[y][j]) for i, j in back[both]]
     return pairs
 
 
