@@ -153,6 +153,17 @@ def test_languages(spark, odd):
     assert whole[0] == chunked[0]
 
 
+def test_support_of_many(spark):
+    """The least support is that of all labelled rows, however many they are."""
+    rng = random.Random(31)
+    odd = ["".join(rng.choice("αβγδεζηθικλμ") for _ in range(8)) for _ in range(40)]
+    docs = [(i, " ".join(["the dog runs"] * rng.randint(1, 9) + rng.sample(odd, rng.randint(0, 30))), "en") for i in range(5000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(d.where("doc_id < 50"))
+    found = [r["support"] for r in langid.predict(d, model, support=True).collect()]
+    assert langid.least_support(d, model) == pytest.approx(langid.SLACK * np.percentile(found, 100 * langid.RARE), rel=1e-12)
+
+
 def test_support(spark):
     docs = [(i, "the quick brown fox jumps over the lazy dog and runs away", "en") for i in range(60)] + [(100, "ελληνικό κείμενο χωρίς γνωστά γράμματα", None), (101, "中文文本", None), (102, "the dog runs", None), (103, "12", None), (104, "a ελληνικό κείμενο χωρίς γνωστά γράμματα", None)]
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")

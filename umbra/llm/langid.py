@@ -20,6 +20,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped
+from .shared import dropped, mapped, stored
 
 #: Bounds the sample that a filter is learned from: documents of a language, on average.
 PER_LANGUAGE = 2000
@@ -37,6 +38,8 @@ ORDERS, SLOTS, PROBES = (1, 3), 1 << 18, 3
 FLOOR, KEEP = 2e-5, 0.5
 #: Labelled texts of less than SLACK of the support that all but a share of RARE of them have are of no learned language.
 RARE, SLACK = 0.01, 0.5
+#: Intervals in which numbers are counted at once to find the one of a rank.
+BINS = 4096
 #: Characters that are looked up at once.
 CHUNK = 250_000
 
@@ -202,10 +205,27 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     return mapped(d, run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, lang_pred string, score double" + (", support double" if support else ""))
 
 
-def least_support(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> float:
-    """The support that a text of a learned language has at least, from labelled rows of docs; 0 if there are none."""
-    sample, _ = _sample(docs, id_col, text_col, lang_col, per_language)
-    if sample is None:
-        return 0.0
-    found = predict(sample.where(F.col("lang").isin(model.languages)), model, "id", "text", support=True).where("lang_pred <> 'und'")
-    return SLACK * (found.agg(F.percentile("support", F.lit(RARE))).first()[0] or 0.0)
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value of that rank (from 0) of a stored column v of numbers: counts of BINS intervals, then of those in the right one, and on."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = values.where(F.col("v").between(low, high)).groupBy(place.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for b in sorted(bins.collect()):
+            if rank < b["n"]:
+                low, high = b["low"], b["high"]
+                break
+            rank -= b["n"]
+    return low
+
+
+def least_support(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The support that a text of a learned language has at least, from all labelled rows of docs; 0 if there are none."""
+    labelled = docs.where(F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
+    found = predict(labelled, model, id_col, text_col, support=True).where("lang_pred <> 'und'")
+    values, path = stored(found.select(F.col("support").alias("v")), "supports")
+    n = values.count()
+    at = RARE * (n - 1)
+    low, high = (_ranked(values, k) for k in (math.floor(at), math.ceil(at))) if n else (0.0, 0.0)
+    dropped(docs.sparkSession, path)
+    return SLACK * (low + (at - math.floor(at)) * (high - low))
