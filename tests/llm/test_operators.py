@@ -318,6 +318,22 @@ def test_near_copies(spark, odd):
     assert minhash.near_copies(none(odd)).count() == 0
 
 
+def test_unlike_short_texts():
+    """Of short texts the registers alone tell that they aren't linked; no linked pair is lost by that."""
+    from umbra.llm import minhash
+
+    rng = np.random.default_rng(6)
+    for n in (5, 12, 40, 300):
+        for common in range(0, n + 1, max(1, n // 20)):
+            h = rng.integers(0, 1 << 63, 2 * n - common, np.uint64) << np.uint64(1)
+            a, b = np.sort(h[:n]), np.sort(h[n - common :])
+            ra, rb = minhash.sketch([a, b])
+            linked = 100 * common >= 80 * (2 * n - common)
+            ok = bool(minhash.likely(ra, rb, np.array(n), np.array(n), 80))
+            assert ok or not linked
+            assert not ok or n > 40 or common >= 0.7 * n
+
+
 # 7
 def test_shards(spark, odd):
     d = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")

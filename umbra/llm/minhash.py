@@ -4,7 +4,7 @@ A document is the set of its word shingles.  Its sketch deals the shingles' hash
 keeps of each bucket's smallest hash the count of leading zeros (6 bits) and 10 bits of mantissa: 16
 bits a register.  Bands of four registers are the keys under which documents meet; the Jaccard
 similarity, estimated from the registers and corrected for chance collisions, drops clearly different
-pairs; the others are confirmed on their full shingle sets.
+pairs, and of short texts all but few by the count of registers that differ; the others are confirmed on their full shingle sets.
 
 Documents with equal sets are one node.  Of a key's nodes each is first held against the smallest
 alone; then, where a key still joins several components, those outside the key's largest one are
@@ -137,7 +137,8 @@ def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of registers (arrays that broadcast) may reach the similarity: the estimate, less
-    expected collisions, lies within five standard deviations, and the sets' sizes allow it."""
+    expected collisions, lies within five standard deviations, and the sets' sizes allow it; no more registers
+    differ than a linked pair's sets have elements that aren't common, as each such element changes one at most."""
     same = ((a == b) & (a > 0)).sum(axis=-1)
     filled = ((a > 0) | (b > 0)).sum(axis=-1)
     ratio = size_a / np.maximum(1, size_b)
@@ -145,6 +146,7 @@ def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
     estimate = np.maximum(0, same - chance) / np.maximum(1, filled)
     t = percent / 100
     fits = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    fits = fits & ((100 + percent) * (filled - same) <= (100 - percent) * (size_a + size_b))
     return fits & (estimate >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(1, filled)))
 
 
