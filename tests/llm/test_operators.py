@@ -558,3 +558,29 @@ def test_workers_forget_what_another_operator_keeps():
     shared._RAN[:] = ["umbra.llm.packing"]
     shared._alone("umbra.llm.pii")
     assert repair.token_bytes(path) is not first
+
+
+def test_pieces_encoded_together():
+    """Pieces that are encoded in one string have the ids of the tokenizers library, whatever they hold."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(10)
+    parts = ["ab", "the ", " ", ".", ",", "\n", "\t", "\x0b", "'s", "é", "日", "1", "-", "  ", "\x85", "\u3000", "don't", "<|endoftext|>", "\0", "a\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "\n", LONG]
+    encode = repair._Encoder(path)
+    assert [len(x) for x in texts] == [len(x) for some in repair._groups(texts) for x in some]
+    want = [np.array(x.ids, encode.wide).tobytes() for x in encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    handed, real = [], encode.tokenizer
+
+    class Counted:
+        def encode(self, text, **more):
+            return real.encode(text, **more)
+
+        def encode_batch_fast(self, some, **more):
+            handed.extend(some)
+            return real.encode_batch_fast(some, **more)
+
+    encode.tokenizer = Counted()
+    assert [x for some in repair._groups(texts) for x in encode.many(some)] == want
+    before = len(handed)
+    words = [f"new{i}word" for i in range(2000)]
+    assert encode.many([" ".join(words)])[0] == np.array(real.encode(" ".join(words), add_special_tokens=False).ids, encode.wide).tobytes()
+    assert len(handed) - before < 20

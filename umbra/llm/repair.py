@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,8 @@ from .shared import stored
 BLOCK_IDS = 2_000_000
 #: Entries of a worker's cache (it keeps the first ones; frequent pieces come early), characters of one at most.
 CACHE, SHORT = 250_000, 64
+#: What stands between pieces that are encoded together, and how many; characters of texts that are looked up together.
+APART, JOINED, TEXTS = "\x0b", 10_000, 500_000
 #: Entries where only the number of ids is kept.
 COUNTS = 500_000
 #: Rules a round at most, occurrences that a pair must have to be looked at, and to get a rule; least gain of a round.
@@ -189,23 +192,61 @@ class _Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.wide = np.uint16 if self.size < 1 << 16 else np.uint32
+        apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
+        self.apart = apart[0] if len(apart) == 1 else None
         self.known: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
     def __call__(self, text: str) -> bytes:
-        if any(map(text.__contains__, self.added)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
-        parts = pieces(text, self.findall)
-        known = self.known
-        got = [known.get(x) for x in parts]
-        if None in got:
-            at = [i for i, x in enumerate(got) if x is None]
-            for i, e in zip(at, self.tokenizer.encode_batch_fast([parts[i] for i in at], add_special_tokens=False)):
-                got[i] = np.array(e.ids, self.wide).tobytes()
-                if len(known) < CACHE and len(parts[i]) <= SHORT:
-                    known[parts[i]] = got[i]
-        return b"".join(got)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a piece that the cache lacks is encoded once for all of them."""
+        known, new = self.known, {}
+        out: list = []
+        for text in texts:
+            if any(map(text.__contains__, self.added)):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes())
+                continue
+            parts = pieces(text, self.findall)
+            got = [known.get(x) for x in parts]
+            if None in got:
+                at = [(i, parts[i]) for i, x in enumerate(got) if x is None]
+                new.update(dict.fromkeys([x for _, x in at]))
+                out.append((got, at))
+            else:
+                out.append(b"".join(got))
+        self._learn(new)
+        for k, x in enumerate(out):
+            if type(x) is tuple:
+                got, at = x
+                for i, piece in at:
+                    got[i] = new[piece]
+                out[k] = b"".join(got)
+        for x, ids in new.items():
+            if len(known) >= CACHE:
+                break
+            if len(x) <= SHORT:
+                known[x] = ids
+        return out
 
+    def _learn(self, new: dict[str, bytes | None]) -> None:
+        """Gives each piece its ids.  Pieces are encoded in one string, APART between them: white space on which the pattern cuts whatever
+        stands around, unless that is white space too."""
+        joined = [x for x in new if self.apart is not None and APART not in x and not x[-1:].isspace() and x[:2].strip(" \n")]
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([APART.join(some)], add_special_tokens=False)[0].ids, self.wide)
+            ends = np.flatnonzero(ids == self.apart)
+            if len(ends) != len(some) - 1:
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            starts, stops = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)]
+            for x, i, j in zip(some, starts, stops):
+                new[x] = raw[i:j]
+        rest = [x for x, ids in new.items() if ids is None]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            new[x] = np.array(e.ids, self.wide).tobytes()
 
     def count(self, text: str) -> int:
         """How many ids a text has."""
@@ -243,6 +284,19 @@ def token_bytes(path: str):
     return _encoder(path)
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about TEXTS characters."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> tuple[DataFrame, str]:
     """Encodes every text, appends end_id, writes the ids in ascending order of id_col as compressed
     blocks to the shared folder; returns them as read back, and their place.
@@ -268,11 +322,12 @@ def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out)], schema=out)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            encoded = (x for some in _groups(batch.column(1).to_pylist()) for x in encode.many(some))
+            for doc, got in zip(batch.column(0).to_pylist(), encoded):
                 if size >= BLOCK_IDS:
                     yield close()
                     block, ids, ends, parts, size = block + 1, [], [], [], 0
-                got = encode(text) + end
+                got += end
                 parts.append(got)
                 size += len(got) // np.dtype(encode.wide).itemsize
                 ids.append(-(2**63) if doc is None else doc)
