@@ -61,22 +61,12 @@ def _occurrences(key: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.nda
     if pairs.min() > 0:
         hit &= key > 0  # an empty slot isn't pair 0
     # in a run of hits, those at even distance from its start
-    rest, chosen = hit, np.zeros(len(hit), bool)
-    for _ in range(8):
-        start = rest.copy()
-        start[1:] &= ~rest[:-1]
-        chosen |= start
-        rest = rest & ~start
-        rest[1:] &= ~start[:-1]
-        if not rest.any():
-            break
-    else:
-        on = np.flatnonzero(hit)
-        new_run = np.concatenate(([True], np.diff(on) != 1))
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(on)), 0))
-        chosen = np.zeros(len(hit), bool)
-        chosen[on[(np.arange(len(on)) - start) % 2 == 0]] = True
-    on = np.flatnonzero(chosen)
+    on = np.flatnonzero(hit)
+    rank = np.arange(len(on), dtype=np.int32)
+    start = np.zeros(len(on), np.int32)
+    first = np.flatnonzero(on[1:] - on[:-1] != 1).astype(np.int32) + np.int32(1)
+    start[first] = first
+    on = on[(rank - np.maximum.accumulate(start)) & 1 == 0]
     return on, index[where[on]]
 
 
@@ -209,7 +199,7 @@ class _Encoder:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes())
                 continue
             parts = pieces(text, self.findall)
-            got = [known.get(x) for x in parts]
+            got = list(map(known.get, parts))
             if None in got:
                 at = [(i, parts[i]) for i, x in enumerate(got) if x is None]
                 new.update(dict.fromkeys([x for _, x in at]))
