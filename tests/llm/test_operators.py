@@ -584,3 +584,34 @@ def test_pieces_encoded_together():
     words = [f"new{i}word" for i in range(2000)]
     assert encode.many([" ".join(words)])[0] == np.array(real.encode(" ".join(words), add_special_tokens=False).ids, encode.wide).tobytes()
     assert len(handed) - before < 20
+
+
+def test_texts_encoded_as_one_array(monkeypatch):
+    """Texts of any pieces give the library's ids and the end id, whatever the cache holds, and reach the library together."""
+    monkeypatch.setattr(repair, "CACHE", 300)
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(11)
+    encode = repair._Encoder(path)
+    real, handed = encode.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **more):
+            handed.append(text)
+            return real.encode(text, **more)
+
+        def encode_batch_fast(self, some, **more):
+            handed.extend(some)
+            return real.encode_batch_fast(some, **more)
+
+    encode.tokenizer = Counted()
+    gaps = ["x".join(" " * k + "\n" * j for k in range(40)) for j in range(20)]
+    assert encode.many(gaps) == [np.array(x.ids, encode.wide).tobytes() for x in real.encode_batch_fast(gaps, add_special_tokens=False)]
+    assert len(handed) < 5  # hundreds of different runs of white space, each of which had a call's work of its own
+    parts = ["word", "Éa", " ", "\n", ".", ",", "\t", "\x0b", "日本", "12", "'ll", "\0", "<|endoftext|>", "  ", "a\u0301", "\u2003"]
+    for _ in range(5):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 60]))) + str(rng.randrange(500)) * rng.randrange(2) for _ in range(400)]
+        ids, sizes = encode.joined(texts, 2)
+        want = [[*x.ids, 2] for x in real.encode_batch_fast(texts, add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+        assert len(encode.known) <= 300
+    assert [x.tolist() for x in repair.encoded(path, [None, "", "a b"], 2)] == [[2], [2], [*real.encode("a b", add_special_tokens=False).ids, 2]]
+    assert [len(x) for x in encode.joined([], 2)] == [0, 0]

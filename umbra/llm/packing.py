@@ -232,12 +232,10 @@ def sequences(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     top = max(lengths)
 
     def cut(batch):
-        from .repair import token_bytes
+        from .repair import encoded
 
-        encode, end = token_bytes(path), np.array([end_id], np.uint32)
         rows: tuple[list, ...] = ([], [], [], [])
-        for doc, text, th in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            ids = np.concatenate([np.frombuffer(encode(text or ""), encode.wide).astype(np.uint32), end])
+        for doc, ids, th in zip(batch.column(0).to_pylist(), encoded(path, batch.column(1).to_pylist(), end_id), batch.column(2).to_pylist()):
             for k in range(0, len(ids), top):
                 for column, x in zip(rows, (doc, th, k // top, ids[k : k + top].astype("<u4").tobytes())):
                     column.append(x)

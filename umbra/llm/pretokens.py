@@ -10,6 +10,12 @@ _OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _CLUSTERED = re.compile("[.,](?<=[^A-Za-z0-9À-ÖØ-öø-ÿ][.,])")
 
 
+def marked(text: str, findall) -> str:
+    """A text without \\0, with \\0 between the pieces that pieces() gives (an empty one gives no ids)."""
+    cut = _cut(text)
+    return "\0".join(findall(text)) if cut is None else cut
+
+
 def pieces(text: str, findall) -> list[str]:
     """Pieces of text, in order and complete, that may be encoded one by one.
 
@@ -19,9 +25,15 @@ def pieces(text: str, findall) -> list[str]:
     """
     if not text:
         return []
+    cut = _cut(text)
+    return findall(text) if cut is None else cut.split("\0")
+
+
+def _cut(text: str) -> str | None:
+    """text with \\0 before each white space, stop and comma that starts a match; None where these rules don't hold."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or (any(x in text for x in _OTHER_ASCII) if text.isascii() else _OTHER.search(text)):
-        return findall(text)
+        return None
     cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
-    if text[0] not in ".," and not _CLUSTERED.search(text):
+    if text[:1] not in (".", ",") and not _CLUSTERED.search(text):
         cut = cut.replace(".", "\0.").replace(",", "\0,")
-    return cut.split("\0")
+    return cut

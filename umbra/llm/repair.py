@@ -9,8 +9,8 @@ used up: sequences of copies fold up to single symbols, others end when rules ce
 stores its rules, each rule's expansion length and the sequence, so that any range of ids is decoded
 without the rest.  Spark's writer commits the files, so a lost task leaves none behind.
 
-A text that holds one of the vocabulary's added tokens is encoded as a whole by the tokenizers library,
-any other in pieces that give the same ids.
+A text that holds one of the vocabulary's added tokens, or \\0, is encoded as a whole by the tokenizers
+library, any other in pieces that give the same ids.
 
 Nulls count as empty texts (their ids are the end id alone).  Rows with the same id, equal ones too,
 each keep their place, ordered by a hash of their text.  A null id sorts first.  An empty table gives no
@@ -26,19 +26,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pretokens import pieces
+from .pretokens import marked, pieces
 from .shared import stored
 
 #: Ids a block (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
 #: Entries of a worker's cache (it keeps the first ones; frequent pieces come early), characters of one at most.
-CACHE, SHORT = 250_000, 64
-#: What stands between pieces that are encoded together, and how many; characters of texts that are looked up together.
-APART, JOINED, TEXTS = "\x0b", 10_000, 500_000
+CACHE, SHORT = 500_000, 64
+#: Pieces that are encoded together; characters of texts that are looked up together.
+JOINED, TEXTS = 10_000, 8_000_000
 #: Entries where only the number of ids is kept.
 COUNTS = 500_000
 #: Rules a round at most, occurrences that a pair must have to be looked at, and to get a rule; least gain of a round.
@@ -170,6 +171,12 @@ class Block:
         return self.ids(int(self.doc_ends[k - 1]) if k else 0, int(self.doc_ends[k]))
 
 
+def _spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin there and have these sizes, one after another."""
+    stop = np.cumsum(size)
+    return flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
+
+
 class _Encoder:
     def __init__(self, path: str):
         import public_tokenizers
@@ -182,61 +189,71 @@ class _Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.wide = np.uint16 if self.size < 1 << 16 else np.uint32
-        apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
-        self.apart = apart[0] if len(apart) == 1 else None
-        self.known: dict[str, bytes] = {}
+        #: pieces that this worker knows; where in flat the ids of each begin, and how many they are
+        self.known = pa.array([], pa.large_string())
+        self.begin, self.size_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.wide)
         self.counts: dict[str, int] = {}
 
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
     def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; a piece that the cache lacks is encoded once for all of them."""
-        known, new = self.known, {}
-        out: list = []
-        for text in texts:
-            if any(map(text.__contains__, self.added)):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes())
-                continue
-            parts = pieces(text, self.findall)
-            got = list(map(known.get, parts))
-            if None in got:
-                at = [(i, parts[i]) for i, x in enumerate(got) if x is None]
-                new.update(dict.fromkeys([x for _, x in at]))
-                out.append((got, at))
-            else:
-                out.append(b"".join(got))
-        self._learn(new)
-        for k, x in enumerate(out):
-            if type(x) is tuple:
-                got, at = x
-                for i, piece in at:
-                    got[i] = new[piece]
-                out[k] = b"".join(got)
-        for x, ids in new.items():
-            if len(known) >= CACHE:
-                break
-            if len(x) <= SHORT:
-                known[x] = ids
-        return out
-
-    def _learn(self, new: dict[str, bytes | None]) -> None:
-        """Gives each piece its ids.  Pieces are encoded in one string, APART between them: white space on which the pattern cuts whatever
-        stands around, unless that is white space too."""
-        joined = [x for x in new if self.apart is not None and APART not in x and not x[-1:].isspace() and x[:2].strip(" \n")]
-        for at in range(0, len(joined), JOINED):
-            some = joined[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([APART.join(some)], add_special_tokens=False)[0].ids, self.wide)
-            ends = np.flatnonzero(ids == self.apart)
-            if len(ends) != len(some) - 1:
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            starts, stops = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)]
-            for x, i, j in zip(some, starts, stops):
-                new[x] = raw[i:j]
-        rest = [x for x, ids in new.items() if ids is None]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
-            new[x] = np.array(e.ids, self.wide).tobytes()
+        """The ids of each text."""
+        ids, sizes = self.joined(texts)
+        raw, stops = ids.tobytes(), np.cumsum(sizes) * ids.itemsize
+        return [raw[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def joined(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another, how many each has); end: the id that each gets at its end.
+
+        Arrow splits the texts and numbers their different pieces; those that the cache lacks are encoded once for all."""
+        if not texts:
+            return np.zeros(0, self.wide), np.zeros(0, np.int64)
+        whole = {k for k, text in enumerate(texts) if "\0" in text or any(map(text.__contains__, self.added))}
+        split = pc.split_pattern(pa.array(["" if k in whole else marked(text, self.findall) for k, text in enumerate(texts)], pa.large_string()), "\0")
+        last = split.offsets.to_numpy()[1:] - 1
+        coded = split.flatten().dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, self.known), -1).to_numpy().astype(np.int64)
+        lacking = place < 0
+        new = coded.dictionary.filter(pa.array(lacking))
+        place[lacking] = len(self.known) + np.arange(len(new))
+        flat, size_of = self._learn(new.to_pylist())
+        begin = np.cumsum(size_of) - size_of
+        at = place[coded.indices.to_numpy()]
+        size = np.concatenate([self.size_of, size_of])[at]
+        if end is not None:
+            size[last] += 1
+        ids = _spread(np.concatenate([self.flat, flat, np.zeros(1, self.wide)]), np.concatenate([self.begin, begin + len(self.flat)])[at], size)
+        stops = np.cumsum(size)[last]
+        if end is not None:
+            ids[stops - 1] = end
+        self._keep(new, flat, begin, size_of)
+        sizes = np.diff(stops, prepend=0)
+        if whole:
+            parts = np.split(ids, stops[:-1])
+            for k in whole:
+                parts[k] = np.concatenate([np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.wide), parts[k]])
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, sizes
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces, one after another, how many each has): pieces are encoded together, as words that are cut already."""
+        ids, sizes = [np.zeros(0, self.wide)], [np.zeros(0, np.int64)]
+        for k in range(0, len(new), JOINED):
+            some = new[k : k + JOINED]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, self.wide))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _keep(self, new: pa.Array, flat: np.ndarray, begin: np.ndarray, size_of: np.ndarray) -> None:
+        """Takes short pieces into the cache while it has room."""
+        if not len(new) or (room := CACHE - len(self.known)) <= 0:
+            return
+        some = np.flatnonzero(pc.utf8_length(new).to_numpy() <= SHORT)[:room]
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(some))])
+        size = size_of[some]
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size_of = np.concatenate([self.size_of, size])
+        self.flat = np.concatenate([self.flat, _spread(flat, begin[some], size)])
 
     def count(self, text: str) -> int:
         """How many ids a text has."""
@@ -287,6 +304,13 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def encoded(path: str, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text (null: empty), and end_id."""
+    for some in _groups([x or "" for x in texts]):
+        ids, sizes = _encoder(path).joined(some, end_id)
+        yield from np.split(ids.astype(np.uint32), np.cumsum(sizes)[:-1])
+
+
 def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> tuple[DataFrame, str]:
     """Encodes every text, appends end_id, writes the ids in ascending order of id_col as compressed
     blocks to the shared folder; returns them as read back, and their place.
@@ -301,29 +325,27 @@ def encode_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
 
     def run(batches):
         encode = _encoder(path)
-        end = np.array([end_id], encode.wide).tobytes()
-        shard, block, ids, ends, parts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-
-        def close():
-            seq = np.frombuffer(b"".join(parts), encode.wide)
-            rules, seq = compress(seq, encode.size)
-            wide = "<u2" if encode.size < 1 << 16 else "<u4"
-            row = (shard, block, len(ids), size, encode.size, np.array(ids, "<i8").tobytes(), np.array(ends, "<i8").tobytes(), rules.astype(wide).tobytes(), expansion_lengths(rules, encode.size).astype("<i4").tobytes(), seq.astype(wide).tobytes())
+        wide = "<u2" if encode.size < 1 << 16 else "<u4"
+        shard, block = TaskContext.get().partitionId(), 0
+        held, sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, encode.wide)
+
+        def closed(held, ends, ids):
+            rules, seq = compress(ids, encode.size)
+            row = (shard, block, len(held), len(ids), encode.size, held.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), rules.astype(wide).tobytes(), expansion_lengths(rules, encode.size).astype("<i4").tobytes(), seq.astype(wide).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out)], schema=out)
 
         for batch in batches:
-            encoded = (x for some in _groups(batch.column(1).to_pylist()) for x in encode.many(some))
-            for doc, got in zip(batch.column(0).to_pylist(), encoded):
-                if size >= BLOCK_IDS:
-                    yield close()
-                    block, ids, ends, parts, size = block + 1, [], [], [], 0
-                got += end
-                parts.append(got)
-                size += len(got) // np.dtype(encode.wide).itemsize
-                ids.append(-(2**63) if doc is None else doc)
-                ends.append(size)
-        if ids:
-            yield close()
+            docs, at = batch.column(0).fill_null(-(2**63)).to_numpy(), 0
+            for some in _groups(batch.column(1).to_pylist()):
+                more, n = encode.joined(some, end_id)
+                held, sizes, ids = np.concatenate([held, docs[at : at + len(some)]]), np.concatenate([sizes, n]), np.concatenate([ids, more])
+                at += len(some)
+                while (ends := np.cumsum(sizes)).size and ends[-1] >= BLOCK_IDS:
+                    k = int(np.searchsorted(ends, BLOCK_IDS)) + 1  # the document that fills the block is its last
+                    yield closed(held[:k], ends[:k], ids[: ends[k - 1]])
+                    block, held, sizes, ids = block + 1, held[k:], sizes[k:], ids[ends[k - 1] :]
+        if len(held):
+            yield closed(held, np.cumsum(sizes), ids)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
