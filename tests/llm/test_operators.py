@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from umbra.llm import bpe, langid, linededup, merkle, minhash, packing, pii, repair, sharding, shared, vectors
+from umbra.llm import bpe, langid, linededup, merkle, minhash, packing, pii, pretokens, repair, sharding, shared, vectors
 
 EXTRA = "text string, lang string, key string, h long, n long, rep long, part int, umbra string"
 LONG = "word " * 20000 + "1-2 " * 500
@@ -615,3 +615,17 @@ def test_texts_encoded_as_one_array(monkeypatch):
         assert len(encode.known) <= 300
     assert [x.tolist() for x in repair.encoded(path, [None, "", "a b"], 2)] == [[2], [2], [*real.encode("a b", add_special_tokens=False).ids, 2]]
     assert [len(x) for x in encode.joined([], 2)] == [0, 0]
+
+
+def test_texts_cut_at_once():
+    """columns() cuts many texts where pieces() cuts each."""
+    import regex
+
+    findall, rng = regex.compile(public_tokenizers.PATTERN).findall, random.Random(12)
+    parts = ["a", "B", "z9", " ", ".", ",", "\n", "é", "×", "÷", "ÿ", "À", "日", "\u3000", "\u2003", "’", "\x85", "\xa0", "ª", "\t", "\0", "  ", "'s", "𝒳", "ß"]
+    for _ in range(1000):
+        texts = ["".join(rng.choice(parts[: rng.choice([6, 9, 12, len(parts)])]) for _ in range(rng.choice([0, 1, 2, 5, 20]))) for _ in range(rng.randint(1, 12))]
+        got, first = pretokens.columns(texts, findall)
+        for text, i, j in zip(texts, first.tolist(), [*first[1:].tolist(), len(got)]):
+            mine = got.slice(i, j - i).to_pylist()
+            assert "".join(mine) == text and mine in ([x for x in pretokens.pieces(text, findall) if x] or [""], findall(text))

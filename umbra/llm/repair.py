@@ -9,8 +9,8 @@ used up: sequences of copies fold up to single symbols, others end when rules ce
 stores its rules, each rule's expansion length and the sequence, so that any range of ids is decoded
 without the rest.  Spark's writer commits the files, so a lost task leaves none behind.
 
-A text that holds one of the vocabulary's added tokens, or \\0, is encoded as a whole by the tokenizers
-library, any other in pieces that give the same ids.
+A text that holds one of the vocabulary's added tokens is encoded as a whole by the tokenizers library,
+any other in pieces that give the same ids.
 
 Nulls count as empty texts (their ids are the end id alone).  Rows with the same id, equal ones too,
 each keep their place, ordered by a hash of their text.  A null id sorts first.  An empty table gives no
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pretokens import marked, pieces
+from .pretokens import columns, pieces
 from .shared import stored
 
 #: Ids a block (a longer document has a block of its own).
@@ -204,13 +204,13 @@ class _Encoder:
     def joined(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another, how many each has); end: the id that each gets at its end.
 
-        Arrow splits the texts and numbers their different pieces; those that the cache lacks are encoded once for all."""
+        Arrow numbers the texts' different pieces; those that the cache lacks are encoded once for all."""
         if not texts:
             return np.zeros(0, self.wide), np.zeros(0, np.int64)
-        whole = {k for k, text in enumerate(texts) if "\0" in text or any(map(text.__contains__, self.added))}
-        split = pc.split_pattern(pa.array(["" if k in whole else marked(text, self.findall) for k, text in enumerate(texts)], pa.large_string()), "\0")
-        last = split.offsets.to_numpy()[1:] - 1
-        coded = split.flatten().dictionary_encode()
+        whole = {k for k, text in enumerate(texts) if any(map(text.__contains__, self.added))}
+        parts, first = columns(["" if k in whole else text for k, text in enumerate(texts)] if whole else texts, self.findall)
+        last = np.append(first[1:], len(parts)) - 1
+        coded = parts.dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, self.known), -1).to_numpy().astype(np.int64)
         lacking = place < 0
         new = coded.dictionary.filter(pa.array(lacking))
