@@ -192,6 +192,56 @@ def test_graph_verdicts_of_common_clues(spark):
     assert graph.best_matches(s, i, 2).where("subject = 20").first()["winners"] == 1
 
 
+def moved_rows(spark):
+    """Rows that stages so far have written for others."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_graph_pairs_are_not_moved(spark, monkeypatch):
+    """Many ids that share many clues: rows are moved for clues and blocks, not for pairs; also with small blocks."""
+    rng = random.Random(5)
+    clues = [(x, t, rng.choice([0, 1, 2, 3, rng.randrange(200)])) for x in range(500) for t in "abcd" for _ in range(3)]
+    s, i = (spark.createDataFrame([c for c in clues if c[0] % 2 == k], "id int, type string, value int") for k in (0, 1))
+    pairs = {tuple(r) for r in over(graph.shared_clues(), s, identities=i).collect()}
+    for block, most in ((2048, 30_000), (60, 60_000)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        before = moved_rows(spark)
+        got = graph.all_shared_clues(s, i).collect()
+        assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+        assert moved_rows(spark) - before < most < len(pairs)
+
+
+def test_graph_in_blocks(spark, monkeypatch):
+    """Null and repeated ids, unlike types of values, an empty side, ids in parts: as in SQL."""
+    monkeypatch.setattr(graph, "CROWDED", -1)
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    rng = random.Random(6)
+    for size, part in ((0, 10), (1, 10), (40, 1000), (150, 10)):
+        monkeypatch.setattr(graph, "PART", part)
+        s = spark.createDataFrame([(rng.choice([None, *range(20)]), rng.choice([None, *"abc"]), rng.choice([None, 0, 0, 1, 2, 3])) for _ in range(size)], "id int, type string, value int")
+        i = spark.createDataFrame([(rng.choice([None, *"tuvwxyz"]), rng.choice([None, *"abc"]), rng.choice([None, "0", "00", "1", "2"])) for _ in range(size)], "id string, type string, value string")
+        got, want = graph.all_shared_clues(s, i), over(graph.shared_clues(), s, identities=i)
+        assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_common_codes(monkeypatch):
+    """Products and pairs of rare codes, each also cut, repeated codes of one side and codes of one side alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for columns, common, at_once in ((1024, 512, 1 << 19), (2, 5, 3), (3, 0, 7), (1024, 10**6, 1 << 19)):
+        for name, value in (("COLUMNS", columns), ("COMMON", common), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(graph, name, value)
+        for n in (0, 1, 300):
+            s_code, i_code = (rng.geometric(0.2, n) * 10**12 + k for k in (0, rng.integers(2, size=n)))
+            s_row, i_row = rng.integers(20, size=n), rng.integers(30, size=n)
+            want = np.zeros((20, 30), np.int32)
+            np.add.at(want, (s_row[:, None].repeat(n, 1), i_row[None].repeat(n, 0)), s_code[:, None] == i_code)
+            assert (graph._common(s_row, s_code, i_row, i_code, (20, 30)) == want).all()
+
+
 def test_graph(spark):
     s = spark.createDataFrame([("s1", "t", "1"), ("s1", "t", "2"), ("s2", "t", "3")], "id string, type string, value string")
     i = spark.createDataFrame([("i1", "t", "1"), ("i1", "t", "2"), ("i2", "t", "1")], "id string, type string, value string")
