@@ -226,6 +226,19 @@ def test_graph_in_blocks(spark, monkeypatch):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_graph_queries_in_blocks(spark, tmp_path, monkeypatch):
+    """Both registered lists of pairs are made in blocks."""
+    from umbra.plans.catalogue import QUERIES
+
+    clues = [(i % 13, "tu"[i % 2], i * 7 % 11 + 0.5) for i in range(90)]
+    spark.createDataFrame(clues, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(graph, "CROWDED", -1)
+    asked = []
+    monkeypatch.setattr(graph, "_in_blocks", lambda *a, of=graph._in_blocks: asked.append(1) or of(*a))
+    one, other = (sorted(map(tuple, QUERIES["graph_shared_clues" + end](spark, str(tmp_path)).collect())) for end in ("", "_all"))
+    assert one == other and one and len(asked) == 2
+
+
 def test_common_codes(monkeypatch):
     """Products and pairs of rare codes, each also cut, repeated codes of one side and codes of one side alone."""
     import numpy as np
