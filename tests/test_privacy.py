@@ -203,13 +203,14 @@ def test_graph_pairs_are_not_moved(spark, monkeypatch):
     rng = random.Random(5)
     clues = [(x, t, rng.choice([0, 1, 2, 3, rng.randrange(200)])) for x in range(500) for t in "abcd" for _ in range(3)]
     s, i = (spark.createDataFrame([c for c in clues if c[0] % 2 == k], "id int, type string, value int") for k in (0, 1))
-    pairs = {tuple(r) for r in over(graph.shared_clues(), s, identities=i).collect()}
+    pairs, best = ({tuple(r) for r in over(text, s, identities=i).collect()} for text in (graph.shared_clues(), graph.verdicts(2)))
     for block, most in ((2048, 30_000), (60, 60_000)):
         monkeypatch.setattr(graph, "BLOCK", block)
-        before = moved_rows(spark)
-        got = graph.all_shared_clues(s, i).collect()
-        assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
-        assert moved_rows(spark) - before < most < len(pairs)
+        for run, want in ((lambda: graph.all_shared_clues(s, i), pairs), (lambda: graph.best_matches(s, i, 2), best)):
+            before = moved_rows(spark)
+            got = run().collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+            assert moved_rows(spark) - before < most < len(pairs)
 
 
 def test_graph_in_blocks(spark, monkeypatch):
@@ -221,9 +222,10 @@ def test_graph_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(graph, "PART", part)
         s = spark.createDataFrame([(rng.choice([None, *range(20)]), rng.choice([None, *"abc"]), rng.choice([None, 0, 0, 1, 2, 3])) for _ in range(size)], "id int, type string, value int")
         i = spark.createDataFrame([(rng.choice([None, *"tuvwxyz"]), rng.choice([None, *"abc"]), rng.choice([None, "0", "00", "1", "2"])) for _ in range(size)], "id string, type string, value string")
-        got, want = graph.all_shared_clues(s, i), over(graph.shared_clues(), s, identities=i)
-        assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
-        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        for got, text in ((graph.all_shared_clues(s, i), graph.shared_clues()), (graph.best_matches(s, i, 1), graph.verdicts(1))):
+            want = over(text, s, identities=i)
+            assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_graph_queries_in_blocks(spark, tmp_path, monkeypatch):
