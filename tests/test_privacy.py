@@ -229,7 +229,7 @@ def test_graph_in_blocks(spark, monkeypatch):
 
 
 def test_graph_queries_in_blocks(spark, tmp_path, monkeypatch):
-    """Both registered lists of pairs are made in blocks."""
+    """Both registered lists of pairs are made in blocks, and both lists of verdicts."""
     from umbra.plans.catalogue import QUERIES
 
     clues = [(i % 13, "tu"[i % 2], i * 7 % 11 + 0.5) for i in range(90)]
@@ -237,8 +237,9 @@ def test_graph_queries_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph, "CROWDED", -1)
     asked = []
     monkeypatch.setattr(graph, "_in_blocks", lambda *a, of=graph._in_blocks: asked.append(1) or of(*a))
-    one, other = (sorted(map(tuple, QUERIES["graph_shared_clues" + end](spark, str(tmp_path)).collect())) for end in ("", "_all"))
-    assert one == other and one and len(asked) == 2
+    for k, name in enumerate(("graph_shared_clues", "graph_verdicts")):
+        one, other = (sorted(map(tuple, QUERIES[name + end](spark, str(tmp_path)).collect())) for end in ("", "_all"))
+        assert one == other and one and len(asked) == 2 + 2 * k
 
 
 def test_common_codes(monkeypatch):
