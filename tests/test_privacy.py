@@ -194,6 +194,7 @@ def test_graph_verdicts_of_common_clues(spark):
 
 def moved_rows(spark):
     """Rows that stages so far have written for others."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
